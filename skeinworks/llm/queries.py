@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinworks.llm.decontaminate import contamination, is_contaminated
 from skeinworks.llm.exact_dedup import exact_duplicates
 
 
@@ -11,13 +13,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLES = {
+    "op2_decontaminate": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (
+          SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g
+          FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM i WHERE len(w) > 0)),
+        dw AS (
+          SELECT doc_id, j, n, array_to_string(w[j:j + n - 1], ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        h AS (SELECT doc_id, j, n, item_id FROM dw JOIN iw USING (n, g)),
+        p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(j, j + n)) AS at FROM h) GROUP BY doc_id),
+        k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+              FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,

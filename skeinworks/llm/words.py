@@ -123,3 +123,32 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Wor
         stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
         yield row, stop, words_of(raw[at[row] : at[stop]], at[row : stop + 1] - at[row])
         row = stop
+
+
+def sliding(least_or_most: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``least_or_most`` (np.minimum or np.maximum) over every full window of ``width`` values."""
+    if len(x) < width:
+        return x[:0]
+    size = 1
+    while 2 * size <= width:
+        x = least_or_most(x[:-size], x[size:])
+        size *= 2
+    return least_or_most(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def minimisers(words: Words, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions, and hashes, of the k-grams that are least in some window of ``width`` k-grams of their text.
+
+    The choice depends on the window's content alone, so two texts that share ``k + width - 1`` words share a
+    chosen k-gram inside them. Of equal hashes in a window all are chosen.
+    """
+    grams, _ = words.grams(k)
+    least = sliding(np.minimum, grams, width)
+    if not len(least):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    last = np.repeat(words.first[1:], np.diff(words.first))[: len(least)]
+    least = np.where(np.arange(len(least)) + (k + width - 1) <= last, least, np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams)
+    chosen = chosen[grams[chosen] != 0]
+    return chosen, grams[chosen]
