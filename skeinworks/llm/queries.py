@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skeinworks.llm.decontaminate import contamination, is_contaminated
 from skeinworks.llm.exact_dedup import exact_duplicates
 
+from skeinworks.llm.sharding import sharded
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -19,12 +21,18 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharded(table(spark, folder, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_sharding": op3_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -43,7 +51,7 @@ ORACLES = {
           SELECT doc_id, j, n, array_to_string(w[j:j + n - 1], ' ') AS g
           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
         h AS (SELECT doc_id, j, n, item_id FROM dw JOIN iw USING (n, g)),
-        p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(j, j + n)) AS at FROM h) GROUP BY doc_id),
+        p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(j, j + n)) AS pos FROM h) GROUP BY doc_id),
         k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
               FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
