@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from skeinworks.llm.decontaminate import contamination, is_contaminated
 from skeinworks.llm.exact_dedup import exact_duplicates
 
+from skeinworks.llm.packing import packed
 from skeinworks.llm.sharding import sharded
+from skeinworks.llm.tokens import token_counts, tokenizer_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +28,14 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -33,6 +43,8 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
