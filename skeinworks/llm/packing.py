@@ -26,6 +26,8 @@ from skeinworks.llm.tokens import _texts as texts_of
 GROUPS, SMALL, RANK_PARTS = 128, 8, 512
 #: The program is solved to within this part of its optimum.
 CLOSE = 1e-3
+#: It also ends where so many rounds have gained less than that.
+STALL = 60
 #: Bins that real lengths leave with more room than this are dissolved, and their pieces best-fitted; the best of these plans is taken.
 ROOMS = (None, 128, 32, 8, 2, 0)
 END_ID = 0
@@ -95,14 +97,20 @@ def _richest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
     return best[capacity], take
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
-    """(items of each size, bins) that serve most of ``need`` with the fewest bins: the linear program, rounded down."""
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(items of each size, bins) that serve most of ``need`` with the fewest bins: the linear program, rounded down.
+
+    Any basis on the way serves ``need`` too, so stopping where the program gains no more costs bins, never items.
+    """
     k = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
-    cost = np.ones(k)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(columns)
+    inverse, cost = np.diag(1 / np.diag(columns)), np.ones(k)
+    seen = []
+    for _ in range(20 * k):
         amount, price = inverse @ need, cost @ inverse
+        seen.append(cost @ amount)
+        if len(seen) > STALL and seen[-STALL - 1] - seen[-1] < CLOSE * seen[-1]:
+            break
         if price.min() < -1e-9:
             entering, new_cost = -np.eye(k)[int(price.argmin())], 0.0
         else:
@@ -114,7 +122,10 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
         steps = np.where(change > 1e-9, np.maximum(amount, 0) / np.where(change > 1e-9, change, 1), np.inf)
         leaving = int(steps.argmin())
         columns[:, leaving], cost[leaving] = entering, new_cost
-    amount = np.linalg.inv(columns) @ need
+        pivot = inverse[leaving] / change[leaving]
+        inverse -= np.outer(change, pivot)
+        inverse[leaving] = pivot
+    amount = inverse @ need
     return [(columns[:, j].astype(int), int(amount[j] + 1e-6)) for j in range(k) if cost[j] and amount[j] >= 1 - 1e-6]
 
 
