@@ -11,6 +11,7 @@ from skeinworks.llm.exact_dedup import exact_duplicates
 
 from skeinworks.llm.packing import packed
 from skeinworks.llm.sharding import sharded
+from skeinworks.llm.toxicity import toxicity
 from skeinworks.llm.tokens import token_counts, tokenizer_path
 from skeinworks.llm.warc import archived
 
@@ -34,6 +35,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,

@@ -54,6 +54,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray  # uint64 of each word
+    sums: np.ndarray  # of the bytes' hashes, from which any part of a word has its own
 
     def __len__(self) -> int:
         return len(self.start)
@@ -70,6 +71,12 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than n bytes, and the hashes of their first n bytes."""
+        longer = np.flatnonzero(self.end - self.start > n)
+        start = self.start[longer]
+        return longer, mix((self.sums[start + n] - self.sums[start]) * _powers[1][start])
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words that start at each word, and which of them stay inside one text."""
         n = len(self) - k + 1
@@ -112,7 +119,7 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return Words(data, start, end, np.searchsorted(start, at), mix((sums[end] - sums[start]) * down[start]))
+    return Words(data, start, end, np.searchsorted(start, at), mix((sums[end] - sums[start]) * down[start]), sums)
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
