@@ -9,7 +9,9 @@ from skeinworks.llm.chat import formatted, read_back, turns_as_events
 from skeinworks.llm.decontaminate import contamination, is_contaminated
 from skeinworks.llm.exact_dedup import exact_duplicates
 
+from skeinworks.llm.near_dedup import near_duplicates
 from skeinworks.llm.packing import packed
+from skeinworks.llm.repeats import repeated_passages
 from skeinworks.llm.sharding import sharded
 from skeinworks.llm.toxicity import toxicity
 from skeinworks.llm.tokens import token_counts, tokenizer_path
@@ -20,6 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -39,6 +45,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -59,10 +69,12 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,

@@ -77,6 +77,19 @@ class Words:
         start = self.start[longer]
         return longer, mix((self.sums[start + n] - self.sums[start]) * _powers[1][start])
 
+    def prints(self) -> list[bytes | None]:
+        """128 bits of each text's sequence of words; None for no words."""
+        place = np.arange(len(self), dtype=np.uint64) - np.repeat(self.first[:-1], np.diff(self.first)).astype(np.uint64)
+        out: list[bytes | None] = [None] * self.texts
+        full = np.flatnonzero(np.diff(self.first) > 0)
+        if len(full):
+            heads = self.first[full]
+            one = np.add.reduceat(mix(self.hash + place * np.uint64(0xD6E8FEB86659FD93)), heads)
+            two = np.add.reduceat(mix((self.hash ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + place * np.uint64(0x9E3779B97F4A7C15)), heads)
+            for t, x, y in zip(full, one, two, strict=True):
+                out[t] = x.tobytes() + y.tobytes()
+        return out
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words that start at each word, and which of them stay inside one text."""
         n = len(self) - k + 1
