@@ -1,8 +1,71 @@
-"""Documents made ready for training, stage by stage."""
+"""Documents made ready for training, stage by stage: toxic ones go, exact and near copies go, contaminated ones go, the rest is packed.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of ``docs``. A stage that judges rows joins its decisions back by doc_id, null doc_ids included.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinworks.llm.decontaminate import contamination, is_contaminated
+from skeinworks.llm.exact_dedup import drop_exact_duplicates
+from skeinworks.llm.near_dedup import near_duplicates
+from skeinworks.llm.packing import packed
+from skeinworks.llm.store import new_folder
+from skeinworks.llm.tokens import tokenizer_path
+from skeinworks.llm.toxicity import toxicity
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (column doc_id)."""
+    keep = ids.select(F.col("doc_id").alias("_keep"))
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier clean than not. Of rows that repeat a doc_id all go if one is toxic."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.filter("toxic").select(F.col("doc_id").alias("_drop"))
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop")), "left_anti").select(*docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for blanks, the longest, then the smallest doc_id."""
+    return drop_exact_duplicates(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the smallest doc_id. A document without words, or of null doc_id, is no near duplicate."""
+    classes = near_duplicates(docs)
+    return _kept(docs, classes.filter("class_id <=> doc_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words are in passages of ``benchmark``."""
+    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rejected = judged.filter(is_contaminated()).select(F.col("doc_id").alias("_drop"))
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop")), "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and where they lie in sequences of at most 2048."""
+    return packed(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact), ("MinHash near-dedup", drop_near), ("benchmark decontamination", drop_contaminated), ("best-fit packing", pack)]
+
+#: A fitted classifier, weighted sampling and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` through all stages; what each returns is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
