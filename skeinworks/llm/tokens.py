@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, of a task's summary of frequent pieces, and of a worker's cache.
-FREQUENT, SUMMARY, CACHE = 1 << 15, 1 << 15, 1 << 19
+FREQUENT, SUMMARY, CACHE = 1 << 15, 1 << 15, 1 << 20
 #: Longer pieces are encoded each time, so entries stay small.
 LONGEST = 64
 #: White space that every tokenizer here takes as a cut.
 _ASCII_PIECE = re.compile(r"[^ \t\n\r\f\v]+")
 _SEPARATORS = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _SPACED_PIECE = re.compile(r"\s*\S+|\s+\Z")
-_TWO_BLANKS = re.compile(r"\s\s|\A\s|\s\Z|[\t\r\f\v]")
+_BLANK_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\f", "\v")
 _ENDING = ".,;:!?"
 _SLICE = 256
 _tokenizers: dict[str, object] = {}
@@ -141,10 +141,15 @@ class Ids(dict):
     def __init__(self, path: str, spaced: bool, room: int = CACHE):
         super().__init__()
         self.encode, self.spaced, self.room = tokenizer(path).encode, spaced, room
+        self.bare = Ids(path, False, room >> 3) if spaced else self
 
     def __missing__(self, piece: str) -> bytes:
-        text = " " + piece if self.spaced and piece[0] != "\n" else piece
-        ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        stem = piece.rstrip(_ENDING)
+        if stem != piece and stem and stem[-1].isalpha() and stem[-1] < "\u0130":
+            ids = self[stem] + self.bare[piece[len(stem) :]]  # a letter and a mark that follows it are always cut
+        else:
+            text = " " + piece if self.spaced and piece[0] != "\n" else piece
+            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= self.room:
                 self.clear()
@@ -158,12 +163,14 @@ def whole_ids(text: str, path: str) -> bytes:
         return b""
     if (path, True) not in _caches:
         _caches.clear()
-        _caches.update({(path, True): Ids(path, True), (path, False): Ids(path, False, CACHE >> 3)})
-    if not _TWO_BLANKS.search(text) and (text.isascii() or not _SEPARATORS.search(text)) and "<|" not in text:
+        spaced = Ids(path, True)
+        _caches.update({(path, True): spaced, (path, False): spaced.bare})
+    plain = "<|" not in text and not _SEPARATORS.search(text)
+    if plain and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _BLANK_RUNS):
         # single spaces and line feeds only: each begins a piece
         first, *rest = text.replace("\n", " \n").split(" ")
         return _caches[path, False][first] + b"".join(map(_caches[path, True].__getitem__, rest))
-    if not _SEPARATORS.search(text) and "<|" not in text:
+    if plain:
         return b"".join(map(_caches[path, False].__getitem__, _SPACED_PIECE.findall(text)))
     return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
