@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,16 +46,14 @@ def _one_line(url: str | None) -> str:
     return (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id, copy: int, url: str | None, payload: bytes, payload_digest: str, refers_to=None, revisit: bool = False) -> bytes:
-    """A record as one gzip member."""
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    if not revisit:
-        block += payload
+def record(page_id, copy: int, url: str | None, payload: bytes | None, payload_digest: str, size: int, refers_to=None) -> bytes:
+    """A record as one gzip member; without a payload a revisit."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + (payload or b"")
     headers = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _uri(page_id, copy), "WARC-Date": DATE, "WARC-Target-URI": _one_line(url), "Content-Type": "application/http; msgtype=response",
+        "WARC-Type": "revisit" if payload is None else "response", "WARC-Record-ID": _uri(page_id, copy), "WARC-Date": DATE, "WARC-Target-URI": _one_line(url), "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": f"sha1:{payload_digest}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Length": str(len(block)), "Page-ID": "" if page_id is None else str(page_id), "Has-URL": str(int(url is not None)),
     }
-    if revisit:
+    if payload is None:
         headers |= {"WARC-Profile": _PROFILE, "WARC-Refers-To": _uri(refers_to, 1), "Refers-To-Page-ID": "" if refers_to is None else str(refers_to)}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -100,22 +99,40 @@ def parse(member: bytes) -> tuple:
     return number(headers["Page-ID"]), url, headers["WARC-Type"], number(headers.get("Refers-To-Page-ID", "")), stated, headers["WARC-Payload-Digest"][5:], None if revisit else payload
 
 
+def _responses(pages: DataFrame) -> DataFrame:
+    """(page_id, url, key, size, member): each page as a response record, so that what is shuffled is compressed already."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                size, made = [], []
+                for page_id, url, html in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    payload = html.encode()
+                    size.append(len(payload))
+                    made.append(record(page_id, 1, url, payload, digest(payload), len(payload)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(size, pa.int64()), pa.array(made, pa.binary())], names=["page_id", "url", "key", "size", "member"])
+
+    return pages.mapInArrow(make, "page_id long, url string, key string, size long, member binary")
+
+
 def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``revisit``, ``refers_to`` and ``copy``, numbering rows that repeat a page_id.
+    """``pages`` (page_id, url, html) as rows of page_id, url, key (SHA-1), size, member, copy, revisit, refers_to.
 
-    Of equal payloads of ``least`` bytes or more the smallest page_id is the response (a null one only where there is
-    no other), and of rows that repeat it the first. A null html counts as empty.
+    ``copy`` numbers the rows that repeat a page_id. Of equal payloads of ``least`` bytes or more the smallest page_id
+    is the response (a null one only where there is no other), and of rows that repeat it the first. A null html
+    counts as empty.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keys = stable(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("key"), F.octet_length("html").alias("size")))
-    first = grouped(keys.filter(F.col("size") >= least), "key", F.struct((-F.col("page_id")).alias("id")))
-    small = keys.filter(F.col("size") < least).withColumn("best", F.struct((-F.col("page_id")).alias("id")))
-    firsts = first.select("page_id", "key", (-F.col("best.id")).alias("first")).unionByName(small.select("page_id", "key", F.col("page_id").alias("first"))).distinct()
-    joined = rows.withColumn("key", F.sha1(F.col("html").cast("binary"))).join(firsts.withColumnsRenamed({"page_id": "_id", "key": "_key"}), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = rows.withColumn("key", F.sha1(F.col("html").cast("binary")))
+    keys = stable(rows.select("page_id", "key", F.octet_length("html").alias("size")))
+    first = grouped(keys.filter(F.col("size") >= least), "key", F.struct((-F.col("page_id")).alias("id"))).select("page_id", "key", (-F.col("best.id")).alias("first"))
+    small = keys.filter(F.col("size") < least).select("page_id", "key", F.col("page_id").alias("first"))
+    firsts = first.unionByName(small).distinct().withColumnsRenamed({"page_id": "_id", "key": "_key"})
+    joined = _responses(rows).join(firsts, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "key").orderBy("url")))
-    revisit = ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)) & (F.octet_length("html") >= least)
-    return joined.select("page_id", "url", "html", "copy", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    revisit = ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)) & (F.col("size") >= least)
+    return joined.select("page_id", "url", "key", "size", "member", "copy", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -137,12 +154,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
         for batch in batches:
-            for page_id, url, html, copy, revisit, refers_to in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for page_id, url, key, size, member, copy, revisit, refers_to in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if out is None:
                     path = f"{base}/part-{context.partitionId():06d}-{done:04d}.warc.gz"
                     out = files.open_output_stream(f"{path}.{context.taskAttemptId()}", compression=None)
-                payload = html.encode()
-                out.write(record(page_id, copy, url, payload, digest(payload), refers_to, revisit))
+                if revisit or copy > 1:
+                    payload = None if revisit else parse(next(members(io.BytesIO(member))))[-1]
+                    member = record(page_id, copy, url, payload, base64.b32encode(bytes.fromhex(key)).decode(), size, refers_to)
+                out.write(member)
                 n += 1
                 if out.tell() > ARCHIVE_BYTES:
                     yield closed()
