@@ -1 +1 @@
-"""functions"""
+"""Fixed values and small column functions."""
