@@ -1,4 +1,360 @@
-"""Queries over the driver's tables, and the same in DuckDB SQL."""
+"""Queries over the driver's tables, and the same in DuckDB SQL.
 
-QUERIES = {}
-ORACLES = {}
+The rule system is applied to orders as if they were functions: their lines are counted into facts, which become
+evidence, hypotheses, intents and pipelines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinworks.functions import seeds, text
+from skeinworks.operators import cache, diagnose, graph, query, reasoning, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: What an order's lines say, in SQL that both engines read.
+COUNTERS = {
+    "loop": "l_quantity > 5", "nested_loop": "l_quantity > 45 AND l_linenumber > 1", "collection_iteration": "l_linenumber = 3", "conditional": "l_returnflag = 'R'", "return": "l_linestatus = 'F'", "boolean_return": "l_linenumber = 4",
+    "call": "l_returnflag = 'A'", "assignment": "l_tax > 0.01", "mutation": "l_discount > 0.02", "addition_mutation": "l_discount > 0.05", "increment_mutation": "l_quantity < 10", "division": "l_tax > 0.06", "comparison": "l_quantity > 30",
+    "maximum_update": "l_extendedprice > 50000", "minimum_update": "l_extendedprice < 2000", "loop_return": "l_linestatus = 'F' AND l_linenumber = 2", "numeric_return": "l_linenumber = 2", "accumulation": "l_linenumber = 1 AND l_discount > 0.05",
+}
+NAMES = ["count_if_average", "filter_map_reduce", "sum_normalize", "find_first", "partition_sort", "histogram_maximum", "max_by", "binary_search_validate"]
+_NAME = "CASE l_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def order_facts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy("l_orderkey").agg(F.any_value(F.expr(_NAME)).alias("function_name"), *(F.count_if(F.expr(test)).alias(f"n_{kind}") for kind, test in COUNTERS.items()))
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    return reasoning.analyzed(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS})
+
+
+def _values(rows) -> str:
+    show = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+_RULES = [(h.id, role, r.id, r.kind, r.weight) for h in seeds.hypotheses().values() for role, rules in (("require", h.require), ("support", h.support)) for r in rules]
+_ORDER = {k: i for i, k, *_ in seeds.evidence_kinds()}
+_PROVIDER = {k: p for _, k, p, *_ in seeds.evidence_kinds()}
+FACTS_SQL = f"""f AS (SELECT l_orderkey AS k, any_value({_NAME}) AS name, {", ".join(f'count_if({t}) AS "n_{k}"' for k, t in COUNTERS.items())} FROM lineitem GROUP BY l_orderkey),
+ev AS ({" UNION ALL ".join(f'''SELECT k, '{kind}' AS kind, "n_{kind}" AS strength FROM f WHERE "n_{kind}" > 0''' for kind in COUNTERS)}
+  UNION ALL SELECT k, 'name:' || t, 1 FROM (SELECT k, unnest(string_split(name, '_')) AS t FROM f))"""
+SCORED_SQL = f"""{FACTS_SQL}, rules(hyp, role, rule, kind, weight) AS (VALUES {_values(_RULES)}),
+m AS (SELECT f.k, r.hyp, count_if(r.role = 'require' AND ev.k IS NULL) AS missing,
+        coalesce(sum(r.weight * greatest(1, least(3, ev.strength))) FILTER (r.role = 'support' AND ev.k IS NOT NULL), 0) AS score
+      FROM f CROSS JOIN rules r LEFT JOIN ev ON ev.k = f.k AND ev.kind = r.kind GROUP BY f.k, r.hyp),
+s AS (SELECT k, hyp, missing > 0 AS gone, CASE WHEN missing > 0 THEN 0 ELSE greatest(0, least(100, 10 + score)) END::INT AS confidence FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gone, confidence DESC, hyp) AS place FROM s),
+top AS (SELECT k, hyp AS intent, confidence FROM r WHERE place = 1 AND NOT gone)"""
+PIPED_SQL = f"""{SCORED_SQL}, pipes(id, stage, pos, n) AS (VALUES {_values([(i, s, p, len(st)) for i, st, _ in seeds.pipelines() for p, s in enumerate(st, 1)])}),
+words(id, word, n) AS (VALUES {_values([(i, w, len(ws)) for i, _, ws in seeds.pipelines() for w in ws])}),
+fit AS (SELECT a.k, a.id, a.n FROM (SELECT s.k, p.id, any_value(p.n) AS n FROM s JOIN pipes p ON p.stage = s.hyp WHERE NOT s.gone GROUP BY s.k, p.id HAVING count(*) = any_value(p.n)) a
+        JOIN (SELECT f.k, w.id FROM f JOIN words w ON list_contains(string_split(f.name, '_'), w.word) GROUP BY f.k, w.id HAVING count(*) = any_value(w.n)) b ON a.k = b.k AND a.id = b.id),
+pipe AS (SELECT k, id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, id) AS x FROM fit) WHERE x = 1),
+staged AS (SELECT pipe.k, p.stage, p.pos, s.confidence FROM pipe JOIN pipes p ON p.id = pipe.id JOIN s ON s.k = pipe.k AND s.hyp = p.stage)"""
+
+
+def _term_sql(t: str) -> str:
+    return f"""(SELECT f.k, 100 * coalesce((top.intent = '{t}')::INT, 0) + 80 * coalesce(p.n, 0) + 60 * coalesce(h.n, 0) + 40 * coalesce(e.n, 0) + 20 * len(list_filter(string_split(f.name, '_'), lambda x: x = '{t}')) AS score
+      FROM f LEFT JOIN top ON top.k = f.k LEFT JOIN (SELECT k, count(*) AS n FROM staged WHERE stage = '{t}' GROUP BY k) p ON p.k = f.k
+      LEFT JOIN (SELECT k, count(*) AS n FROM s WHERE hyp = '{t}' AND NOT gone AND confidence >= 50 GROUP BY k) h ON h.k = f.k
+      LEFT JOIN (SELECT k, count(*) AS n FROM ev WHERE CASE WHEN kind LIKE 'name:%' THEN substr(kind, 6) ELSE replace(kind, '_', '') END = '{t}' GROUP BY k) e ON e.k = f.k)"""
+
+
+@_query(f"WITH {FACTS_SQL} SELECT kind AS token, count(*) AS n, sum(strength)::BIGINT AS strength FROM ev WHERE kind LIKE 'name:%' GROUP BY kind")
+def name_tokens(spark, folder):
+    """Words of names as evidence."""
+    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), "l_orderkey")
+    return items.filter("kind = 'name'").groupBy(F.concat(F.lit("name:"), F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("strength"))
+
+
+@_query(f"""WITH {FACTS_SQL}, o(kind, provider_id, kind_ord) AS (VALUES {_values([(k, _PROVIDER[k], _ORDER[k]) for k in COUNTERS])})
+    SELECT k AS l_orderkey, provider_id, kind_ord, kind, strength FROM ev JOIN o USING (kind)""")
+def evidence_unpivot(spark, folder):
+    """Counters above zero as rows."""
+    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), "l_orderkey")
+    return items.filter("kind <> 'name'").select("l_orderkey", "provider_id", "kind_ord", "kind", "strength")
+
+
+@_query(f"WITH {SCORED_SQL} SELECT hyp AS hypothesis, count_if(NOT gone) AS n_active, count_if(gone) AS n_eliminated, sum(confidence)::BIGINT AS confidence FROM s GROUP BY hyp")
+def rule_scoring(spark, folder):
+    """All hypotheses of all orders, summed up by hypothesis."""
+    scored = reasoning.with_hypotheses(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}))
+    one = scored.select(F.explode("hypotheses").alias("h")).select("h.id", "h.status", "h.confidence")
+    return one.groupBy(F.col("id").alias("hypothesis")).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") != "active").alias("n_eliminated"), F.sum("confidence").alias("confidence"))
+
+
+@_query(f"WITH {SCORED_SQL} SELECT k AS l_orderkey, place::INT AS place, hyp AS hypothesis, confidence FROM r WHERE place <= 3 AND NOT gone")
+def rank_hypotheses(spark, folder):
+    """The three best active hypotheses of each order."""
+    best = reports(spark, folder).select("l_orderkey", F.posexplode(F.slice("hypotheses", 1, 3)).alias("p", "h")).filter("h.status = 'active'")
+    return best.select("l_orderkey", (F.col("p") + 1).alias("place"), F.col("h.id").alias("hypothesis"), F.col("h.confidence").alias("confidence"))
+
+
+@_query(f"WITH {SCORED_SQL} SELECT f.k AS l_orderkey, name AS function_name, intent AS primary_intent, confidence FROM f LEFT JOIN top ON top.k = f.k")
+def primary_intent(spark, folder):
+    """The first active hypothesis of each order."""
+    return reports(spark, folder).select("l_orderkey", "function_name", "primary_intent", "confidence")
+
+
+@_query(f"WITH {PIPED_SQL} SELECT k AS l_orderkey, string_agg(stage || ':' || confidence, '>' ORDER BY pos) AS pipeline FROM staged GROUP BY k")
+def compose_pipeline(spark, folder):
+    """The longest known pipeline of each order's active hypotheses and words."""
+    return reports(spark, folder).filter("size(pipeline) > 0").select("l_orderkey", F.expr("array_join(transform(pipeline, s -> concat(s.id, ':', s.confidence)), '>')").alias("pipeline"))
+
+
+def _searched(expression: str):
+    return lambda spark, folder: query.search(reports(spark, folder), expression, "l_orderkey").select("l_orderkey", "function_name", "primary_intent", F.col("score").cast("long").alias("score"))
+
+
+def _search_sql(score: str) -> str:
+    return f"""WITH {PIPED_SQL} SELECT f.k AS l_orderkey, f.name AS function_name, top.intent AS primary_intent, q.score::BIGINT AS score
+        FROM ({score}) q JOIN f ON f.k = q.k LEFT JOIN top ON top.k = f.k WHERE q.score > 0"""
+
+
+for _name, _expression, _score in (
+    ("semantic_query_term", "maximum", f"SELECT * FROM {_term_sql('maximum')}"),
+    ("semantic_query_and", "counter AND comparison", f"SELECT a.k, CASE WHEN a.score > 0 AND b.score > 0 THEN least(65535, a.score + b.score) ELSE 0 END AS score FROM {_term_sql('counter')} a JOIN {_term_sql('comparison')} b ON a.k = b.k"),
+    ("semantic_query_or", "histogram OR sum", f"SELECT a.k, greatest(a.score, b.score) AS score FROM {_term_sql('histogram')} a JOIN {_term_sql('sum')} b ON a.k = b.k"),
+    ("semantic_query_not", "NOT accumulator", f"SELECT k, (score = 0)::INT AS score FROM {_term_sql('accumulator')}"),
+    ("semantic_query_then", "filter THEN reduce", "SELECT a.k, 179 + b.pos - a.pos AS score FROM staged a JOIN staged b ON a.k = b.k AND a.stage = 'filter' AND b.stage = 'reducer' AND b.pos > a.pos"),
+):
+    QUERIES[_name], ORACLES[_name] = _searched(_expression), _search_sql(_score)
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'type_mismatch' WHEN 'O' THEN 'missing_division' ELSE 'move_after_use' END"
+
+
+@_query(f"""WITH {SCORED_SQL}, d(rule_id, category, hyp, interpretation, suggestions) AS (VALUES {_values(seeds.DIAGNOSTIC_RULES)}), g(suggestions, n) AS (VALUES {_values([(x, sum(s[0] == x for s in seeds.SUGGESTIONS)) for x in dict.fromkeys(s[0] for s in seeds.SUGGESTIONS)])})
+    SELECT o_orderkey AS diagnostic_id, x.category, x.hyp AS intent, x.confidence, x.interpretation, x.n::INT AS n_fixes
+    FROM orders LEFT JOIN (SELECT s.k, d.category, s.hyp, s.confidence, d.interpretation, g.n FROM d JOIN s ON s.hyp = d.hyp JOIN g USING (suggestions) WHERE NOT s.gone OR d.interpretation = 'average_implementation_incomplete') x
+      ON x.k = o_orderkey AND x.category = {_STATUS} WHERE x.k IS NOT NULL""")
+def diagnose_top1(spark, folder):
+    """Each order's status as a diagnostic of it."""
+    said = table(spark, folder, "orders").select(F.col("o_orderkey").alias("diagnostic_id"), F.col("o_orderkey").alias("source"), F.expr(_STATUS).alias("category"), F.lit(None).cast("string").alias("function_name"))
+    found = diagnose.diagnosed(said, reports(spark, folder).withColumnRenamed("l_orderkey", "source")).filter("intent IS NOT NULL")
+    return found.select("diagnostic_id", "category", "intent", "confidence", "interpretation", F.size("fixes").alias("n_fixes"))
+
+
+@_query("SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def graph_validate_duplicates(spark, folder):
+    return graph.duplicate_ids(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@_query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def graph_validate_dangling(spark, folder):
+    """Customers as edges to nations that have a supplier in debt."""
+    nodes = table(spark, folder, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("node"))
+    return graph.dangling(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), nodes, "c_nationkey", "node")
+
+
+@_query("""WITH now AS (SELECT o_orderkey, o_custkey, o_orderstatus AS src, o_orderpriority AS sem FROM orders),
+    old AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS src, o_orderpriority AS sem FROM orders WHERE o_orderstatus <> 'P'),
+    w AS (SELECT old.o_custkey, bool_and(n.src = old.src) AS whole FROM old JOIN (SELECT DISTINCT o_custkey, src FROM now) n USING (o_custkey) GROUP BY ALL)
+    SELECT CASE WHEN coalesce(w.whole, false) THEN 1 WHEN old.sem = now.sem THEN 2 ELSE 0 END AS tier, count(*) AS n
+    FROM now LEFT JOIN old USING (o_orderkey) LEFT JOIN w ON w.o_custkey = now.o_custkey GROUP BY ALL""")
+def cache_reuse(spark, folder):
+    """Orders of customers against an earlier state of them."""
+    now = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("src"), F.col("o_orderpriority").alias("sem"))
+    old = now.filter("src <> 'P'").withColumn("src", F.when(F.col("sem").startswith("1"), "X").otherwise(F.col("src")))
+    return cache.reuse(now, old, "o_orderkey", "o_custkey", "src", "sem").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""WITH old AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS c FROM orders WHERE o_orderstatus <> 'P')
+    SELECT o.o_orderkey, CASE WHEN old.o_orderkey IS NULL THEN 'created' WHEN old.c = o.o_orderstatus THEN 'unchanged' ELSE 'updated' END AS status FROM orders o LEFT JOIN old USING (o_orderkey)""")
+def cache_write_status(spark, folder):
+    """What storing each order would do."""
+    now = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("c"), "o_orderpriority")
+    old = now.filter("c <> 'P'").withColumn("c", F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise(F.col("c")))
+    return cache.write_status(now, old, "o_orderkey", "c").select("o_orderkey", "status")
+
+
+@_query("SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes, (sum(strlen(props)) // count(*))::BIGINT AS average FROM events GROUP BY event_type")
+def cache_stats(spark, folder):
+    return cache.stats(table(spark, folder, "events").withColumn("size", F.octet_length("props")), "size", "event_type")
+
+
+@_query("SELECT doc_id, 'run-' || left(sha256(lang || chr(0) || source || chr(0) || doc_id), 20) AS run_id, sha256(text) AS text_sha256 FROM documents")
+def sha_ids(spark, folder):
+    """F3, F4."""
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", stats.run_id(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("run_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@_query()
+def fnv_hash(spark, folder):
+    """F1 over nations' and customers' names."""
+    return cache.with_fnv(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "fnv")
+
+
+_FAILURE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in markers) + f" THEN '{name}'" for name, markers in seeds.failures()) + " ELSE 'unknown' END"
+
+
+@_query(f"SELECT {_FAILURE_SQL} AS category, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT text FROM documents UNION ALL SELECT html FROM pages) GROUP BY ALL")
+def failure_classify(spark, folder):
+    """F10, G16."""
+    texts = table(spark, folder, "conversations").select("text").unionByName(table(spark, folder, "documents").select("text")).unionByName(table(spark, folder, "pages").select(F.col("html").alias("text")))
+    return texts.select(text.failure_class(F.col("text")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(r"""SELECT doc_id, len(string_split(text, chr(10))) AS loc, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '')) AS blank_lines,
+      len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(ltrim(x, ' '), '^(#|//|/\*|\*)'))) AS comment_lines,
+      len(regexp_extract_all(text, '\b(class|struct|enum|interface)\s+[A-Za-z_]\w*')) AS class_count, len(regexp_extract_all(text, '\b(if|for|while|case|catch)\b')) AS branch_count FROM documents""")
+def text_metrics(spark, folder):
+    """G17, F11."""
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", *(c.cast("long").alias(k) for k, c in text.source_metrics(F.col("text")).items()))
+
+
+_METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, '{m}' AS metric, {m} AS value FROM lineitem WHERE {m} IS NOT NULL" for m in _METRICS) + ")"
+
+
+def _long(spark, folder) -> DataFrame:
+    return stats.long_metrics(table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", *_METRICS), ["l_returnflag", "l_linestatus"], _METRICS)
+
+
+@_query(f"""WITH {_LONG_SQL}, q AS (SELECT l_returnflag, l_linestatus, metric, count(*) AS n, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, stddev_samp(value) AS stdev, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL)
+    SELECT q.l_returnflag, q.l_linestatus, q.metric, any_value(n) AS n, round(any_value(mean), 4) AS mean, any_value(median) AS median, any_value(min) AS min, any_value(max) AS max, round(any_value(stdev), 4) AS stdev, round(any_value(stdev) / abs(any_value(mean)), 4) AS cv,
+      count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
+    FROM q JOIN long USING (l_returnflag, l_linestatus, metric) GROUP BY ALL""".replace("GROUP BY ALL\"", "GROUP BY ALL\""))
+def describe_groups(spark, folder):
+    """Summaries with Tukey outliers."""
+    d = stats.described(_long(spark, folder), "l_returnflag", "l_linestatus", "metric")
+    return d.select("l_returnflag", "l_linestatus", "metric", "n", F.round("mean", 4).alias("mean"), "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("cv", 4).alias("cv"), "outliers")
+
+
+@_query("""WITH v AS (SELECT o_orderpriority AS cell, o_orderstatus AS arm, o_totalprice AS value FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    c AS (SELECT cell, value, count_if(arm = 'O') AS a, count_if(arm = 'F') AS b FROM v GROUP BY ALL),
+    w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY cell ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(b) OVER (PARTITION BY cell) AS every FROM c),
+    d AS (SELECT cell, sum(a * (below - (every - below - b))) / nullif(sum(a) * sum(b), 0) AS delta FROM w GROUP BY cell)
+    SELECT cell, round(avg(value) FILTER (arm = 'F'), 3) AS base_mean, round(avg(value) FILTER (arm = 'O'), 3) AS other_mean, round(avg(value) FILTER (arm = 'O') - avg(value) FILTER (arm = 'F'), 3) AS difference, round(any_value(delta), 6) AS delta
+    FROM v JOIN d USING (cell) GROUP BY cell""")
+def arm_comparison(spark, folder):
+    """Open against filled orders within each priority."""
+    long = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("cell"), F.col("o_orderstatus").alias("arm"), F.col("o_totalprice").alias("value"))
+    c = stats.arm_comparison(long, ["cell"], "arm", "F", "O")
+    return c.select("cell", *(F.round(x, 3).alias(x) for x in ("base_mean", "other_mean", "difference")), F.round("delta", 6).alias("delta"))
+
+
+@_query("""WITH v AS (SELECT o_orderpriority AS cell, o_orderstatus AS arm, o_totalprice::BIGINT // 10000 AS value FROM orders),
+    a AS (SELECT cell, value, count(*) AS n FROM v WHERE arm = 'O' GROUP BY ALL), b AS (SELECT cell, value, count(*) AS n FROM v WHERE arm = 'F' GROUP BY ALL)
+    SELECT a.cell, round(sum(a.n * b.n * sign(a.value - b.value)) / sum(a.n * b.n), 6) AS delta FROM a JOIN b ON a.cell = b.cell GROUP BY a.cell""")
+def cliffs_delta(spark, folder):
+    """G11 with many ties; the SQL forms the pairs, the query does not."""
+    long = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("cell"), F.col("o_orderstatus").alias("arm"), F.expr("CAST(round(o_totalprice) AS BIGINT) div 10000").alias("value"))
+    return stats.cliffs_delta(long, ["cell"], "arm", "O", "F").withColumn("delta", F.round("delta", 6))
+
+
+@_query("SELECT x, y, round(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) AS r FROM lineitem" for i, x in enumerate(_METRICS) for y in _METRICS[i + 1 :]) + ")")
+def pearson_matrix(spark, folder):
+    """G13, J12."""
+    return stats.pearson_matrix(table(spark, folder, "lineitem").select(*_METRICS), _METRICS).withColumn("r", F.round("r", 6))
+
+
+@_query(f"""WITH {_LONG_SQL}, c AS (SELECT *, avg(value) OVER (PARTITION BY metric, l_returnflag, l_linestatus) AS m, avg(value) OVER (PARTITION BY metric) AS g FROM long)
+    SELECT metric, count(*) AS n, round(var_samp(value) / (sum((value - m) ** 2) / (count(*) - 1)), 6) AS total_over_within, round(sum((m - g) ** 2) / (count(*) - 1) / var_samp(value), 9) AS between_over_total FROM c GROUP BY metric""")
+def variance_decomposition(spark, folder):
+    """G15, as ratios, which no unit blows up."""
+    v = stats.variance_decomposition(_long(spark, folder), "metric", ["l_returnflag", "l_linestatus"])
+    return v.select("metric", "n", F.round(F.col("total") / F.col("within_cells"), 6).alias("total_over_within"), F.round(F.col("between_cells") / F.col("total"), 9).alias("between_over_total"))
+
+
+@_query("SELECT c_mktsegment, o_orderpriority, round(avg(o_totalprice), 3) AS mean, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def level_trends(spark, folder):
+    """G14."""
+    joined = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("c_mktsegment", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 3).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+_FACTORS = {"event_type": ["view", "click", "purchase", "refund", "signup"], "value_band": ["0", "1", "2", "3"], "arm": ["even", "odd"]}
+_BAND = "CASE WHEN value < 10 THEN '0' WHEN value < 50 THEN '1' WHEN value < 90 THEN '2' ELSE '3' END"
+
+
+@_query("""SELECT * FROM (SELECT unnest(['view', 'click', 'purchase', 'refund', 'signup']) AS event_type) CROSS JOIN (SELECT unnest(['0', '1', '2', '3']) AS value_band) CROSS JOIN (SELECT unnest(['even', 'odd']) AS arm)
+    EXCEPT SELECT event_type, """ + _BAND + """, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM events""")
+def factorial_missing(spark, folder):
+    """J14, W8."""
+    rows = table(spark, folder, "events").select("event_type", F.expr(_BAND).alias("value_band"), F.expr("CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END").alias("arm"))
+    return stats.missing_cells(rows, _FACTORS)
+
+
+_GOLDEN = [("count_if_average", "average", 50), ("filter_map_reduce", "mapper", 50), ("sum_normalize", "normalize", 50), ("max_by", "max_by", 50), ("unseen", "sum", 75)]
+
+
+@_query(f"""WITH {SCORED_SQL}, g(function_name, expected, least) AS (VALUES {_values(_GOLDEN)}),
+    o AS (SELECT name AS function_name, count(*) AS n, count_if(intent = 'average' OR intent = 'mapper' OR intent = 'normalize' OR intent = 'max_by') AS known FROM f LEFT JOIN top USING (k) GROUP BY name),
+    h AS (SELECT f.name AS function_name, g.expected, count(*) AS hits FROM f JOIN top USING (k) JOIN g ON g.function_name = f.name AND g.expected = top.intent AND top.confidence >= g.least GROUP BY ALL)
+    SELECT coalesce(g.function_name, o.function_name) AS function_name, g.expected, coalesce(o.n, 0) AS n, coalesce(h.hits, 0) AS hits,
+      CASE WHEN o.n IS NULL THEN 'stale' WHEN g.expected IS NULL THEN 'missing' WHEN coalesce(h.hits, 0) > 0 THEN 'met' ELSE 'unmet' END AS state
+    FROM g FULL JOIN o USING (function_name) LEFT JOIN h ON h.function_name = g.function_name""")
+def golden_gate(spark, folder):
+    """Expectations against what was found."""
+    golden = spark.createDataFrame(_GOLDEN, "function_name string, expected string, least int")
+    found = reports(spark, folder).groupBy("function_name", "primary_intent", "confidence").agg(F.count(F.lit(1)).alias("k"))
+    joined = found.join(F.broadcast(golden), "function_name", "full")
+    hit = (F.col("primary_intent") == F.col("expected")) & (F.col("confidence") >= F.col("least"))
+    by = joined.groupBy("function_name", "expected").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(hit, F.col("k"))), F.lit(0)).alias("hits"))
+    return by.withColumn("state", F.when(F.col("n") == 0, "stale").when(F.col("expected").isNull(), "missing").when(F.col("hits") > 0, "met").otherwise("unmet"))
+
+
+@_query("SELECT user_id, count_if(event_type = 'purchase')::DOUBLE / nullif(count_if(event_type <> 'view'), 0) AS rate FROM events GROUP BY user_id")
+def ratio_metrics(spark, folder):
+    """Null where there is nothing to divide by."""
+    by = table(spark, folder, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("a"), F.count_if(F.col("event_type") != "view").alias("b"))
+    return by.select("user_id", text.ratio(F.col("a"), F.col("b")).alias("rate"))
+
+
+@_query(f"WITH {SCORED_SQL} SELECT hyp AS id, count(*) AS n FROM s WHERE NOT gone GROUP BY hyp")
+def query_metadata(spark, folder):
+    """How many orders each id would find."""
+    return reports(spark, folder).select(F.explode(reasoning.query_metadata()).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT l_linestatus, sum(l_extendedprice::BIGINT)::BIGINT // count(*) AS mean, min(l_extendedprice::BIGINT) AS min, max(l_extendedprice::BIGINT) AS max FROM (SELECT l_linestatus, floor(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY ALL")
+def benchmark_averages(spark, folder):
+    """Whole means, cut off."""
+    whole = F.floor("l_extendedprice").cast("long")
+    by = table(spark, folder, "lineitem").groupBy("l_linestatus").agg(F.sum(whole).alias("s"), F.count(F.lit(1)).alias("k"), F.min(whole).alias("min"), F.max(whole).alias("max"))
+    return by.select("l_linestatus", F.expr("s div k").alias("mean"), "min", "max")
+
+
+@_query("SELECT lang, max_by(doc_id, n_chars * 1000000 + doc_id) AS longest, max(n_chars) AS n_chars FROM documents GROUP BY lang")
+def showcase_longest(spark, folder):
+    """Arg-max."""
+    return table(spark, folder, "documents").groupBy("lang").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("longest"), F.max("n_chars").alias("n_chars"))
+
+
+@_query()
+def bootstrap_ci(spark, folder):
+    """Resampling has no SQL."""
+    long = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("cell"), "s_suppkey", F.col("s_acctbal").alias("value"))
+    return stats.bootstrap_intervals(long, ["cell"], "s_suppkey", samples=1000)
+
+
+@_query()
+def randomization_p(spark, folder):
+    """Shuffling has no SQL."""
+    long = table(spark, folder, "supplier").select((F.col("s_nationkey") % 5).alias("cell"), F.when(F.col("s_nationkey") < 12, "a").otherwise("b").alias("arm"), "s_suppkey", F.col("s_acctbal").alias("value"))
+    return stats.randomization_tests(long, ["cell"], "arm", "a", "b", "s_suppkey", samples=1000)
