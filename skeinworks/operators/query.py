@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.operators.reasoning import once
+
 # --- fixed values: phrases that are one term or none, in this order, and other words for a term ---
 PHRASES = [
     ("maximum finder", "maximum"), ("minimum finder", "minimum"), ("max by", "max_by"), ("min by", "min_by"), ("binary search", "binary_search"),
@@ -131,6 +133,6 @@ def compiled(tree: Term | Node) -> Column:
 
 def search(reports: DataFrame, expression: str, *keys: str) -> DataFrame:
     """Matching ``reports`` (of ``analyzed``): keys, function_name, primary_intent, stages, score, fields. Best first."""
-    found = reports.withColumn("_found", compiled(parse(expression))).filter("_found.score > 0")
+    found = once(reports, _found=compiled(parse(expression))).filter("_found.score > 0")
     keys = keys or ("source",)
     return found.select(*keys, "function_name", "primary_intent", F.expr("transform(pipeline, s -> s.id)").alias("stages"), F.col("_found.score").alias("score"), F.col("_found.fields").alias("matched_fields")).orderBy(F.desc("score"), *keys, "function_name")

@@ -15,7 +15,7 @@ from skeinworks.functions import seeds
 
 COUNTERS = [c for _, _, _, c, _ in seeds.evidence_kinds() if c not in ("numeric_parameter_count", "numeric_return_count", "accumulation_count", "boolean_return_count")]
 _ITEM = "struct<provider_id:string,kind_ord:int,kind:string,token:string,strength:bigint>"
-_RULE = "struct<id:string,kind:string,weight:int>"
+_RULE = "struct<id:string,kind:string,weight:int,at:int>"
 
 
 def facts(visits: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def with_evidence(rows: DataFrame, name: str = "function_name", counters: dict[s
             items.append(F.struct(F.lit(provider).alias("provider_id"), F.lit(order).alias("kind_ord"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("token"), F.col(column).cast("long").alias("strength")))
     tokens = F.transform(name_tokens(F.coalesce(F.col(name), F.lit(""))), lambda t: F.struct(F.lit("naming").alias("provider_id"), F.lit(0).alias("kind_ord"), F.lit("name").alias("kind"), t.alias("token"), F.lit(1).cast("long").alias("strength")))
     shown = F.filter(F.array(*items), lambda x: x.strength > 0) if items else F.array().cast(f"array<{_ITEM}>")
-    return rows.withColumn("evidence", F.array_sort(F.concat(shown, tokens)))
+    return once(rows, evidence=F.sort_array(F.concat(shown, tokens)))
 
 
 def evidence_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -74,63 +74,63 @@ def evidence_rows(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode("evidence").alias("e")).select(*keys, "e.*")
 
 
-def _literal(values: list, schema: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), schema)
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns`` from a generator of one row: unlike aliases of a projection, its output is never put in
+    place of its name, so neither a filter nor a later expression computes it again."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def with_hypotheses(rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None) -> DataFrame:
+def _literal(values: list, schema: str) -> str:
+    """SQL of a constant, which stays in the expression: as a column it would be copied into every row."""
+    text = json.dumps(values).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{text}', '{schema}')"
+
+
+def with_hypotheses(rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool = True) -> DataFrame:
     """``rows`` with ``hypotheses``, ranked: active before eliminated, by confidence, then id.
 
     A hypothesis is eliminated, with confidence 0, if it requires evidence that is missing. Else its baseline, plus
     weight times strength (1 to 3) of every supporting item, less those of rejecting ones, is its confidence, 0 to 100.
+    With ``detail`` they also hold their supporting evidence, and the missing and contradicting rules.
     """
-    rule = lambda r: {"id": r.id, "kind": r.kind, "weight": r.weight}
-    known = [{"id": h.id, "baseline": h.baseline, "require": [*map(rule, h.require)], "support": [*map(rule, h.support)], "reject": [*map(rule, h.reject)]} for h in (registry or seeds.hypotheses()).values()]
-    catalogue = _literal(known, f"array<struct<id:string,baseline:int,require:array<{_RULE}>,support:array<{_RULE}>,reject:array<{_RULE}>>>")
-    key = "if(e.kind = 'name', concat('name:', e.token), e.kind)"
-    return (
-        rows.withColumn("_catalogue", catalogue)
-        .withColumn("_said", F.expr(f"transform(evidence, e -> struct({key} AS key, greatest(1, least(3, e.strength)) AS power, e AS item))"))
-        .withColumn(
-            "hypotheses",
-            F.expr("""transform(_catalogue, h -> struct(h.id AS id,
-                filter(h.require, r -> NOT exists(_said, s -> s.key = r.kind)) AS missing,
-                array_distinct(transform(filter(_said, s -> exists(h.support, r -> r.kind = s.key)), s -> s.item)) AS supporting,
-                filter(h.reject, r -> exists(_said, s -> s.key = r.kind)) AS contradicting,
-                aggregate(h.support, CAST(h.baseline AS BIGINT), (a, r) -> a + r.weight * aggregate(filter(_said, s -> s.key = r.kind), 0L, (b, s) -> b + s.power))
-                - aggregate(h.reject, 0L, (a, r) -> a + r.weight * aggregate(filter(_said, s -> s.key = r.kind), 0L, (b, s) -> b + s.power)) AS raw))"""),
-        )
-        .withColumn(
-            "hypotheses",
-            F.expr("""array_sort(transform(hypotheses, h -> struct(if(size(h.missing) > 0, 1, 0) AS status_rank,
-                if(size(h.missing) > 0, 0, -greatest(0, least(100, h.raw))) AS order, h.id AS id, if(size(h.missing) > 0, 'eliminated', 'active') AS status,
-                CAST(if(size(h.missing) > 0, 0, greatest(0, least(100, h.raw))) AS INT) AS confidence, h.supporting AS supporting, h.missing AS missing, h.contradicting AS contradicting)))"""),
-        )
-        .drop("_catalogue", "_said")
+    known = list((registry or seeds.hypotheses()).values())
+    kinds = sorted({r.kind for h in known for r in (*h.require, *h.support, *h.reject)})
+    place = {k: i for i, k in enumerate(kinds)}
+    rules = lambda which: [{"id": r.id, "kind": r.kind, "weight": r.weight, "at": place[r.kind]} for r in which]
+    table = [{"id": h.id, "baseline": h.baseline, "require": rules(h.require), "support": rules(h.support), "reject": rules(h.reject)} for h in known]
+    catalogue = _literal(table, f"array<struct<id:string,baseline:int,require:array<{_RULE}>,support:array<{_RULE}>,reject:array<{_RULE}>>>")
+    said = once(rows, _said=F.expr("transform(evidence, e -> struct(if(e.kind = 'name', concat('name:', e.token), e.kind) AS key, CAST(greatest(1, least(3, e.strength)) AS INT) AS power, e AS item))"))
+    summed = once(said, _keys=F.expr("array_distinct(transform(_said, s -> s.key))"))
+    summed = once(summed, _sums=F.expr("map_from_arrays(_keys, transform(_keys, k -> aggregate(filter(_said, s -> s.key = k), 0, (a, s) -> a + s.power)))"))
+    # the power of each kind that a rule names, 0 where it is missing: rules then find theirs by place
+    powered = once(summed, _power=F.transform(F.lit(kinds), lambda k: F.coalesce(F.try_element_at("_sums", k), F.lit(0))))
+    more = """, array_distinct(transform(filter(_said, s -> exists(h.support, r -> r.kind = s.key)), s -> s.item)) AS supporting,
+        transform(filter(h.require, r -> _power[r.at] = 0), r -> struct(r.id AS id, r.kind AS kind, r.weight AS weight)) AS missing,
+        transform(filter(h.reject, r -> _power[r.at] > 0), r -> struct(r.id AS id, r.kind AS kind, r.weight AS weight)) AS contradicting""" if detail else ""
+    scored = once(
+        powered,
+        _scored=F.expr(f"""transform({catalogue}, h -> struct(h.id AS id, exists(h.require, r -> _power[r.at] = 0) AS gone,
+            aggregate(h.reject, aggregate(h.support, h.baseline, (a, r) -> a + r.weight * _power[r.at]), (a, r) -> a - r.weight * _power[r.at]) AS raw{more}))"""),
     )
+    kept = ", h.supporting AS supporting, h.missing AS missing, h.contradicting AS contradicting" if detail else ""
+    ranked = f"""sort_array(transform(_scored, h -> struct(if(h.gone, 1, 0) AS status_rank, if(h.gone, 0, -greatest(0, least(100, h.raw))) AS order, h.id AS id,
+        if(h.gone, 'eliminated', 'active') AS status, if(h.gone, 0, greatest(0, least(100, h.raw))) AS confidence{kept})))"""
+    return once(scored, hypotheses=F.expr(ranked)).drop("_said", "_keys", "_sums", "_power", "_scored")
 
 
 def with_intent(rows: DataFrame) -> DataFrame:
     """``rows`` with ``primary_intent``, the first active hypothesis, its ``confidence``, and ``pipeline``, the longest known one whose stages are all active and whose words are all in the name."""
     known = _literal([{"stages": s, "words": w, "rank": -len(s), "id": i} for i, s, w in seeds.pipelines()], "array<struct<rank:int,id:string,stages:array<string>,words:array<string>>>")
-    return (
-        rows.withColumn("_active", F.expr("filter(hypotheses, h -> h.status = 'active')"))
-        .withColumn("primary_intent", F.expr("try_element_at(_active, 1).id"))
-        .withColumn("confidence", F.expr("try_element_at(_active, 1).confidence"))
-        .withColumn("_known", known)
-        .withColumn(
-            "_fits",
-            F.expr("""array_sort(filter(_known, p -> size(array_except(p.stages, transform(_active, h -> h.id))) = 0
-                AND size(array_except(p.words, transform(filter(evidence, e -> e.kind = 'name'), e -> e.token))) = 0))"""),
-        )
-        .withColumn("pipeline", F.expr("coalesce(transform(try_element_at(_fits, 1).stages, s -> struct(s AS id, try_element_at(filter(_active, h -> h.id = s), 1).confidence AS confidence)), array())"))
-        .drop("_active", "_known", "_fits")
-    )
+    active = once(rows, _active=F.expr("filter(hypotheses, h -> h.status = 'active')"), _words=F.expr("transform(filter(evidence, e -> e.kind = 'name'), e -> e.token)"))
+    active = once(active, _first=F.expr("try_element_at(_active, 1)"), _ids=F.expr("transform(_active, h -> h.id)"))
+    fits = once(active, _fit=F.expr(f"try_element_at(sort_array(filter({known}, p -> size(array_except(p.words, _words)) = 0 AND size(array_except(p.stages, _ids)) = 0)), 1)"))
+    pipeline = F.expr("coalesce(transform(_fit.stages, s -> struct(s AS id, try_element_at(filter(_active, h -> h.id = s), 1).confidence AS confidence)), array())")
+    return once(fits, primary_intent=F.col("_first.id"), confidence=F.col("_first.confidence"), pipeline=pipeline).drop("_active", "_words", "_first", "_ids", "_fit")
 
 
-def analyzed(rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None) -> DataFrame:
+def analyzed(rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool = True) -> DataFrame:
     """Facts with evidence, hypotheses, primary_intent, confidence and pipeline."""
-    return with_intent(with_hypotheses(with_evidence(rows, name, counters), registry))
+    return with_intent(with_hypotheses(with_evidence(rows, name, counters), registry, detail))
 
 
 def query_metadata() -> Column:

@@ -46,8 +46,8 @@ def order_facts(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.any_value(F.expr(_NAME)).alias("function_name"), *(F.count_if(F.expr(test)).alias(f"n_{kind}") for kind, test in COUNTERS.items()))
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    return reasoning.analyzed(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS})
+def reports(spark: SparkSession, folder: str, detail: bool = False) -> DataFrame:
+    return reasoning.analyzed(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}, detail=detail)
 
 
 def _values(rows) -> str:
@@ -101,7 +101,7 @@ def evidence_unpivot(spark, folder):
 @_query(f"WITH {SCORED_SQL} SELECT hyp AS hypothesis, count_if(NOT gone) AS n_active, count_if(gone) AS n_eliminated, sum(confidence)::BIGINT AS confidence FROM s GROUP BY hyp")
 def rule_scoring(spark, folder):
     """All hypotheses of all orders, summed up by hypothesis."""
-    scored = reasoning.with_hypotheses(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}))
+    scored = reasoning.with_hypotheses(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), detail=False)
     one = scored.select(F.explode("hypotheses").alias("h")).select("h.id", "h.status", "h.confidence")
     return one.groupBy(F.col("id").alias("hypothesis")).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") != "active").alias("n_eliminated"), F.sum("confidence").alias("confidence"))
 
@@ -153,7 +153,7 @@ _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'type_mismatch' WHEN 'O' THEN 'missi
 def diagnose_top1(spark, folder):
     """Each order's status as a diagnostic of it."""
     said = table(spark, folder, "orders").select(F.col("o_orderkey").alias("diagnostic_id"), F.col("o_orderkey").alias("source"), F.expr(_STATUS).alias("category"), F.lit(None).cast("string").alias("function_name"))
-    found = diagnose.diagnosed(said, reports(spark, folder).withColumnRenamed("l_orderkey", "source")).filter("intent IS NOT NULL")
+    found = diagnose.diagnosed(said, reports(spark, folder, detail=True).withColumnRenamed("l_orderkey", "source")).filter("intent IS NOT NULL")
     return found.select("diagnostic_id", "category", "intent", "confidence", "interpretation", F.size("fixes").alias("n_fixes"))
 
 
