@@ -128,9 +128,10 @@ def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
     keys = stable(rows.select("page_id", "key", F.octet_length("html").alias("size")))
     first = grouped(keys.filter(F.col("size") >= least), "key", F.struct((-F.col("page_id")).alias("id"))).select("page_id", "key", (-F.col("best.id")).alias("first"))
     small = keys.filter(F.col("size") < least).select("page_id", "key", F.col("page_id").alias("first"))
-    firsts = first.unionByName(small).distinct().withColumnsRenamed({"page_id": "_id", "key": "_key"})
-    joined = _responses(rows).join(firsts, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "key").orderBy("url")))
+    place = {"_id": F.coalesce("page_id", F.lit(0)), "_null": F.isnull("page_id")}  # plain keys: the join and the window then share one shuffle of the records
+    firsts = first.unionByName(small).distinct().withColumns(place).drop("page_id")
+    joined = _responses(rows).withColumns(place).join(firsts.hint("merge"), ["_id", "_null", "key"])
+    joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("_id", "_null", "key").orderBy("url")))
     revisit = ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)) & (F.col("size") >= least)
     return joined.select("page_id", "url", "key", "size", "member", "copy", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
