@@ -3,9 +3,10 @@
 A text is the weighted set of its runs of five words. A run weighs its count in the text times the mean idf of its
 words. (By the runs' own document frequency, the very runs that copies share would count least, the more so the more
 copies there are.) Document frequencies are of all texts, in a table of fixed size. ICWS samples are banded; texts
-with a band in common meet, in a linear number of pairs: each with its band's most central text, and with neighbours
-in the order of the next bands where that does not connect them. Pairs are verified by their weighted Jaccard
-similarity, and classes are the connected components of verified pairs.
+with a band in common first meet its most central text, which connects most of them. Where a band's texts stay in
+different classes, an exact join finds the pairs that may be similar: a pair of similarity t shares one of the rarest
+shingles that make up 1 - t of each text's weight. Pairs are verified by their weighted Jaccard similarity, and
+classes are the connected components of verified pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.exact_dedup import grouped
@@ -26,9 +27,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Slots of the document frequency table, sent to every worker.
 DF_SLOTS = 1 << 18
-#: Neighbours that a text meets in a band whose most central text does not connect it.
-NEIGHBOURS = 4
+#: Slots of the table of shingle frequencies by which the exact join puts rare shingles first.
+RARE_SLOTS = 1 << 20
+#: Texts of one shingle that a task of the exact join pairs with as many; more are spread over several cells.
+BLOCK = 512
 _TABLE = 16
+_SLACK = 1e-5  # for sums of single precision
 
 
 def _quantiles(size: int = 1 << _TABLE) -> tuple[np.ndarray, np.ndarray]:
@@ -193,29 +197,59 @@ def _leaders(banded: DataFrame) -> DataFrame:
     return banded.join(leader.select("band", "key", (-F.col("best.id")).alias("leader")), ["band", "key"]).filter("id != leader")
 
 
-def _neighbours(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of the same band key and different roots that lie close in the order of the next bands.
+def _prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(h, id, root, total) of the rarest shingles of each row (id, root, text): the least that no pair of ``threshold`` can do without.
 
-    The order is global, cut into ranges of even size, so a very common key is spread over many tasks.
+    Overlap is at least threshold times each text's weight, so it can't lie wholly in a text's shingles of less weight
+    than that. Any order of shingles that is the same for all texts is right; the rarest come first by a table of
+    fixed size, where shingles that share a slot only make the order less selective.
     """
-    order = ["band", "key", "next", "after", "id"]
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARE_SLOTS, np.int64)
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4, 5)])
-            rows = rows if tail is None else np.concatenate([tail, rows], axis=1)
-            known = 0 if tail is None else tail.shape[1]
-            a, b = [], []
-            for d in range(1, NEIGHBOURS + 1):
-                x, y = rows[:, d:], rows[:, :-d]
-                met = (x[0] == y[0]) & (x[1] == y[1]) & (x[3] != y[3]) & (np.arange(x.shape[1]) + d >= known)
-                a.append(np.minimum(x[2], y[2])[met])
-                b.append(np.maximum(x[2], y[2])[met])
-            tail = rows[:, -NEIGHBOURS:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            for _, _, words in chunks(batch.column(0)):
+                total += np.bincount((shingles(words, idf.value)[1] % np.uint64(RARE_SLOTS)).astype(np.int64), minlength=RARE_SLOTS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["slot", "n"])
 
-    return rest.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "root").mapInArrow(meet, "a long, b long")
+    seen = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most RARE_SLOTS rows
+    table = np.zeros(RARE_SLOTS, np.int32)
+    table[seen["slot"].to_numpy()] = np.minimum(seen["n"].to_numpy(), np.iinfo(np.int32).max)
+    often = texts.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in chunks(batch.column(2)):
+                text, hashes, weight = shingles(words, idf.value)
+                order = np.lexsort((hashes, often.value[(hashes % np.uint64(RARE_SLOTS)).astype(np.int64)], text))
+                text, hashes, weight = text[order], hashes[order], weight[order].astype(np.float64)
+                total = np.bincount(text, weights=weight, minlength=words.texts)
+                before = np.cumsum(weight) - weight
+                heads = np.searchsorted(text, np.arange(words.texts))
+                before -= np.append(before, 0)[heads][text]
+                keep = total[text] - before >= total[text] * (threshold - _SLACK)
+                text, hashes = text[keep], hashes[keep]
+                at = pa.array(text)
+                ids, roots = (batch.column(i).slice(a, b - a).take(at) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids, roots, pa.array(total[text])], names=["h", "id", "root", "total"])
+
+    return texts.select("id", "root", "text").mapInArrow(rarest, "h long, id long, root long, total double")
+
+
+def _unmet(texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Pairs (a, b) of rows (id, root, text) of different roots: all that may have a similarity of ``threshold``.
+
+    Texts of a common shingle are cut into blocks that meet each other in cells, so no key is one task's alone.
+    """
+    rare = stable(_prefixes(texts, idf, threshold))
+    shared = rare.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    held = stable(rare.join(shared.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = held.select("h", F.col("own").alias("x"), cells.alias("y"), F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("total").alias("total_a"))
+    two = held.select("h", cells.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"))
+    near = F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * (threshold - _SLACK)
+    return one.join(two, ["h", "x", "y"]).filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,17 +267,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = stable(grouped(known, "print", F.struct((-F.col("id")).alias("id"))).select("id", (-F.col("best.id")).alias("first")).groupBy("id").agg(F.min("first").alias("first")))
     only = member.filter("id = first").select("id")
     bands = sketched.filter("print IS NOT NULL").join(only, "id", "left_semi").dropDuplicates(["id"])
-    at = lambda d: F.element_at("bands", (F.col("pos") + d) % BANDS + 1)
-    banded = stable(bands.select("id", "bands", F.posexplode("bands").alias("pos", "key")).select("id", F.col("pos").alias("band"), "key", at(1).alias("next"), at(2).alias("after")))
+    banded = stable(bands.select("id", F.posexplode("bands").alias("band", "key")))
     led = stable(_leaders(banded))
     texts = rows.filter("id IS NOT NULL").join(led.select("id").union(led.select(F.col("leader"))).distinct(), "id", "left_semi")
-    pair = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    pair = stable(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     links = stable(verified(pair, texts, idf, threshold).select("a", "b"))
     roots = stable(components(links))
     rooted = led.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = roots.withColumnsRenamed({"id": "leader", "root": "led_by"})
-    rest = rooted.join(heads, "leader", "left").filter(F.col("root") != F.coalesce("led_by", "leader")).select("band", "key", "next", "after", "id", "root")
-    more = verified(_neighbours(stable(rest)).distinct(), texts, idf, threshold).select("a", "b")
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")  # all have met the leader
+    rest = rooted.join(apart, ["band", "key"], "left_semi").select("id", "root").distinct()
+    unmet = _unmet(stable(rows.join(rest, "id")), idf, threshold).join(pair, ["a", "b"], "left_anti")
+    more = verified(unmet, texts, idf, threshold).select("a", "b")
     final = components(links.unionByName(stable(more)))
     found = member.join(final.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("class"))
     placed = stable(rows.select("id").join(found, "id", "left").withColumn("class_id", F.coalesce("class", "id")).select("id", "class_id"))

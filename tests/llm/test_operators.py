@@ -7,21 +7,23 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinworks.llm import packing, queries
+from skeinworks.llm import near_dedup, packing, queries
 from skeinworks.llm.chat import escape, formatted, read_back, turns_as_events, unescape
 from skeinworks.llm.decontaminate import contamination, items_sha256
 from skeinworks.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from skeinworks.llm.near_dedup import near_duplicates
+from skeinworks.llm.near_dedup import idf_table, near_duplicates, shingles, similarity
 from skeinworks.llm.packing import packed
 from skeinworks.llm.repeats import repeated_passages
 from skeinworks.llm.sharding import sharded
 from skeinworks.llm.tokens import token_counts, tokenizer, tokenizer_path
 from skeinworks.llm.toxicity import held_out, toxicity
 from skeinworks.llm.warc import archived
+from skeinworks.llm.words import chunks
 
 rng = random.Random(3)
 VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "mé", "nu", "Pi", "ra") for b in ("tor", "vex", "lin", "9", "dum", "sée", "fo")]
@@ -165,6 +167,47 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == want
 
 
+def near_classes(rows, spark):
+    """Classes of (id, text) by comparing every pair."""
+    idf, sets = idf_table(spark.createDataFrame(rows, "id long, text string")), {}
+    for i, t in rows:
+        for _, _, found in chunks(pa.array([t])):
+            sets[i] = shingles(found, idf)[1:]
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_near_duplicates_of_chains_by_brute_force(spark):
+    pick, rows = random.Random(11), []
+    for chain in range(60):  # a is like b, and b like the copies around l, but a is not like these
+        l = [f"{pick.choice(VOCABULARY)}{pick.randrange(900)}" for _ in range(200)]
+        b = [*l[:190], *(f"b{chain}x{j}" for j in range(10))]
+        a = [*(f"a{chain}x{j}" for j in range(13)), *b[13:]]
+        rows += [(chain * 10 + 9 - j, " ".join([*l[: 100 + j], f"l{chain}x{j}", *l[101 + j :]])) for j in range(6)]
+        rows += [(chain * 10 + 1, " ".join(b)), (chain * 10, " ".join(a))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_classes(rows, spark)
+    assert len(set(want.values())) == 60
+    assert {r.doc_id: r.class_id for r in near_duplicates(table).collect()} == want
+
+
+def test_near_duplicates_of_a_template_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    pick = random.Random(12)
+    template, rows = [f"t{j}" for j in range(120)], []
+    for i in range(80):  # letters of one template, each with a chain of two more
+        own = [*template[: 110], *(f"{pick.choice(VOCABULARY)}{i}x{j}" for j in range(60))]
+        two = [*own[:-12], *(f"u{i}x{j}" for j in range(12))]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(two)), (3 * i + 2, " ".join([*(f"v{i}x{j}" for j in range(14)), *two[14:]]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(table).collect()} == near_classes(rows, spark)
+
+
 def test_repeated_passages(spark, docs, none):
     got = {(r.doc_id, r.other_doc_id, r.n_words) for r in repeated_passages(docs).collect()}
     assert any(a == 10 and b == 11 and n >= 120 for a, b, n in got) and any(a == 11 and b == 10 for a, b, _ in got)
