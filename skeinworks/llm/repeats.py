@@ -1,9 +1,9 @@
-"""Passages that repeat, by a sparse suffix array.
+"""Passages that repeat, by a sparse suffix array reduced to its groups of equal prefixes.
 
-Suffixes are kept only at minimisers: word positions whose k-gram hash is least in a window, chosen by content
-alone, so copies of a passage keep the same positions. Of these, positions whose k-gram occurs once cannot repeat
-and are dropped. The others are sorted by the words to their right, then by those to their left; close neighbours
-are compared and their match is extended right and left. Texts of equal words enter once and stand for their copies.
+Minimisers, word positions whose k-gram hash is least in a window, are chosen by content alone, so copies of a passage
+keep the same ones. A run of LEAST words whose minimisers occur once cannot repeat and is dropped. The others are
+grouped by a 64-bit hash of all their words, which finds every run that occurs again however many others share parts
+of it; runs that overlap or touch make a passage. Texts of equal words enter once and stand for their copies.
 """
 
 from __future__ import annotations
@@ -17,17 +17,10 @@ from pyspark.sql import functions as F
 
 from skeinworks.llm.exact_dedup import grouped
 from skeinworks.llm.store import stable
-from skeinworks.llm.words import chunks, minimisers
+from skeinworks.llm.words import chunks, minimisers, sliding
 
 #: Fewest words of a passage; words of a minimiser; minimisers of which a window keeps the least.
 LEAST, GRAM, WINDOW = 50, 12, 32
-#: A passage's first minimiser is less than WINDOW words from its start, and the others follow within WINDOW words, so
-#: so many words to the left and LEAST to the right cover it.
-LEFT, RIGHT = WINDOW, LEAST
-NEIGHBOURS = 4
-_CODE = np.dtype(">u4")  # big-endian, so that bytes sort as words' codes do
-_SUFFIX = "id long, at int, right binary, left binary"
-_FOUND = "id long, start int, end int, other long, at int, right binary, left binary"
 
 
 def _positions(docs: DataFrame) -> DataFrame:
@@ -51,77 +44,29 @@ def _positions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "id long, print binary, n_words long, at array<int>, gram array<long>")
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
-    """The words around the positions ``at`` of each row (id, text, at), as codes; to the left in reverse."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """(h, id, at) of each row's (id, text, gram) runs of LEAST words all of whose minimisers are in ``gram``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in chunks(batch.column(1)):
-                codes = np.zeros(len(words) + LEFT + RIGHT, _CODE)  # 0: no word
-                codes[LEFT : LEFT + len(words)] = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                ids, places, right, left = [], [], [], []
-                for t, (own, positions) in enumerate(zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)):
-                    first, last = int(words.first[t]), int(words.first[t + 1])
-                    for p in sorted(x for x in positions if x < last - first):
-                        w = first + p
-                        r = codes[LEFT + w : LEFT + w + RIGHT].copy()
-                        r[last - w :] = 0
-                        x = codes[w : LEFT + w][::-1].copy()
-                        x[p:] = 0
-                        ids.append(own)
-                        places.append(p)
-                        right.append(r.tobytes())
-                        left.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["id", "at", "right", "left"])
-
-    return docs.mapInArrow(scan, _SUFFIX)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows have in common from their start."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-
-
-def _compared(rows: DataFrame, edges: bool) -> DataFrame:
-    """Each suffix's longest match with one of its neighbours in the sorted partition; with ``edges`` also the outermost suffixes."""
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids, start, end, other, at=None, right=None, left=None):
-            n = len(ids)
-            columns = [pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(other, pa.int64())]
-            more = [at or [None] * n, right or [None] * n, left or [None] * n]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in zip(more, (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["id", "start", "end", "other", "at", "right", "left"])
-
-        def edge(part):
-            n = part.num_rows
-            return found(part.column(0).to_pylist(), [None] * n, [None] * n, [None] * n, *(part.column(i).to_pylist() for i in (1, 2, 3)))
-
-        tail = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if tail is None and edges:
-                yield edge(batch.slice(0, NEIGHBOURS))
-            known = 0 if tail is None else tail.num_rows
-            both = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
-            ids, at = both.column(0).to_numpy(), both.column(1).to_numpy()
-            right = np.frombuffer(b"".join(both.column(2).to_pylist()), _CODE).reshape(-1, RIGHT)
-            left = np.frombuffer(b"".join(both.column(3).to_pylist()), _CODE).reshape(-1, LEFT)
-            for d in range(1, NEIGHBOURS + 1):
-                later = np.arange(max(d, known), len(ids))
-                if not len(later):
+                whole, inside = words.grams(LEAST)
+                if not len(whole):
                     continue
-                r, x = _common(right[later], right[later - d]), _common(left[later], left[later - d])
-                hit = r + x >= LEAST
-                later, r, x = later[hit], r[hit], x[hit]
-                for one, two in ((later, later - d), (later - d, later)):
-                    yield found(ids[one], at[one] - x, at[one] + r, ids[two])
-            tail = both.slice(len(ids) - NEIGHBOURS).to_batches()[0] if len(ids) > NEIGHBOURS else both.to_batches()[0]
-        if tail is not None and edges:
-            yield edge(tail)
+                known = batch.column(2).slice(a, b - a)
+                owner = words.owner
+                least = sliding(np.minimum, words.grams(GRAM)[0], WINDOW)
+                again = np.zeros(len(least), bool)
+                for t in range(words.texts):
+                    part = slice(int(words.first[t]), int(words.first[t + 1]))
+                    again[part] = np.isin(least[part], np.array(known[t].as_py(), np.int64).view(np.uint64))
+                kept = np.flatnonzero(inside & sliding(np.minimum, again, LEAST - GRAM - WINDOW + 2))
+                own = owner[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole[kept].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(own)), pa.array(kept - words.first[own], pa.int32())], names=["h", "id", "at"]
+                )
 
-    return rows.mapInArrow(match, _FOUND)
+    return docs.mapInArrow(scan, "h long, id long, at int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -143,13 +88,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     kept = found.join(member.filter("id = first").select("id"), "id", "left_semi").dropDuplicates(["id", "print"])
     places = kept.select("id", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("id", "x.at", "x.gram")
     again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    chosen = places.join(again, "gram", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at"))
-    order = ["right", "left", "id", "at"]
-    suffixes = _suffixes(rows.join(chosen, "id").select("id", "text", "at")).repartitionByRange(*order).sortWithinPartitions(*order)
-    matches = stable(_compared(suffixes, edges=True))
-    edges = matches.filter("right IS NOT NULL").select("id", "at", "right", "left").distinct()  # 2 * NEIGHBOURS of each partition
-    across = _compared(edges.coalesce(1).sortWithinPartitions(*order), edges=False)
-    spans = matches.filter("right IS NULL").unionByName(across).select("id", "start", "end", "other").distinct().unionByName(whole)
+    chosen = places.join(again, "gram", "left_semi").groupBy("id").agg(F.collect_set("gram").alias("gram"))
+    runs = stable(_runs(rows.join(chosen, "id").select("id", "text", "gram")))
+    # the same row again has the same places, so a run that occurs at two has two ids or two positions
+    found = runs.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("at").alias("first"), F.max("at").alias("last")).filter("low != high OR first != last")
+    other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high")).alias("other")
+    spans = runs.join(found.select("h", "low", "high"), "h").select("id", F.col("at").alias("start"), (F.col("at") + LEAST).cast("int").alias("end"), other).distinct().unionByName(whole)
     by_start = Window.partitionBy("id").orderBy("start", "end", "other")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("_part", F.sum("_new").over(by_start))

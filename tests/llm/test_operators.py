@@ -216,6 +216,31 @@ def test_repeated_passages(spark, docs, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_repeated_passages_by_brute_force(spark):
+    pick = random.Random(13)
+    new = lambda n: [f"{pick.choice(VOCABULARY)}{pick.randrange(10**6)}" for _ in range(n)]
+    tail, rows = new(40), []
+    for i in range(60):  # copies that end in a common tail, which stands in many other contexts
+        passage = new(14) + tail
+        rows += [new(30) + passage + new(20), new(9) + passage + new(40), new(25) + tail + new(25)]
+    often = new(55)
+    rows += [[w for _ in range(10) for w in often + new(3)], new(5) + often + new(70)]
+    places = defaultdict(set)
+    for i, w in enumerate(rows):
+        for at in range(len(w) - 49):
+            places[tuple(w[at : at + 50])].add((i, at))
+    want = defaultdict(set)
+    for found in places.values():
+        for i, at in found if len(found) > 1 else ():
+            want[i] |= set(range(at, at + 50))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in repeated_passages(table).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert r.other_doc_id != r.doc_id
+    assert got == want and len(want) == 122
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y%", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", "x" * 300000), (None, "u", "<p>é</p>"), (5, "v", "x" * 300000)]
     got = archived(spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, key string")).collect()
