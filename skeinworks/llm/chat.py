@@ -5,7 +5,8 @@ regenerations are folded into final messages, and these are rendered. All of it
 holds a message at a time, so a conversation may be as long as it likes.
 
 Events: ``message`` begins a turn (role, text), ``delta`` appends text, ``edit`` replaces the text, ``regenerate``
-begins the turn anew and drops every later turn that began before it, ``delete`` drops the turn.
+begins the turn anew and drops every later turn that began before it, ``delete`` drops the turn. ``turn`` is a turn
+finished already, a message of its own even where another has its number.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(conv_id, role, text, alive) from events sorted by conversation, turn and sequence."""
     conv = turn = object()
-    message, barrier, nothing = None, None, object()
+    message, barrier = None, None
 
     def ended():
         alive = not message["dropped"] and (barrier is None or message["began"] is None or message["began"] > barrier)
@@ -74,7 +75,7 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for batch in batches:
         for c, t, seq, kind, role, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if c != conv or t != turn or turn is nothing:
+            if c != conv or t != turn or kind == "turn":
                 if message is not None:
                     yield ended()
                     if message["again"] is not None and c == conv:
@@ -172,5 +173,6 @@ def read_back(chunks: DataFrame) -> DataFrame:
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as a log: every row is a message, in the order of turn, null last, role and text."""
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1))
+    return conversations.select("conv_id", turn.alias("turn"), turn.alias("seq"), F.lit("turn").alias("kind"), "role", "text")

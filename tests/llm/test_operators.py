@@ -269,6 +269,17 @@ def test_chat_folds_events(spark):
     assert read_back(formatted(turns_as_events(table.select("conv_id", "turn", "role", "text").limit(0)))).count() == 0
 
 
+def test_chat_keeps_rows_of_equal_and_null_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, "user", "c"), (1, None, "assistant", "d"), (1, 2, "user", "e"), (None, None, "user", "f"), (None, None, "user", "g")]
+    got = {r.conv_id: r for r in read_back(formatted(turns_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    for conv in (1, None):
+        own = sorted((t is None, t or 0, r, x) for c, t, r, x in rows if c == conv)
+        learned = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(own), len(learned))
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in own).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+
+
 def test_toxicity_on_held_out_labels(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
