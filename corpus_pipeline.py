@@ -1,12 +1,13 @@
 """Documents made ready for training, stage by stage: toxic ones go, exact and near copies go, contaminated ones go, the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``docs``. A stage that judges rows joins its decisions back by doc_id, null doc_ids included.
+columns of ``docs``. Rows are judged by their texts, and decisions join back by a hash of the text, so a row never goes
+for another row of its doc_id, null or not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.llm.decontaminate import contamination, is_contaminated
@@ -18,17 +19,30 @@ from skeinworks.llm.tokens import tokenizer_path
 from skeinworks.llm.toxicity import toxicity
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (column doc_id)."""
-    keep = ids.select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+def _worded() -> Column:
+    """A text that has a word, in the sense of ``skeinworks.llm.words``."""
+    return F.coalesce(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"), F.lit(False))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """Documents that operators may judge: the text under its hash."""
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose text is none of ``rejected`` (column doc_id, as of ``_texts``)."""
+    return keyed.join(rejected.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier clean than not. Of rows that repeat a doc_id all go if one is toxic."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("toxic").select(F.col("doc_id").alias("_drop"))
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop")), "left_anti").select(*docs.columns)
+    """Documents that are likelier clean than not."""
+    keyed = _keyed(docs)
+    scored = toxicity(_texts(keyed), spark.read.parquet(f"{sf_dir}/labels.parquet"), known=docs)
+    return _without(keyed, scored.filter("toxic")).select(*docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +51,22 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest doc_id. A document without words, or of null doc_id, is no near duplicate."""
-    classes = near_duplicates(docs)
-    return _kept(docs, classes.filter("class_id <=> doc_id"))
+    """Of near duplicates the smallest doc_id, null last. A document without words is no near duplicate."""
+    keyed = _keyed(docs)
+    worded = keyed.filter(_worded())
+    classes = near_duplicates(_texts(worded)).select(F.col("doc_id").alias("_key"), "class_id").distinct()
+    own = F.col("doc_id").cast("long")
+    order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_key").alias("key"))
+    best = worded.select("doc_id", "_key").join(classes, "_key").groupBy("class_id").agg(F.min(order).alias("best")).select(F.col("best.id").alias("_keep"), F.col("best.key").alias("_best"))
+    kept = worded.join(best, own.eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_best")), "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(~_worded()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are in passages of ``benchmark``."""
-    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    rejected = judged.filter(is_contaminated()).select(F.col("doc_id").alias("_drop"))
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop")), "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    judged = contamination(_texts(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, judged.filter(is_contaminated())).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

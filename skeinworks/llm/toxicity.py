@@ -173,14 +173,15 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return fit([np.frombuffer(r["slots"], np.int32).reshape(-1, 1 + len(BEGINNINGS)) for r in got], np.array([r["toxic"] for r in got], bool), (seen["toxic"] or 0) / max(seen["n"], 1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, severity (expected, 0 to 2), grade (the likeliest), toxic.
 
     ``toxic``: a grade above 0 is likelier than not. Null and wordless texts are scored by the thresholds alone.
     Labels of null doc_id or toxic are not used, and of labels that repeat a doc_id one is. Without labels of both
-    classes every severity is 0. Other columns are not read.
+    classes every severity is 0. ``known`` has the texts of the labels' doc_ids, by default ``docs``. Other columns are
+    not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, train_rows))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs if known is None else known, labels, train_rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value

@@ -304,5 +304,22 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_pipeline_stages_judge_each_row_by_itself(spark, sf):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    judged = toxicity(table, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).filter("toxic AND n_words > 20").select("doc_id").limit(1)
+    toxic = table.join(judged, "doc_id").first().text
+    copied = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").filter("length(text) > 200").first().text
+    clean, near = PROSE[4], NEAR
+    for own in (None, 7 * 10**9):
+        more = spark.createDataFrame([(own, clean), (own, toxic), (own, copied)], "doc_id long, text string")
+        left = [r.text for r in corpus_pipeline.drop_toxic(spark, table.unionByName(more), "/root/testdata/sf0.01").filter(F.col("doc_id").eqNullSafe(F.lit(own))).collect()]
+        assert clean in left and toxic not in left
+        left = [r.text for r in corpus_pipeline.drop_contaminated(spark, more, "/root/testdata/sf0.01").collect()]
+        assert clean in left and copied not in left
+        rows = spark.createDataFrame([(own, near), (own, PROSE[3]), (3, clean), (own, None)], "doc_id long, text string")
+        left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near(spark, rows, sf).collect()]
+        assert Counter(left) == Counter([(own, PROSE[3]), (3, clean), (own, None)])
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
