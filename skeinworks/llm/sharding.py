@@ -46,18 +46,18 @@ def _over(total: dict, parts: int) -> Column:
 def sharded(docs: DataFrame, shards: int = 16, tokens: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): size (UTF-8 bytes of the text, null: none, plus 1), text_crc32, shard, slot.
 
-    ``tokens`` counts a row's tokens; by default words between blanks, which needs no tokenizer. A group of equal
-    texts has one shard unless it is larger than a shard can hold, when it is dealt by doc_id. Slots are gapless from
-    0 in every shard. Null and empty texts are one group of size 1 each; repeated rows are placed row by row; an empty
-    table gives no rows. Other columns are not read.
+    ``tokens`` counts a row's tokens; by default words between white space, which needs no tokenizer. A group of equal
+    texts has one shard unless it is larger than a shard can hold, when it is dealt row by row, whatever the doc_ids.
+    Slots are gapless from 0 in every shard. Null and empty texts are one group of size 1 each; repeated rows are
+    placed row by row; an empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     if tokens is None:
-        tokens = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+        tokens = F.regexp_count(text, F.lit(r"\S+")).cast("long")
     rows = stable(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), tokens.cast("long").alias("tokens"),
-            F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_group"),
+            F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_group"), F.monotonically_increasing_id().alias("_row"),
         ).withColumn("_bucket", F.pmod("_group", F.lit(buckets)).cast("long"))
     )
     by_bucket = rows.groupBy("_bucket").agg(*_sums()).collect()  # at most BUCKETS rows
@@ -73,7 +73,7 @@ def sharded(docs: DataFrame, shards: int = 16, tokens: Column | None = None, buc
     dealt = rows
     if groups:
         lookup = spark.createDataFrame([(x["_group"], first_piece[x["_group"]], x["_pieces"]) for x in groups], "_group long, _base long, _pieces long")
-        piece = F.col("_base") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_pieces"))
+        piece = F.col("_base") + F.pmod(F.xxhash64("_row"), F.col("_pieces"))
         dealt = rows.join(F.broadcast(lookup), "_group", "left").withColumn("_bucket", F.coalesce(piece, "_bucket"))
     cells = {x["_bucket"]: tuple(x[k] for k in _SIZES) for x in dealt.groupBy("_bucket").agg(*_sums()).collect()}
     shard_of = _placed(cells, [range(first_piece[x["_group"]], first_piece[x["_group"]] + x["_pieces"]) for x in groups], shards)
@@ -82,7 +82,7 @@ def sharded(docs: DataFrame, shards: int = 16, tokens: Column | None = None, buc
         start.append((bucket, int(shard_of[bucket]), filled[shard_of[bucket]]))
         filled[shard_of[bucket]] += cells[bucket][2]
     plan = spark.createDataFrame(start, "_bucket long, shard int, _start long")
-    within = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_row")
     return (
         dealt.withColumn("_at", F.row_number().over(within) - 1)
         .join(F.broadcast(plan), "_bucket")
