@@ -1,9 +1,9 @@
 """Token counts and ids of whole texts, exactly as a public tokenizer gives them, from cached pieces.
 
-A text is cut only where the tokenizer itself always cuts, so the pieces' tokens are the text's tokens. Pieces
-that many rows use are encoded once and broadcast (the first tier); each Python worker encodes the others and
-caches them (the second tier). No piece is ever shuffled: the frequent ones are found from one bounded summary
-for each task.
+A text is cut only where the tokenizer itself always cuts, so the pieces' tokens are the text's tokens. The lengths
+of frequent pieces are broadcast (the first tier); each Python worker encodes the others and caches them (the second
+tier). Nothing is counted or shuffled for that: the tokenizer's own vocabulary says which pieces are frequent, as its
+merges were learned in that order. Which pieces are in the table only matters to speed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the broadcast table, of a task's summary of frequent pieces, and of a worker's cache.
-FREQUENT, SUMMARY, CACHE = 1 << 15, 1 << 15, 1 << 20
+#: Words of the vocabulary in the broadcast table, and entries of a worker's cache.
+FREQUENT, CACHE = 1 << 15, 1 << 20
 #: Longer pieces are encoded each time, so entries stay small.
 LONGEST = 64
 #: White space that every tokenizer here takes as a cut.
@@ -57,28 +56,16 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield at, [x or "" for x in column.slice(at, _SLICE).to_pylist()]
 
 
-def frequent_pieces(texts: DataFrame, size: int = FREQUENT, summary: int = SUMMARY) -> DataFrame:
-    """(piece, n) of the ``size`` most frequent pieces of all of ``texts`` (column text), nearly.
+def frequent_pieces(path: str, size: int = FREQUENT) -> list[str]:
+    """The first ``size`` whole words of a tokenizer's vocabulary, in the order in which they were learned, each also with a capital."""
+    from tokenizers import decoders
 
-    Each task keeps at most ``2 * summary`` counters over everything it reads and drops the least (Misra-Gries with
-    batched decrements), so what is shuffled is bounded by the number of tasks. Which pieces make the table only
-    matters to speed.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for _, part in _texts(batch.column(0)):
-                for text in part:
-                    seen.update(_ASCII_PIECE.findall(text))
-                if len(seen) > 2 * summary:
-                    least = seen.most_common(summary + 1)[-1][1]
-                    seen = Counter({k: v - least for k, v in seen.items() if v > least})
-        top = [(k, v) for k, v in seen.most_common(summary) if len(k) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["piece", "n"])
-
-    found = texts.select("text").mapInArrow(count, "piece string, n long")
-    return found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
+    ending = "</w>"
+    entries = (k for k, _ in sorted(tokenizer(path).get_vocab(with_added_tokens=False).items(), key=lambda x: x[1]) if k.endswith(ending))
+    decoder = decoders.ByteLevel()
+    words = [decoder.decode([k.removesuffix(ending)]) for k, _ in zip(entries, range(size))]
+    plain = [w for w in words if len(w) <= LONGEST and _ASCII_PIECE.fullmatch(w)]
+    return list(dict.fromkeys([*plain, *(w.capitalize() for w in plain)]))
 
 
 class Lengths(dict):
@@ -114,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent: int =
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
-    pieces = [x[0] for x in frequent_pieces(rows, frequent).select("piece").collect()]  # at most ``frequent``
+    pieces = frequent_pieces(path, frequent)  # at most 2 * ``frequent``
     table = dict(zip(pieces, (len(x.ids) for x in tokenizer(path).encode_batch(pieces, add_special_tokens=False)), strict=True))
     shared, key = sc.broadcast(table), (path, id(table))
 
