@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.exact_dedup import grouped
-from skeinworks.llm.store import stable
+from skeinworks.llm.exact_dedup import HOTTEST, grouped, looked_up
+from skeinworks.llm.store import numbered, stable
 from skeinworks.llm.words import Words, chunks, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -27,12 +27,13 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Slots of the document frequency table, sent to every worker.
 DF_SLOTS = 1 << 18
-#: Slots of the table of shingle frequencies by which the exact join puts rare shingles first.
-RARE_SLOTS = 1 << 20
-#: Texts of one shingle that a task of the exact join pairs with as many; more are spread over several cells.
-BLOCK = 512
+#: Texts, and bytes, of one band that a task compares with as many; more are spread over several tasks.
+BLOCK, BLOCK_BYTES = 512, 1 << 23
+#: Pairs that are added up at a time.
+CELLS = 1 << 20
+#: A text of more than BLOCK pairs, and among the HOTTEST of these, is verified in so many tasks.
+SPREAD = 64
 _TABLE = 16
-_SLACK = 1e-5  # for sums of single precision
 
 
 def _quantiles(size: int = 1 << _TABLE) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +124,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / max(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - shared, 1e-12))
 
 
-def _sketched(docs: DataFrame, idf) -> DataFrame:
-    """(id, print, bands) of each row: 128 bits of its word sequence, null for no words, and its band keys."""
+def _sketched(rows: DataFrame, idf) -> DataFrame:
+    """(row, id, print, bands) of rows (row, id, text): 128 bits of the word sequence, null for no words, and the band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in chunks(batch.column(1)):
+            for a, b, words in chunks(batch.column(2)):
                 text, found = samples(*shingles(words, idf.value), BANDS * ROWS)
                 keys = np.zeros((len(text), BANDS), np.uint64)
                 for j in range(BANDS):
@@ -137,15 +138,26 @@ def _sketched(docs: DataFrame, idf) -> DataFrame:
                 bands: list = [None] * words.texts
                 for t, key in zip(text, keys.view(np.int64).tolist(), strict=True):
                     bands[t] = key
-                prints = words.prints()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "print", "bands"])
+                own = [batch.column(i).slice(a, b - a) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words.prints(), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "id", "print", "bands"])
+
+    return rows.select("row", "id", "text").mapInArrow(sketch, "row long, id long, print binary, bands array<long>")
 
-    return docs.mapInArrow(sketch, "id long, print binary, bands array<long>")
+
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
+    """``pairs`` with the text of ``end``. An id of very many pairs is dealt over SPREAD tasks by the ``other`` end."""
+    often = stable(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).orderBy(F.desc("n"), end).limit(HOTTEST))
+    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SPREAD))).cast("int").alias("part")
+    dealt = pairs.join(F.broadcast(often), end, "left").select(*pairs.columns, part)
+    named = texts.withColumnsRenamed({"id": end, "text": f"text_{end}"})
+    parts = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    copies = named.join(F.broadcast(often), end, "left").select(*named.columns, F.explode(parts).alias("part"))
+    return dealt.join(copies, [end, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The ``pairs`` (a, b) of ids whose texts (id, text) have a weighted Jaccard similarity of ``threshold``."""
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    both = _with_text(_with_text(pairs, texts, "a", "b"), texts, "b", "a").select("a", "b", "text_a", "text_b")
 
     def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -197,89 +209,136 @@ def _leaders(banded: DataFrame) -> DataFrame:
     return banded.join(leader.select("band", "key", (-F.col("best.id")).alias("leader")), ["band", "key"]).filter("id != leader")
 
 
-def _prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(h, id, root, total) of the rarest shingles of each row (id, root, text): the least that no pair of ``threshold`` can do without.
-
-    Overlap is at least threshold times each text's weight, so it can't lie wholly in a text's shingles of less weight
-    than that. Any order of shingles that is the same for all texts is right; the rarest come first by a table of
-    fixed size, where shingles that share a slot only make the order less selective.
+def _similarities(text: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard of all pairs of ``n`` texts, by adding up what each shingle contributes to the texts that have it."""
+    order = np.argsort(hashes, kind="stable")
+    text, hashes, weight = text[order], hashes[order], weight[order].astype(np.float64)
+    head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+    times = np.diff(np.append(head, len(hashes)))
+    shared = np.zeros((n, n))
+    for size in np.unique(times[times > 1]):
+        at = head[times == size]
+        step = max(1, CELLS // int(size) ** 2)
+        for k in range(0, len(at), step):
+            place = at[k : k + step, None] + np.arange(size)
+            who, how = text[place], weight[place]
+            np.add.at(shared, (who[:, :, None], who[:, None, :]), np.minimum(how[:, :, None], how[:, None, :]))
+    total = np.bincount(text, weights=weight, minlength=n)
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-12)
+
+
+def _joins(alike: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The most similar pairs that connect texts of different roots; one more would connect what is connected already."""
+    i, j = np.nonzero(np.triu((alike >= threshold) & (root[:, None] != root[None, :]), 1))
+    parent, out = {}, []
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in np.argsort(-alike[i, j], kind="stable"):
+        a, b = top(int(root[i[k]])), top(int(root[j[k]]))
+        if a != b:
+            parent[a] = b
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def _unmet(led: DataFrame, roots: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) that connect the classes ``roots`` of texts that share a band and have met only its leader.
+
+    All pairs of a band's texts are compared, but inside tasks: a pair is never a row. Texts of a band are cut into
+    blocks of bounded number and bytes that meet two by two, so no band is one task's alone, and of its pairs a task
+    only returns those that connect classes.
     """
+    met = stable(led.join(roots, "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("root")))
+    apart = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    left = stable(looked_up(met, stable(apart), "band", "key", how="left_semi"))
+    texts = stable(rows.select(F.col("row").alias("id"), "text").join(left.select("id").distinct(), "id").select("id", "text", F.octet_length("text").alias("size")))
+    sized = stable(left.join(texts.select("id", "size"), "id"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    held = stable(sized.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("band", "key", "n", blocks.alias("blocks")))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = looked_up(sized, held, "band", "key").select("band", "key", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    cells = dealt.select("band", "key", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "id", "root").join(texts.select("id", "text"), "id")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, root = (cell[c].to_numpy() for c in ("id", "root"))
+        parts = []
+        for a, _, words in chunks(cell["text"]):
+            text, hashes, weight = shingles(words, idf.value)
+            parts.append((text + a, hashes, weight))
+        alike = _similarities(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(ids))
+        found = [(*sorted((int(ids[i]), int(ids[j]))), float(alike[i, j])) for i, j in _joins(alike, root, threshold)]
+        low, high, score = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARE_SLOTS, np.int64)
-        for batch in batches:
-            for _, _, words in chunks(batch.column(0)):
-                total += np.bincount((shingles(words, idf.value)[1] % np.uint64(RARE_SLOTS)).astype(np.int64), minlength=RARE_SLOTS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["slot", "n"])
+    return cells.groupBy("band", "key", "x", "y").applyInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
-    seen = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most RARE_SLOTS rows
-    table = np.zeros(RARE_SLOTS, np.int32)
-    table[seen["slot"].to_numpy()] = np.minimum(seen["n"].to_numpy(), np.iinfo(np.int32).max)
-    often = texts.sparkSession.sparkContext.broadcast(table)
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, words in chunks(batch.column(2)):
-                text, hashes, weight = shingles(words, idf.value)
-                order = np.lexsort((hashes, often.value[(hashes % np.uint64(RARE_SLOTS)).astype(np.int64)], text))
-                text, hashes, weight = text[order], hashes[order], weight[order].astype(np.float64)
-                total = np.bincount(text, weights=weight, minlength=words.texts)
-                before = np.cumsum(weight) - weight
-                heads = np.searchsorted(text, np.arange(words.texts))
-                before -= np.append(before, 0)[heads][text]
-                keep = total[text] - before >= total[text] * (threshold - _SLACK)
-                text, hashes = text[keep], hashes[keep]
-                at = pa.array(text)
-                ids, roots = (batch.column(i).slice(a, b - a).take(at) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids, roots, pa.array(total[text])], names=["h", "id", "root", "total"])
-
-    return texts.select("id", "root", "text").mapInArrow(rarest, "h long, id long, root long, total double")
-
-
-def _unmet(texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Pairs (a, b) of rows (id, root, text) of different roots: all that may have a similarity of ``threshold``.
-
-    Texts of a common shingle are cut into blocks that meet each other in cells, so no key is one task's alone.
+def _links(sketched: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links: a, b, similarity; classes: id, root) of the different texts ``nodes`` (id), by their rows' numbers."""
+    bands = sketched.select(F.col("row").alias("id"), "bands").join(nodes, "id", "left_semi")
+    banded = stable(bands.select("id", F.posexplode("bands").alias("band", "key")))
+    led = stable(_leaders(banded))
+    needed = led.select("id").union(led.select("leader")).distinct()
+    texts = rows.select(F.col("row").alias("id"), "text").join(needed, "id", "left_semi")
+    pair = stable(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    links = stable(verified(pair, texts, idf, threshold))
+    roots = stable(components(links))
+    more = stable(_unmet(led, roots, rows, idf, threshold))
+    every = links.unionByName(more)
+    stars = components(every)
+    return every, stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct())
+
+
+def _resolved(rows: DataFrame, threshold: float) -> DataFrame:
+    """Each of rows (row, id, text) with ``best``, complements of the least id of its class and that row's number, group_size, n_links, similarity.
+
+    Rows of equal words are one text, whose first row stands for it: the one of the least id, null last.
     """
-    rare = stable(_prefixes(texts, idf, threshold))
-    shared = rare.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    held = stable(rare.join(shared.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = held.select("h", F.col("own").alias("x"), cells.alias("y"), F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("total").alias("total_a"))
-    two = held.select("h", cells.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"))
-    near = F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * (threshold - _SLACK)
-    return one.join(two, ["h", "x", "y"]).filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
+    idf = rows.sparkSession.sparkContext.broadcast(idf_table(rows))
+    sketched = stable(_sketched(rows, idf))
+    best = F.struct(F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row"))
+    known = sketched.filter("print IS NOT NULL").select("row", "id", "print")
+    member = stable(grouped(known, "print", best).select("row", "id", F.bitwise_not("best.row").alias("node"), "best", "group_size"))
+    nodes = member.filter("row = node").select(F.col("node").alias("id"), "best", F.col("group_size").alias("copies"))
+    links, classes = _links(sketched, nodes.select("id"), rows, idf, threshold)
+    rooted = stable(nodes.join(classes, "id").select("id", "root", F.col("best").alias("own"), "copies"))
+    placed = grouped(rooted, "root", F.col("own"), size=F.sum("copies"), alone=F.col("copies")).select("id", F.col("best").alias("_best"), F.col("group_size").alias("_size"))
+    ends = links.select(F.col("a").alias("id"), "similarity").unionByName(links.select(F.col("b").alias("id"), "similarity"))
+    near = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"))
+    filled = {"group_size": F.coalesce("_size", "copies"), "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "similarity": F.coalesce("similarity", F.when(F.col("copies") > 1, 1.0))}
+    every = nodes.join(placed, "id", "left").join(near, "id", "left").withColumns(filled)
+    judged = stable(every.select(F.col("id").alias("node"), F.col("best").alias("_own"), F.coalesce("_best", "best").alias("best"), "group_size", "n_links", "similarity", "copies"))
+    out = ["row", "id", "best", "group_size", "n_links", "similarity"]
+    single = judged.filter("copies = 1").withColumns({"row": F.col("node"), "id": F.bitwise_not("_own.id")}).select(*out)
+    copied = looked_up(member.filter("group_size > 1").select("row", "id", "node"), judged.filter("copies > 1"), "node", n="copies").select(*out)
+    own = {"best": best, "group_size": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long"), "similarity": F.lit(None).cast("double")}
+    bare = sketched.filter("print IS NULL").withColumns(own).select(*out)
+    return single.unionByName(copied).unionByName(bare)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): class_id (the least doc_id of its class) and class_size.
+    """One row per row of ``docs`` (doc_id, text): class_id (the least doc_id of its class), class_size, n_links, similarity.
 
-    Rows of equal words are one text from the start. Texts without words, and rows of null doc_id, are classes of
-    their own (class_id null for a null doc_id). Texts of one to four words have one shingle, all of their words.
-    Rows that repeat a doc_id are taken as one document, with the class of any of them. Other columns are not read.
+    Rows are told apart by numbers of their own, so null and repeated doc_ids are rows as any others; class_id is null
+    for a class of null doc_ids alone. Rows of equal words are one text from the start. n_links counts the other texts
+    that its text was verified to be similar to, and similarity is the highest of these (1 for a text with copies but
+    no other links, null for none). Texts without words are classes of their own. Texts of one to four words have one
+    shingle, all of their words. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    idf = sc.broadcast(idf_table(rows))
-    sketched = stable(_sketched(rows, idf))
-    known = sketched.filter("id IS NOT NULL AND print IS NOT NULL").select("id", "print")
-    member = stable(grouped(known, "print", F.struct((-F.col("id")).alias("id"))).select("id", (-F.col("best.id")).alias("first")).groupBy("id").agg(F.min("first").alias("first")))
-    only = member.filter("id = first").select("id")
-    bands = sketched.filter("print IS NOT NULL").join(only, "id", "left_semi").dropDuplicates(["id"])
-    banded = stable(bands.select("id", F.posexplode("bands").alias("band", "key")))
-    led = stable(_leaders(banded))
-    texts = rows.filter("id IS NOT NULL").join(led.select("id").union(led.select(F.col("leader"))).distinct(), "id", "left_semi")
-    pair = stable(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    links = stable(verified(pair, texts, idf, threshold).select("a", "b"))
-    roots = stable(components(links))
-    rooted = led.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")  # all have met the leader
-    rest = rooted.join(apart, ["band", "key"], "left_semi").select("id", "root").distinct()
-    unmet = _unmet(stable(rows.join(rest, "id")), idf, threshold).join(pair, ["a", "b"], "left_anti")
-    more = verified(unmet, texts, idf, threshold).select("a", "b")
-    final = components(links.unionByName(stable(more)))
-    found = member.join(final.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("class"))
-    placed = stable(rows.select("id").join(found, "id", "left").withColumn("class_id", F.coalesce("class", "id")).select("id", "class_id"))
-    size = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return placed.join(size, "class_id", "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).select("row", F.col("kept.doc_id").alias("id"), "kept.text")
+    return _resolved(rows, threshold).select(
+        F.col("id").alias("doc_id"), F.bitwise_not("best.id").alias("class_id"), F.col("group_size").cast("long").alias("class_size"), F.col("n_links").cast("long").alias("n_links"), "similarity"
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The first row of every class, by doc_id, null last, with all its columns; texts without words all stay."""
+    rows = numbered(docs)
+    slim = rows.select("row", F.col("kept.doc_id").cast("long").alias("id"), F.coalesce("kept.text", F.lit("")).alias("text"))
+    keep = _resolved(slim, threshold).filter(F.col("row") == F.bitwise_not("best.row")).select("row")
+    return rows.join(keep, "row", "left_semi").select("kept.*")
