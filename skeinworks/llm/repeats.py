@@ -1,9 +1,11 @@
-"""Passages that repeat, by a sparse suffix array reduced to its groups of equal prefixes.
+"""Passages that repeat, by a sparse suffix array read in groups of equal prefixes.
 
 Minimisers, word positions whose k-gram hash is least in a window, are chosen by content alone, so copies of a passage
 keep the same ones. A run of LEAST words whose minimisers occur once cannot repeat and is dropped. The others are
-grouped by a 64-bit hash of all their words, which finds every run that occurs again however many others share parts
-of it; runs that overlap or touch make a passage. Texts of equal words enter once and stand for their copies.
+brought together by 128 bits of hash of all their words: neighbours of a sorted array that agree in LEAST words, found
+however many others share parts of them. A run's partner is another place of the same words, and runs of consecutive
+places whose partners are consecutive too are extended to one passage. Texts of equal words enter once and stand for
+their copies.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm.exact_dedup import grouped
+from skeinworks.llm.exact_dedup import grouped, looked_up
 from skeinworks.llm.store import stable
 from skeinworks.llm.words import chunks, minimisers, sliding
 
@@ -45,7 +47,7 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(h, id, at) of each row's (id, text, gram) runs of LEAST words all of whose minimisers are in ``gram``."""
+    """(h, h2, id, at) of each row's (id, text, gram) runs of LEAST words all of whose minimisers are in ``gram``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,40 +64,41 @@ def _runs(docs: DataFrame) -> DataFrame:
                     again[part] = np.isin(least[part], np.array(known[t].as_py(), np.int64).view(np.uint64))
                 kept = np.flatnonzero(inside & sliding(np.minimum, again, LEAST - GRAM - WINDOW + 2))
                 own = owner[kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[kept].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(own)), pa.array(kept - words.first[own], pa.int32())], names=["h", "id", "at"]
-                )
+                hashes = [pa.array(x[kept].view(np.int64)) for x in (whole, words.grams(LEAST, salt=1)[0])]
+                yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).slice(a, b - a).take(pa.array(own)), pa.array(kept - words.first[own], pa.int32())], names=["h", "h2", "id", "at"])
 
-    return docs.mapInArrow(scan, "h long, id long, at int")
+    return docs.mapInArrow(scan, "h long, h2 long, id long, at int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Rows of doc_id, start_word, end_word (exclusive), n_words, other_doc_id: passages of ``docs`` (doc_id, text) that occur again.
 
-    A passage has LEAST words or more, and occurs elsewhere in ``other_doc_id``, or again in the same text; passages
-    that overlap or touch are one. Texts of equal words, LEAST or more, repeat as a whole. Null and short texts have
-    no passage; rows of null doc_id are left out, and rows that repeat a doc_id are one document, whose copies don't
-    count as another place. Other columns are not read.
+    Every LEAST consecutive words of a passage occur in ``other_doc_id``; where no other document has them, again in
+    the same text. A passage ends where that no longer holds, so a document may have passages that overlap, each with
+    a partner of its own. Of all documents with some words the least is every other one's partner, so any two texts
+    that share a passage are linked through it. Texts of equal words, LEAST or more, repeat as a whole. Null and short
+    texts have no passage; rows of null doc_id are left out, and rows that repeat a doc_id are one document, whose
+    copies don't count as another place. Other columns are not read.
     """
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = stable(_positions(rows).filter(F.col("n_words") >= LEAST))
     once = stable(found.select("id", "print", "n_words").distinct())
-    member = stable(grouped(once, "print", F.struct((-F.col("id")).alias("id"))).select("id", "n_words", (-F.col("best.id")).alias("first")))
+    member = stable(grouped(once, "print", F.bitwise_not("id")).select("id", "n_words", F.bitwise_not("best").alias("first")))
     copies = member.filter("id != first")
     twin = copies.groupBy("first").agg(F.min("id").alias("other"))
     whole = copies.select("id", "n_words", F.col("first").alias("other")).unionByName(member.filter("id = first").join(twin, "first").select("id", "n_words", "other"))
     whole = whole.select("id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), "other")
     kept = found.join(member.filter("id = first").select("id"), "id", "left_semi").dropDuplicates(["id", "print"])
-    places = kept.select("id", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("id", "x.at", "x.gram")
-    again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    chosen = places.join(again, "gram", "left_semi").groupBy("id").agg(F.collect_set("gram").alias("gram"))
+    places = kept.select("id", F.explode("gram").alias("gram"))
+    again = stable(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    chosen = looked_up(places, again, "gram", how="left_semi").groupBy("id").agg(F.collect_set("gram").alias("gram"))
     runs = stable(_runs(rows.join(chosen, "id").select("id", "text", "gram")))
     # the same row again has the same places, so a run that occurs at two has two ids or two positions
-    found = runs.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("at").alias("first"), F.max("at").alias("last")).filter("low != high OR first != last")
-    other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high")).alias("other")
-    spans = runs.join(found.select("h", "low", "high"), "h").select("id", F.col("at").alias("start"), (F.col("at") + LEAST).cast("int").alias("end"), other).distinct().unionByName(whole)
-    by_start = Window.partitionBy("id").orderBy("start", "end", "other")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    parts = spans.withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("_part", F.sum("_new").over(by_start))
-    merged = parts.groupBy("id", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("same"), F.min(F.when(F.col("other") != F.col("id"), F.col("other"))).alias("other"))
-    return merged.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.coalesce("other", "same").alias("other_doc_id"))
+    ends = runs.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"))
+    table = stable(ends.filter("low != high OR first != last").select("h", "h2", "n", "low", "high"))
+    other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high"))
+    met = looked_up(runs, table, "h", "h2").select("id", "at", other.alias("other")).distinct()
+    islands = met.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("id", "other").orderBy("at")))
+    merged = islands.groupBy("id", "other", "island").agg(F.min("at").alias("start"), (F.max("at") + LEAST).cast("int").alias("end"))
+    spans = merged.select("id", "start", "end", "other").unionByName(whole)
+    return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"))

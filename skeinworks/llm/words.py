@@ -90,15 +90,16 @@ class Words:
                 out[t] = x.tobytes() + y.tobytes()
         return out
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of k words that start at each word, and which of them stay inside one text."""
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of k words that start at each word, and which of them stay inside one text. Another ``salt`` gives other hashes."""
+        own = mix(self.hash + np.uint64(salt)) if salt else self.hash
         n = len(self) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, bool)
         out = np.zeros(n, np.uint64)
         for j in range(k):
             out *= _GRAM
-            out += self.hash[j : j + n]
+            out += own[j : j + n]
         last = np.repeat(self.first[1:], np.diff(self.first))[:n]
         return mix(out), np.arange(n) + k <= last
 
