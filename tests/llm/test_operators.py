@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skeinworks.llm import near_dedup, packing, queries
-from skeinworks.llm.chat import escape, formatted, read_back, turns_as_events, unescape
-from skeinworks.llm.decontaminate import contamination, items_sha256
+from skeinworks.llm.chat import escape, formatted, parse, read_back, turns_as_events, unescape
+from skeinworks.llm.decontaminate import contamination, drop_contaminated, items_sha256
 from skeinworks.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from skeinworks.llm.near_dedup import idf_table, near_duplicates, shingles, similarity
+from skeinworks.llm.near_dedup import drop_near_duplicates, idf_table, near_duplicates, shingles, similarity
 from skeinworks.llm.packing import packed
 from skeinworks.llm.repeats import repeated_passages
 from skeinworks.llm.sharding import sharded
 from skeinworks.llm.tokens import token_counts, tokenizer, tokenizer_path
-from skeinworks.llm.toxicity import held_out, toxicity
+from skeinworks.llm.toxicity import drop_toxic, held_out, toxicity
 from skeinworks.llm.warc import archived
 from skeinworks.llm.words import chunks
 
@@ -89,6 +90,29 @@ def test_contamination_by_brute_force(spark, docs, bound):
     assert any(x[2] for x in want)
 
 
+def hits(text, items):
+    own, hit, found = words(text), set(), set()
+    for name, item in items:
+        w = words(item)
+        n = min(13, len(w))
+        runs = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if w else set()
+        for j in range(len(own) - n + 1 if w else 0):
+            if tuple(own[j : j + n]) in runs:
+                hit |= set(range(j, j + n))
+                found.add(str(name))
+    return len(hit), sorted(found)
+
+
+def test_contamination_of_texts_that_repeat_themselves(spark):
+    items = [(1, "a " * 400), (2, "a b " * 150 + "end"), (3, "a " * 20 + "b " * 20), (4, "x " + "a " * 11 + "y"), (5, "a b c " * 90)]
+    texts = ["a " * 3000, "a " * 12 + "b", "a b " * 40 + "end", "b a " * 300, "q " * 500 + "a " * 13 + "b " * 12 + "q", "a b c " * 500 + "a " * 14, "y " + "a " * 11 + "x"]
+    got = contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {i: hits(t, items) for i, t in enumerate(texts)}
+    begin = time.perf_counter()  # places times places would be 10 ** 11
+    got = contamination(spark.createDataFrame([(1, "a b " * 400000)], "doc_id long, text string"), spark.createDataFrame([(1, "a b " * 100000)], "item_id long, text string")).first()
+    assert got.n_hit == 800000 and time.perf_counter() - begin < 60
+
+
 def test_sharding(docs, none):
     got = sharded(docs, shards=4).collect()
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in DOCS)
@@ -106,6 +130,17 @@ def test_sharding_deals_a_hot_group_and_balances(spark):
     assert len(load) == 16 and max(load.values()) < 1.02 * min(load.values())
 
 
+def test_sharding_deals_a_hot_group_of_null_ids(spark):
+    rows = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "if(id % 2 = 0, repeat('hot ', 3), concat('w', id, ' x y')) AS text")
+    got = sharded(rows, shards=16).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(got) == 4000 and len(load) == 16 and max(load.values()) < 1.05 * min(load.values())
+    for shard in load:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_token_counts(docs, none):
     path = tokenizer_path("word_bpe_49k.json")
     got = token_counts(docs, path, limit=100).collect()
@@ -167,6 +202,27 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == want
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rows = [(None, PROSE[4]), (None, NEAR), (5, NEAR), (5, PROSE[3]), (5, PROSE[3]), (None, PROSE[6]), (-(2**63), "one two"), (None, None), (None, "!!")]
+    table = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, row string, kept string")
+    got = sorted(((r.doc_id, r.class_id, r.class_size, r.n_links, r.similarity and round(r.similarity, 1)) for r in near_duplicates(table).collect()), key=repr)
+    assert got == sorted([(None, 5, 3, 1, 1.0), (None, 5, 3, 1, 1.0), (5, 5, 3, 1, 1.0), (5, 5, 2, 0, 1.0), (5, 5, 2, 0, 1.0), (None, None, 1, 0, None), (-(2**63), -(2**63), 1, 0, None), (None, None, 1, 0, None), (None, None, 1, 0, None)], key=repr)
+    left = drop_near_duplicates(table)
+    assert left.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(5, NEAR), (5, PROSE[3]), (None, PROSE[6]), (-(2**63), "one two"), (None, None), (None, "!!")])
+
+
+def test_near_duplicates_find_the_links_of_all_pairs(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    rows += [(10**6 + i, " ".join([*t.split()[:-3], "some", "thing", "else"])) for i, t in rows[:60]]  # near copies at all similarities
+    rows += [(2 * 10**6 + i, " ".join(w for j, w in enumerate(t.split()) if j % 45)) for i, t in rows[:60]]
+    want, got = near_classes(rows, spark), {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 50 and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is linked that isn't alike
+
+
 def near_classes(rows, spark):
     """Classes of (id, text) by comparing every pair."""
     idf, sets = idf_table(spark.createDataFrame(rows, "id long, text string")), {}
@@ -216,6 +272,26 @@ def test_repeated_passages(spark, docs, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_repeated_passages_keep_each_link_true(spark):
+    pick = random.Random(17)
+    new = lambda n: [f"{pick.choice(VOCABULARY)}{pick.randrange(10**6)}" for _ in range(n)]
+    one, two, core = new(70), new(80), new(36)
+    rows = {1: one + two, 2: new(20) + one + new(20), 3: new(30) + two, 4: new(10) + one[:60] + new(10)}
+    pairs = [(10 + 2 * i, 11 + 2 * i) for i in range(12)]
+    for a, b in pairs:  # 36 words that all share, after 19 that two share
+        own = new(19)
+        rows |= {a: new(25) + own + core + new(25), b: new(33) + own + core + new(12)}
+    rows |= {100 + i: new(20) + core + new(20) for i in range(120)}
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    has = {i: {tuple(w[j : j + 50]) for j in range(len(w) - 49)} for i, w in rows.items()}
+    for r in found:
+        assert r.n_words == r.end_word - r.start_word >= 50 and r.other_doc_id != r.doc_id
+        assert all(tuple(rows[r.doc_id][j : j + 50]) in has[r.other_doc_id] for j in range(r.start_word, r.end_word - 49))
+    links = {(r.doc_id, r.other_doc_id) for r in found}
+    assert {(1, 3), (3, 1), (2, 1), (4, 1)} <= links and {(a, b) for p in pairs for a, b in (p, p[::-1])} <= links
+    assert {r.doc_id for r in found} == {1, 2, 3, 4} | {i for p in pairs for i in p}
+
+
 def test_repeated_passages_by_brute_force(spark):
     pick = random.Random(13)
     new = lambda n: [f"{pick.choice(VOCABULARY)}{pick.randrange(10**6)}" for _ in range(n)]
@@ -249,7 +325,7 @@ def test_warc_round_trip(spark):
     kinds = {(r.page_id, r.url): (r.record_type, r.refers_to) for r in got}
     assert kinds[1, "http://a"] == ("response", None) and kinds[None, "u"] == ("revisit", 1) and kinds[4, "u"] == ("revisit", 3)
     assert {kinds[5, "u"], kinds[5, "v"]} == {("response", None), ("revisit", 5)}
-    assert all(r.payload is None or hashlib.sha1(r.payload).digest() for r in got)
+    assert Counter((r.page_id, r.payload) for r in got if r.record_type == "response") <= Counter((p[0], (p[2] or "").encode()) for p in pages)
     assert archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -269,6 +345,50 @@ def test_chat_folds_events(spark):
     assert read_back(formatted(turns_as_events(table.select("conv_id", "turn", "role", "text").limit(0)))).count() == 0
 
 
+def fold(events):
+    """Final turns of one conversation: what each event does, one after another, in the order of turn, seq, kind, role, text."""
+    turns, key = [], lambda e: tuple((x is not None, x or (0 if k < 2 else "")) for k, x in enumerate(e))
+    barrier = None
+    for number in sorted({e[0] for e in events}, key=lambda x: (x is not None, x or 0)):
+        own = sorted((e for e in events if e[0] == number), key=key)
+        state = {"role": own[0][3] or "", "text": "", "began": own[0][1], "gone": False, "again": None}
+        for _, seq, kind, role, text in own:
+            if kind == "delta":
+                state["text"] += text or ""
+            elif kind == "delete":
+                state["gone"] = True
+            elif kind == "edit":
+                state["text"] = text or ""
+            else:
+                state |= {"text": text or "", "role": state["role"] if role is None else role, "began": seq, "gone": False}
+                if kind == "regenerate":
+                    state["again"] = seq
+        if not state["gone"] and (barrier is None or state["began"] is None or state["began"] > barrier):
+            turns.append((state["role"], state["text"]))
+        if state["again"] is not None:
+            barrier = state["again"] if barrier is None else max(barrier, state["again"])
+    return turns
+
+
+def test_chat_folds_random_logs_by_brute_force(spark):
+    pick, logs = random.Random(8), []
+    for conv in range(150):
+        for seq in range(pick.randrange(1, 25)):
+            kind = pick.choice(["message", "delta", "delta", "edit", "regenerate", "delete"])
+            logs.append((conv, pick.randrange(6), seq, kind, pick.choice(["user", "assistant", "a\nb\\", None]), pick.choice(["x", "<|im_end|>", "\\", "é\n", None, ""])))
+    pick.shuffle(logs)
+    table = spark.createDataFrame(logs, "conv_id long, turn long, seq long, kind string, role string, text string")
+    text, got = defaultdict(dict), {r.conv_id: r for r in read_back(formatted(table)).collect()}
+    for r in formatted(table).collect():
+        text[r.conv_id][r.chunk] = r.formatted
+    for conv in got:
+        want = fold([e[1:] for e in logs if e[0] == conv])
+        assert [t for _, part in sorted(text[conv].items()) for t in parse(part)] == want
+        learned = "".join(t for r, t in want if r == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(want), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert len(got) == 150
+
+
 def test_chat_keeps_rows_of_equal_and_null_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, "user", "c"), (1, None, "assistant", "d"), (1, 2, "user", "e"), (None, None, "user", "f"), (None, None, "user", "g")]
     got = {r.conv_id: r for r in read_back(formatted(turns_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
@@ -281,11 +401,12 @@ def test_chat_keeps_rows_of_equal_and_null_turns(spark):
 
 
 def test_toxicity_on_held_out_labels(spark, docs, none):
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     scored = toxicity(table, labels).join(labels.filter(held_out()), "doc_id")
     rows = scored.select(F.col("severity"), (F.col("grade") > 0).alias("found"), labels.toxic.alias("truth")).collect()
-    assert sum(r.found == bool(r.truth) for r in rows) >= 0.9 * len(rows)
+    right = sum(r.found and bool(r.truth) for r in rows)
+    assert right >= 0.8 * sum(bool(r.truth) for r in rows) and right >= 0.95 * sum(r.found for r in rows) and right
     no_labels = labels.limit(0)
     assert all(r.severity == 0 and not r.toxic for r in toxicity(docs, no_labels).collect())
     assert toxicity(none, labels).count() == 0
@@ -304,21 +425,58 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
 
 
-def test_pipeline_stages_judge_each_row_by_itself(spark, sf):
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    judged = toxicity(table, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).filter("toxic AND n_words > 20").select("doc_id").limit(1)
-    toxic = table.join(judged, "doc_id").first().text
-    copied = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").filter("length(text) > 200").first().text
-    clean, near = PROSE[4], NEAR
-    for own in (None, 7 * 10**9):
-        more = spark.createDataFrame([(own, clean), (own, toxic), (own, copied)], "doc_id long, text string")
-        left = [r.text for r in corpus_pipeline.drop_toxic(spark, table.unionByName(more), "/root/testdata/sf0.01").filter(F.col("doc_id").eqNullSafe(F.lit(own))).collect()]
-        assert clean in left and toxic not in left
-        left = [r.text for r in corpus_pipeline.drop_contaminated(spark, more, "/root/testdata/sf0.01").collect()]
-        assert clean in left and copied not in left
-        rows = spark.createDataFrame([(own, near), (own, PROSE[3]), (3, clean), (own, None)], "doc_id long, text string")
-        left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near(spark, rows, sf).collect()]
-        assert Counter(left) == Counter([(own, PROSE[3]), (3, clean), (own, None)])
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Null, repeated and clashing ids: what every stage leaves, from plain definitions."""
+    pick = random.Random(23)
+    text = lambda n: " ".join(f"{pick.choice(VOCABULARY)}{pick.randrange(500)}" for _ in range(n))
+    bad = lambda n: " ".join(pick.choice(["vileword", "hatespeak", "scumtalk"]) if pick.random() < 0.3 else f"w{pick.randrange(500)}" for _ in range(n))
+    train = [(10**6 + i, bad(60) if i % 3 == 0 else text(60)) for i in range(300)]
+    test = [text(80) for _ in range(3)]
+    base = [text(120) for _ in range(40)]
+    rows = [(None, t) for t in base] + [(7, t) for t in base[:5]] + [(None, t + " ") for t in base[5:9]] + [(7, bad(80)) for _ in range(4)] + [(None, bad(80)) for _ in range(4)]
+    rows += [(None, test[i % 3][: -5 * i or None] + " tail") for i in range(3)] + [(7, text(400) + " " + " ".join(test[0].split()[:13])), (None, None), (None, ""), (3, "!!"), (None, "!! ??")]
+    rows += [(i, " ".join([*t.split()[:-1], f"other{i}"])) for i, t in enumerate(base[10:20])] + train
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10**6 + i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(test)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    blank = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    kept = [(i, t) for i, t in rows if "vileword" not in (t or "") and "hatespeak" not in (t or "") and "scumtalk" not in (t or "")]
+    groups = defaultdict(list)
+    for i, t in kept:
+        groups[blank(t)].append((i, t))
+    kept = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    classes = near_classes(list(enumerate(t or "" for _, t in kept)), spark)
+    groups = defaultdict(list)
+    for n, (i, t) in enumerate(kept):
+        groups[classes[n] if words(t) else ("none", n)].append((i, t))
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    kept = [(i, t) for i, t in kept if not (h := hits(t, enumerate(test))[0]) or 20 * h < len(words(t))]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, blank(r.text)) for r in docs.collect()) == Counter((i, blank(t)) for i, t in kept)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("piece = 0")
+    assert Counter(r.doc_id for r in pieces.collect()) == Counter(i for i, _ in kept)
+
+
+def test_null_ids_lose_no_clean_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    copied = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").filter("length(text) > 200").limit(3).collect()]
+    rows = [(None, f"{PROSE[i % 7]} {i} and so on") for i in range(197)] + [(None, t) for t in copied]
+    left = drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert left.count() == 197
+    assert drop_toxic(left, spark.read.parquet(f"{folder}/labels.parquet"), known=spark.read.parquet(f"{folder}/documents.parquet")).columns == ["doc_id", "text"]
+
+
+def test_very_long_texts(spark):
+    """A text of over a megabyte of one word, one of as many different words."""
+    many = " ".join(f"w{i}" for i in range(180000))
+    table = spark.createDataFrame([(1, "z" * (1 << 20)), (2, many), (3, many + " more")], "doc_id long, text string")
+    near = {r.doc_id: r.class_id for r in near_duplicates(table).collect()}
+    assert near == {1: 1, 2: 2, 3: 2}
+    assert {(r.doc_id, r.n_words) for r in repeated_passages(table).collect()} == {(2, 180000), (3, 180000)}
+    assert {r.doc_id: r.n_words for r in contamination(table, table.limit(0).withColumnRenamed("doc_id", "item_id")).collect()} == {1: 1, 2: 180000, 3: 180001}
+    assert exact_duplicates(table).filter("kept").count() == sharded(table).count() == 3
 
 
 def test_every_query_is_registered():
