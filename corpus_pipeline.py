@@ -1,72 +1,41 @@
 """Documents made ready for training, stage by stage: toxic ones go, exact and near copies go, contaminated ones go, the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``docs``. Rows are judged by their texts, and decisions join back by a hash of the text, so a row never goes
-for another row of its doc_id, null or not.
+columns of ``docs``. Each row is judged by itself, under a number of its own or where it is read, so no row goes or
+stays for another row of its doc_id, null or not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm.decontaminate import contamination, is_contaminated
+from skeinworks.llm.decontaminate import drop_contaminated
 from skeinworks.llm.exact_dedup import drop_exact_duplicates
-from skeinworks.llm.near_dedup import near_duplicates
+from skeinworks.llm.near_dedup import drop_near_duplicates
 from skeinworks.llm.packing import packed
 from skeinworks.llm.store import new_folder
 from skeinworks.llm.tokens import tokenizer_path
-from skeinworks.llm.toxicity import toxicity
+from skeinworks.llm.toxicity import drop_toxic
 
 
-def _worded() -> Column:
-    """A text that has a word, in the sense of ``skeinworks.llm.words``."""
-    return F.coalesce(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"), F.lit(False))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
-def _texts(keyed: DataFrame) -> DataFrame:
-    """Documents that operators may judge: the text under its hash."""
-    return keyed.select(F.col("_key").alias("doc_id"), "text")
-
-
-def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose text is none of ``rejected`` (column doc_id, as of ``_texts``)."""
-    return keyed.join(rejected.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier clean than not."""
-    keyed = _keyed(docs)
-    scored = toxicity(_texts(keyed), spark.read.parquet(f"{sf_dir}/labels.parquet"), known=docs)
-    return _without(keyed, scored.filter("toxic")).select(*docs.columns)
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks, the longest, then the smallest doc_id."""
     return drop_exact_duplicates(docs)
 
 
-def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the smallest doc_id, null last. A document without words is no near duplicate."""
-    keyed = _keyed(docs)
-    worded = keyed.filter(_worded())
-    classes = near_duplicates(_texts(worded)).select(F.col("doc_id").alias("_key"), "class_id").distinct()
-    own = F.col("doc_id").cast("long")
-    order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_key").alias("key"))
-    best = worded.select("doc_id", "_key").join(classes, "_key").groupBy("class_id").agg(F.min(order).alias("best")).select(F.col("best.id").alias("_keep"), F.col("best.key").alias("_best"))
-    kept = worded.join(best, own.eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_best")), "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.filter(~_worded()))
+    return drop_near_duplicates(docs)
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are in passages of ``benchmark``."""
-    keyed = _keyed(docs)
-    judged = contamination(_texts(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(keyed, judged.filter(is_contaminated())).select(*docs.columns)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact), ("MinHash near-dedup", drop_near), ("benchmark decontamination", drop_contaminated), ("best-fit packing", pack)]
+STAGES = [("toxicity", clean), ("exact dedup", distinct), ("MinHash near-dedup", dissimilar), ("benchmark decontamination", untested), ("best-fit packing", pack)]
 
 #: A fitted classifier, weighted sampling and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
