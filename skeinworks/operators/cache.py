@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 VERSIONS = {"ir_version": 1, "adapter_version": 1, "rules_version": 1}
 # --- fixed values: offset and prime of the 64-bit hash ---
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def fnv1a(data: bytes) -> int:
-    out = FNV_OFFSET
-    for byte in data:
-        out = (out ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+def fnv1a(column: pa.Array) -> np.ndarray:
+    """The 64-bit FNV-1a hash of each string, all strings a byte at a time; null counts as empty."""
+    encoded = pc.fill_null(column, "").cast(pa.large_binary())
+    _, ends, data = encoded.buffers()
+    at = np.frombuffer(ends, np.int64)[encoded.offset : encoded.offset + len(encoded) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    out, start, size = np.full(len(encoded), FNV_OFFSET, np.uint64), at[:-1], np.diff(at)
+    left = np.argsort(-size, kind="stable")
+    for i in range(int(size.max()) if len(size) else 0):
+        left = left[: np.searchsorted(-size[left], -i)]  # strings of more than i bytes
+        out[left] = (out[left] ^ raw[start[left] + i]) * np.uint64(FNV_PRIME)
     return out
 
 
@@ -25,11 +38,39 @@ def with_fnv(rows: DataFrame, column: str, name: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            hashed = pa.array([None if x is None else f"{fnv1a(x.encode()):016x}" for x in texts], pa.string())
+            texts = batch.column(batch.schema.get_field_index(column))
+            hashed = pa.array([f"{h:016x}" if known else None for h, known in zip(fnv1a(texts).tolist(), texts.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, hashed], schema=batch.schema.append(pa.field(name, pa.string())))
 
-    return rows.mapInArrow(scan, rows.limit(0).withColumn(name, F.lit("")).schema)
+    return rows.mapInArrow(scan, StructType([*rows.schema.fields, StructField(name, StringType())]))
+
+
+def with_semantic_hash(facts: DataFrame, *but: str) -> DataFrame:
+    """``facts`` with ``semantic_hash``: a digest of all their columns but those named, in order."""
+    return facts.withColumn("semantic_hash", F.sha2(F.to_json(F.struct(*(c for c in facts.columns if c not in but)), {"ignoreNullFields": "false"}), 256))
+
+
+def _common(old: bytes, new: bytes) -> tuple[int, int]:
+    """How many bytes of two values are the same in front, and behind what is the same in front."""
+    n = min(len(old), len(new))
+    a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
+    differ = np.flatnonzero(a[:n] != b[:n])
+    front = int(differ[0]) if len(differ) else n
+    rest = n - front
+    differ = np.flatnonzero(a[len(a) - rest :][::-1] != b[len(b) - rest :][::-1])
+    return front, int(differ[0]) if len(differ) else rest
+
+
+@F.pandas_udf(StructType([StructField("prefix", IntegerType()), StructField("suffix", IntegerType()), StructField("replacement", BinaryType())]))
+def delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """What turns one binary value into another: the lengths of what stays in front and behind, and what comes between."""
+    found = [_common(a, b) for a, b in zip(old, new, strict=True)]
+    return pd.DataFrame({"prefix": [x for x, _ in found], "suffix": [y for _, y in found], "replacement": [b[x : len(b) - y] for (x, y), b in zip(found, new, strict=True)]})
+
+
+def applied(old: str, change: str) -> Column:
+    """The new value from the old one and its ``delta``; null where the old one is too short for it."""
+    return F.expr(f"CASE WHEN {change}.prefix + {change}.suffix <= octet_length({old}) THEN concat(substring({old}, 1, {change}.prefix), {change}.replacement, substring({old}, octet_length({old}) - {change}.suffix + 1)) END")
 
 
 def stable_id(source: str = "source", ordinal: str = "ordinal", function: str = "function_name"):
@@ -56,23 +97,59 @@ def write_status(new: DataFrame, cached: DataFrame, key: str, content: str) -> D
 
 
 def store(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Adds ``rows`` to the cache at ``path`` as a new version folder, of which the last by key counts; returns their status."""
-    try:
-        before = load(spark, path, key)
-        version = before.agg(F.max("_version")).first()[0] + 1
-    except Exception as error:  # no cache yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        before, version = None, 0
+    """Adds ``rows`` to the cache at ``path`` as a new version folder, of which the last by key counts; returns their status.
+
+    A folder is written whole or not at all. Of two writers that take the same number the later one fails, and may try again.
+    """
+    before, _ = load_recovering(spark, path, key)
+    version = 0 if before is None else _files(spark, path).agg(F.max(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int"))).first()[0] + 1
     rows.withColumn("_version", F.lit(version)).write.mode("errorifexists").parquet(f"{path}/v={version:06d}")
     return rows.withColumn("status", F.lit("created")) if before is None else write_status(rows, before, key, "semantic_hash")
 
 
-def load(spark: SparkSession, path: str, key: str) -> DataFrame:
-    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+def _stored(spark: SparkSession, path: str, **options) -> DataFrame | None:
+    try:
+        return spark.read.options(recursiveFileLookup=True, **options).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _latest(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_version")))).filter("_last = 1").drop("_last")
 
 
+def load(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The last row of each key; None where there is no cache yet."""
+    rows = _stored(spark, path)
+    return None if rows is None else _latest(rows, key)
+
+
+def load_recovering(spark: SparkSession, path: str, key: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """What can be read, and (source, reason) of the files that can't; None where there is no cache yet."""
+    rows = _stored(spark, path, ignoreCorruptFiles=True)
+    if rows is None:
+        return None, None
+    lost = _files(spark, path).filter(~_readable("content"))
+    return _latest(rows, key), lost.select(F.col("path").alias("source"), F.lit("unsupported cache file").alias("reason"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path)
+
+
+@F.pandas_udf(BooleanType())
+def _readable(content: pd.Series) -> pd.Series:
+    def one(data: bytes) -> bool:
+        try:
+            return pq.read_metadata(pa.BufferReader(data)) is not None
+        except (pa.ArrowException, OSError):
+            return False
+
+    return content.map(one).astype(bool)
+
+
 def stats(cached: DataFrame, size: str, group: str) -> DataFrame:
     """Rows, bytes and whole average bytes of each group."""
     return cached.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).withColumn("average", F.expr("bytes div n"))

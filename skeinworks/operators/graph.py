@@ -22,3 +22,14 @@ def first_violation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lost = edges.join(nodes.select("source", F.col("node_id").alias("child")).distinct(), ["source", "child"], "left_anti")
     first = lost.groupBy("source").agg(F.min(F.struct("parent", "ordinal", "child")).alias("x")).select("source", F.lit(1).alias("rank"), "x.parent", "x.child")
     return twice.unionByName(first).groupBy("source").agg(F.min(F.struct("rank", "parent", "child")).alias("x")).select("source", F.when(F.col("x.rank") == 0, "duplicate").otherwise("dangling").alias("violation"), "x.parent", "x.child")
+
+
+def summary(visits: DataFrame) -> DataFrame:
+    """By source: its functions, and the nodes that they reach."""
+    nodes = F.count_if(~F.col("kind").isin("type", "error", "empty"))
+    return visits.groupBy("source").agg(nodes.alias("nodes"), F.count_if(F.col("kind") == "function").alias("functions"))
+
+
+def span_length(start, end):
+    """Never below zero."""
+    return F.greatest(F.col(end) - F.col(start), F.lit(0))

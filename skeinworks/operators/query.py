@@ -1,138 +1,102 @@
-"""Ranked semantic queries over reports: terms, NOT, AND, OR and THEN, as one column expression."""
+"""Ranked semantic queries over reports, put together from Column functions: term, both, either, without and then.
+
+Each is a struct of score and matched fields; a score of 0 is no match. There is no text syntax: a query is an
+expression of these functions, as any other condition on a DataFrame.
+"""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.operators.reasoning import once
 
-# --- fixed values: phrases that are one term or none, in this order, and other words for a term ---
-PHRASES = [
-    ("maximum finder", "maximum"), ("minimum finder", "minimum"), ("max by", "max_by"), ("min by", "min_by"), ("binary search", "binary_search"),
-    ("group by", "group_by"), ("count if", "count_if"), ("prefix sum", "prefix_sum"), ("functions that ", ""), ("function that ", ""),
-]
+# --- fixed values: phrases that are one term, and other words for a term ---
+PHRASES = {
+    "maximum finder": "maximum", "minimum finder": "minimum", "max by": "max_by", "min by": "min_by", "binary search": "binary_search",
+    "group by": "group_by", "count if": "count_if", "prefix sum": "prefix_sum",
+}
 ALIASES = {
     "reducers": "reducer", "reduce": "reducer", "map": "mapper", "maps": "mapper", "mapping": "mapper", "filters": "filter", "filtering": "filter",
     "recursive": "recursion", "normalization": "normalize", "normalizes": "normalize",
 }
 #: The least confidence of an active hypothesis that a term finds, and the most a score can be.
 LEAST_CONFIDENCE, MOST_SCORE = 50, 65535
+_FIELDS = "array<struct<order:int,kind:string,value:string>>"
+
+
+def canonical(name: str) -> str:
+    """The id that a term stands for."""
+    known = name.strip().lower()
+    known = PHRASES.get(known, known).strip(".,;:!?\"'")
+    return ALIASES.get(known, known)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _found(score: Column, fields: Column | None = None) -> Column:
+    return F.struct(score.cast("int").alias("score"), (F.array() if fields is None else fields).cast(_FIELDS).alias("fields"))
+
+
+def _field(order: int, kind: str, value: Column) -> Column:
+    return F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), value.alias("value"))
+
+
+def term(name: str) -> Column:
+    """100 for the primary intent, 80 for each stage, 60 for an active hypothesis, 40 for each item of evidence, 20 for each word of the name."""
+    id_ = F.lit(canonical(name))
+    said = F.transform(F.col("evidence"), lambda e: F.when(e.kind == "name", e.token).otherwise(F.replace(e.kind, F.lit("_"), F.lit(""))))
+    times = lambda array: F.size(array) - F.size(F.array_remove(array, id_))
+    sure = F.exists("hypotheses", lambda h: (h.id == id_) & (h.status == "active") & (h.confidence >= LEAST_CONFIDENCE))
+    words = F.split(F.lower(F.coalesce("function_name", F.lit(""))), "[^a-z0-9]")
+    counts = F.struct(F.col("primary_intent").eqNullSafe(id_).cast("int").alias("primary"), times(F.col("pipeline.id")).alias("stages"), sure.cast("int").alias("sure"), times(said).alias("items"), times(words).alias("words"))
+    kinds = [("primary", 100, "primary_intent"), ("stages", 80, "pipeline_stage"), ("sure", 60, "hypothesis"), ("items", 40, "evidence"), ("words", 20, "function_metadata")]
+
+    def scored(n: Column) -> Column:
+        score = F.lit(0)
+        for key, worth, _ in kinds:
+            score = score + n[key] * worth
+        return _found(score, F.array_compact(F.array(*(F.when(n[key] > 0, _field(i, kind, id_)) for i, (key, _, kind) in enumerate(kinds)))))
+
+    return _let(counts, scored)
+
+
+def without(inner: Column) -> Column:
+    """Matches, with a score of 1, what ``inner`` does not."""
+    return _found((inner.score == 0).cast("int"))
+
+
+def both(left: Column, right: Column) -> Column:
+    """The scores add up; all fields of both."""
+
+    def met(x: Column) -> Column:
+        all_ = (x.left.score > 0) & (x.right.score > 0)
+        return _found(F.when(all_, F.least(x.left.score + x.right.score, F.lit(MOST_SCORE))).otherwise(0), F.when(all_, F.array_sort(F.array_union(x.left.fields, x.right.fields))).otherwise(F.array().cast(_FIELDS)))
+
+    return _let(F.struct(left.alias("left"), right.alias("right")), met)
+
+
+def either(left: Column, right: Column) -> Column:
+    """The better of the two; the left one where they are equal."""
+    return _let(F.struct(left.alias("left"), right.alias("right")), lambda x: F.when(x.left.score >= x.right.score, x.left).otherwise(x.right))
+
+
+def then(first: str, second: str) -> Column:
+    """Both are stages of the pipeline, in this order: 179 and their distance."""
+    a, b, stages = canonical(first), canonical(second), F.col("pipeline.id")
+    start = F.array_position(stages, a).cast("int")
+    gap = F.array_position(F.slice(stages, start + 1, F.greatest(F.size(stages), F.lit(1))), b).cast("int")
+    fields = F.array_sort(F.array_distinct(F.array(_field(1, "pipeline_stage", F.lit(a)), _field(1, "pipeline_stage", F.lit(b)))))
+    return F.when(F.array_contains(stages, a), _let(gap, lambda g: F.when(g > 0, _found(g + 179, fields)).otherwise(_found(F.lit(0))))).otherwise(_found(F.lit(0)))
 
 
-class QueryError(ValueError):
-    """Empty, MissingOperand or UnsupportedToken."""
-
-
-@dataclass(frozen=True)
-class Term:
-    name: str
-
-
-@dataclass(frozen=True)
-class Node:
-    op: str  # not, and, or, then
-    parts: tuple
-
-
-def parse(text: str) -> Term | Node:
-    """OR binds least; AND, THEN and words side by side share a level, from the left; NOT is a prefix."""
-    text = text.strip().lower()
-    for phrase, term in PHRASES:
-        text = text.replace(phrase, term)
-    words = text.split()
-    if not words:
-        raise QueryError("Empty")
-    if any(c in w for w in words for c in "()"):
-        raise QueryError("UnsupportedToken")
-    sides: list[list[str]] = [[]]
-    for word in words:
-        if word == "or":
-            sides.append([])
-        else:
-            sides[-1].append(word)
-    tree = None
-    for side in sides:
-        one = _side(side)
-        tree = one if tree is None else Node("or", (tree, one))
-    return tree
-
-
-def _side(words: list[str]) -> Term | Node:
-    words, tree, joined = list(words), None, None
-    while words:
-        word = words.pop(0)
-        if word in ("and", "then"):
-            if tree is None or joined is not None:
-                raise QueryError("MissingOperand")
-            joined = word
-            continue
-        negated = 0
-        while word == "not":
-            negated += 1
-            if not words:
-                raise QueryError("MissingOperand")
-            word = words.pop(0)
-        if word in ("and", "then"):
-            raise QueryError("MissingOperand")
-        bare = re.sub(r"^[^a-z0-9_]+|[^a-z0-9_]+$", "", word)
-        one: Term | Node = Term(ALIASES.get(bare, bare))
-        for _ in range(negated):
-            one = Node("not", (one,))
-        tree, joined = (one if tree is None else Node(joined or "and", (tree, one))), None
-    if tree is None or joined is not None:
-        raise QueryError("MissingOperand")
-    return tree
-
-
-def _term(name: str) -> Column:
-    t = "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    field = lambda order, kind, of: f"named_struct('order', {order}, 'kind', '{kind}', 'value', {of})"
-    return F.expr(f"""
-        named_struct('score',
-          if(primary_intent <=> {t}, 100, 0) + 80 * size(filter(pipeline, s -> s.id = {t}))
-          + 60 * size(filter(hypotheses, h -> h.id = {t} AND h.status = 'active' AND h.confidence >= {LEAST_CONFIDENCE}))
-          + 40 * size(filter(evidence, e -> if(e.kind = 'name', e.token, replace(e.kind, '_', '')) = {t}))
-          + 20 * size(filter(split(lower(function_name), '[^a-z0-9]'), x -> x = {t})),
-        'fields', array_sort(array_distinct(concat(
-          if(primary_intent <=> {t}, array({field(0, "primary_intent", t)}), array()),
-          transform(filter(pipeline, s -> s.id = {t}), s -> {field(1, "pipeline_stage", "s.id")}),
-          transform(filter(hypotheses, h -> h.id = {t} AND h.status = 'active' AND h.confidence >= {LEAST_CONFIDENCE}), h -> {field(2, "hypothesis", "h.id")}),
-          transform(filter(evidence, e -> if(e.kind = 'name', e.token, replace(e.kind, '_', '')) = {t}), e -> {field(3, "evidence", t)}),
-          transform(filter(split(lower(function_name), '[^a-z0-9]'), x -> x = {t}), x -> {field(4, "function_metadata", "x")})))))""")
-
-
-def compiled(tree: Term | Node) -> Column:
-    """A struct of score and fields; a score of 0 is no match."""
-    if isinstance(tree, Term):
-        return _term(tree.name)
-    if tree.op == "then":
-        left, right = tree.parts
-        if not (isinstance(left, Term) and isinstance(right, Term)):
-            return F.struct(F.lit(0).alias("score"), F.expr("CAST(array() AS array<struct<order:int,kind:string,value:string>>)").alias("fields"))
-        a, b = (p.name.replace("\\", "\\\\").replace("'", "\\'") for p in (left, right))
-        stages = "transform(pipeline, s -> s.id)"
-        first = f"array_position({stages}, '{a}')"
-        gap = f"array_position(slice({stages}, CAST({first} AS INT) + 1, greatest(size(pipeline), 1)), '{b}')"
-        return F.expr(f"""if({first} > 0 AND coalesce({gap}, 0) > 0,
-            named_struct('score', CAST(179 + {gap} AS INT), 'fields', array_sort(array_distinct(array(named_struct('order', 1, 'kind', 'pipeline_stage', 'value', '{a}'), named_struct('order', 1, 'kind', 'pipeline_stage', 'value', '{b}'))))),
-            named_struct('score', 0, 'fields', CAST(array() AS array<struct<order:int,kind:string,value:string>>)))""")
-    parts = [compiled(p) for p in tree.parts]
-    none = F.expr("CAST(array() AS array<struct<order:int,kind:string,value:string>>)")
-    if tree.op == "not":
-        return F.struct((parts[0].score == 0).cast("int").alias("score"), none.alias("fields"))
-    left, right = parts
-    if tree.op == "and":
-        both = (left.score > 0) & (right.score > 0)
-        return F.struct(F.when(both, F.least(left.score + right.score, F.lit(MOST_SCORE))).otherwise(0).alias("score"), F.when(both, F.array_sort(F.array_union(left.fields, right.fields))).otherwise(none).alias("fields"))
-    return F.when((left.score > 0) & (left.score >= right.score), left).otherwise(right)
-
-
-def search(reports: DataFrame, expression: str, *keys: str) -> DataFrame:
-    """Matching ``reports`` (of ``analyzed``): keys, function_name, primary_intent, stages, score, fields. Best first."""
-    found = once(reports, _found=compiled(parse(expression))).filter("_found.score > 0")
+def search(reports: DataFrame, query: Column, *keys: str) -> DataFrame:
+    """Matching ``reports`` (of ``analyzed``): keys, function_name, primary_intent, stages, score, matched_fields. Best first."""
+    found = once(reports, _found=query).filter("_found.score > 0")
     keys = keys or ("source",)
-    return found.select(*keys, "function_name", "primary_intent", F.expr("transform(pipeline, s -> s.id)").alias("stages"), F.col("_found.score").alias("score"), F.col("_found.fields").alias("matched_fields")).orderBy(F.desc("score"), *keys, "function_name")
+    return found.select(*keys, "function_name", "primary_intent", F.col("pipeline.id").alias("stages"), F.col("_found.score").alias("score"), F.col("_found.fields").alias("matched_fields")).orderBy(F.desc("score"), *keys, "function_name")

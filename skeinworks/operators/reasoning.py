@@ -1,13 +1,12 @@
 """Facts to evidence to scored, ranked hypotheses: one row per function all the way.
 
 Only the aggregation of visits to facts shuffles. Evidence, rules, ranking and pipelines are arrays of the row, so
-nothing after it moves data, and no row grows with the number of functions.
+nothing after it moves data, and no row grows with the number of functions. Every hypothesis is a plain sum of its
+weights times columns: the rules are unrolled when the plan is made, and no lambda runs over them.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ from skeinworks.functions import seeds
 
 COUNTERS = [c for _, _, _, c, _ in seeds.evidence_kinds() if c not in ("numeric_parameter_count", "numeric_return_count", "accumulation_count", "boolean_return_count")]
 _ITEM = "struct<provider_id:string,kind_ord:int,kind:string,token:string,strength:bigint>"
-_RULE = "struct<id:string,kind:string,weight:int,at:int>"
+#: A provider of more evidence: its id, the kind, and the column of its strength.
+Provider = tuple[str, str, Column]
 
 
 def facts(visits: DataFrame) -> DataFrame:
@@ -54,19 +54,48 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def with_evidence(rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` with ``evidence``: what counters above zero and words of the name say, in order.
-
-    ``counters`` maps kinds to columns; by default those of ``facts``, of which missing ones count as zero.
-    """
-    items = []
+def _providers(rows: DataFrame, counters: dict[str, str] | None, more: list[Provider]) -> list[tuple[int, str, str, Column]]:
+    """(order, kind, provider, strength) of all that is counted, in the order of evidence."""
+    orders, out = {}, []
     for order, kind, provider, counter, _ in seeds.evidence_kinds():
+        orders[kind] = order
         column = (counters or {}).get(kind, counter if counters is None else None)
         if column in rows.columns:
-            items.append(F.struct(F.lit(provider).alias("provider_id"), F.lit(order).alias("kind_ord"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("token"), F.col(column).cast("long").alias("strength")))
-    tokens = F.transform(name_tokens(F.coalesce(F.col(name), F.lit(""))), lambda t: F.struct(F.lit("naming").alias("provider_id"), F.lit(0).alias("kind_ord"), F.lit("name").alias("kind"), t.alias("token"), F.lit(1).cast("long").alias("strength")))
-    shown = F.filter(F.array(*items), lambda x: x.strength > 0) if items else F.array().cast(f"array<{_ITEM}>")
-    return once(rows, evidence=F.sort_array(F.concat(shown, tokens)))
+            out.append((order, kind, provider, F.coalesce(F.col(column).cast("long"), F.lit(0))))
+    out += [(orders.get(kind, len(orders) + 1), kind, provider, F.coalesce(strength.cast("long"), F.lit(0))) for provider, kind, strength in more]
+    return sorted(out, key=lambda x: (x[2], x[0], x[1]))
+
+
+def _text(value: str | None) -> str:
+    """A string in SQL."""
+    return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _item(order: int, kind: str, provider: str, strength: str, token: str | None = None) -> str:
+    return f"named_struct('provider_id', {_text(provider)}, 'kind_ord', {order}, 'kind', {_text(kind)}, 'token', CAST({_text(token)} AS STRING), 'strength', CAST({strength} AS BIGINT))"
+
+
+def _split(value: str, column: str) -> str:
+    """SQL of ``value`` that Spark compiles in methods of a size that the JIT takes.
+
+    Whole-stage code would be one method far beyond that. A lambda over the array ``column`` keeps the projection out
+    of whole-stage code; it runs once, over one element.
+    """
+    return f"if(size(transform(slice({column}, 1, 1), x -> x)) > 1, NULL, {value})"
+
+
+def with_evidence(rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, more: list[Provider] = ()) -> DataFrame:
+    """``rows`` with ``evidence``: what counters above zero, ``more`` providers and words of the name say, in order.
+
+    ``counters`` maps kinds to columns; by default those of ``facts``, of which missing ones count as zero.
+    """
+    given = _providers(rows, counters, list(more))
+    told = once(rows, _strength=F.array(*(x[3] for x in given)) if given else F.array().cast("array<bigint>"), _tokens=name_tokens(F.coalesce(F.col(name), F.lit(""))))
+    items = ", ".join(f"if(_strength[{i}] > 0, {_item(*x[:3], f'_strength[{i}]')}, NULL)" for i, x in enumerate(given))
+    shown = f"array_compact(array({items}))" if given else f"CAST(array() AS array<{_ITEM}>)"
+    tokens = f"transform(_tokens, t -> {_item(0, 'name', 'naming', '1').replace('CAST(NULL AS STRING)', 't')})"
+    listed = told.select("*", F.expr(_split(f"sort_array(concat({shown}, {tokens}))", "_strength")).alias("_evidence"))
+    return once(listed, evidence=F.col("_evidence")).drop("_strength", "_tokens", "_evidence")
 
 
 def evidence_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -80,57 +109,86 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def _literal(values: list, schema: str) -> str:
-    """SQL of a constant, which stays in the expression: as a column it would be copied into every row."""
-    text = json.dumps(values).replace("\\", "\\\\").replace("'", "\\'")
-    return f"from_json('{text}', '{schema}')"
+_RULES = "array<struct<id:string,kind:string,weight:int>>"
 
 
-def with_hypotheses(rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool = True) -> DataFrame:
+def with_hypotheses(
+    rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool | set[str] = True, name: str = "function_name", counters: dict[str, str] | None = None, more: list[Provider] = ()
+) -> DataFrame:
     """``rows`` with ``hypotheses``, ranked: active before eliminated, by confidence, then id.
 
     A hypothesis is eliminated, with confidence 0, if it requires evidence that is missing. Else its baseline, plus
     weight times strength (1 to 3) of every supporting item, less those of rejecting ones, is its confidence, 0 to 100.
-    With ``detail`` they also hold their supporting evidence, and the missing and contradicting rules.
+    With ``detail``, of all or of the ids named, they also hold their supporting evidence, and the missing and
+    contradicting rules; those of others are null. ``name``, ``counters`` and ``more`` are as for ``with_evidence``.
     """
-    known = list((registry or seeds.hypotheses()).values())
+    known = sorted((registry or seeds.hypotheses()).values(), key=lambda h: h.id)
     kinds = sorted({r.kind for h in known for r in (*h.require, *h.support, *h.reject)})
-    place = {k: i for i, k in enumerate(kinds)}
-    rules = lambda which: [{"id": r.id, "kind": r.kind, "weight": r.weight, "at": place[r.kind]} for r in which]
-    table = [{"id": h.id, "baseline": h.baseline, "require": rules(h.require), "support": rules(h.support), "reject": rules(h.reject)} for h in known]
-    catalogue = _literal(table, f"array<struct<id:string,baseline:int,require:array<{_RULE}>,support:array<{_RULE}>,reject:array<{_RULE}>>>")
-    said = once(rows, _said=F.expr("transform(evidence, e -> struct(if(e.kind = 'name', concat('name:', e.token), e.kind) AS key, CAST(greatest(1, least(3, e.strength)) AS INT) AS power, e AS item))"))
-    summed = once(said, _keys=F.expr("array_distinct(transform(_said, s -> s.key))"))
-    summed = once(summed, _sums=F.expr("map_from_arrays(_keys, transform(_keys, k -> aggregate(filter(_said, s -> s.key = k), 0, (a, s) -> a + s.power)))"))
-    # the power of each kind that a rule names, 0 where it is missing: rules then find theirs by place
-    powered = once(summed, _power=F.transform(F.lit(kinds), lambda k: F.coalesce(F.try_element_at("_sums", k), F.lit(0))))
-    more = """, array_distinct(transform(filter(_said, s -> exists(h.support, r -> r.kind = s.key)), s -> s.item)) AS supporting,
-        transform(filter(h.require, r -> _power[r.at] = 0), r -> struct(r.id AS id, r.kind AS kind, r.weight AS weight)) AS missing,
-        transform(filter(h.reject, r -> _power[r.at] > 0), r -> struct(r.id AS id, r.kind AS kind, r.weight AS weight)) AS contradicting""" if detail else ""
-    scored = once(
-        powered,
-        _scored=F.expr(f"""transform({catalogue}, h -> struct(h.id AS id, exists(h.require, r -> _power[r.at] = 0) AS gone,
-            aggregate(h.reject, aggregate(h.support, h.baseline, (a, r) -> a + r.weight * _power[r.at]), (a, r) -> a - r.weight * _power[r.at]) AS raw{more}))"""),
-    )
-    kept = ", h.supporting AS supporting, h.missing AS missing, h.contradicting AS contradicting" if detail else ""
-    ranked = f"""sort_array(transform(_scored, h -> struct(if(h.gone, 1, 0) AS status_rank, if(h.gone, 0, -greatest(0, least(100, h.raw))) AS order, h.id AS id,
-        if(h.gone, 'eliminated', 'active') AS status, if(h.gone, 0, greatest(0, least(100, h.raw))) AS confidence{kept})))"""
-    return once(scored, hypotheses=F.expr(ranked)).drop("_said", "_keys", "_sums", "_power", "_scored")
+    p = {k: f"_power[{i}]" for i, k in enumerate(kinds)}
+    given = _providers(rows, counters, list(more))
+    told = once(rows, _strength=F.array(*(x[3] for x in given)) if given else F.array().cast("array<bigint>"), _tokens=name_tokens(F.coalesce(F.col(name), F.lit(""))))
+
+    def power(kind: str) -> str:
+        if kind.startswith("name:"):
+            return f"size(_tokens) - size(array_remove(_tokens, {_text(kind[5:])}))"
+        return " + ".join([f"CAST(greatest(0, least(3, _strength[{i}])) AS INT)" for i, x in enumerate(given) if x[1] == kind] or ["0"])
+
+    powered = once(told.select("*", F.expr(_split(f"array({', '.join(map(power, kinds))})", "_strength")).alias("_powers")), _power=F.col("_powers"))
+
+    def confidence(h: seeds.Hypothesis) -> str:
+        """-1 for an eliminated one."""
+        raw = " + ".join([str(h.baseline), *(f"{r.weight} * {p[r.kind]}" for r in h.support), *(f"{-r.weight} * {p[r.kind]}" for r in h.reject)])
+        sure = f"greatest(0, least(100, {raw}))"
+        return f"if({' OR '.join(f'{p[r.kind]} = 0' for r in h.require)}, -1, {sure})" if h.require else sure
+
+    judged = once(powered.select("*", F.expr(_split(f"array({', '.join(map(confidence, known))})", "_power")).alias("_confidences")), _sure=F.col("_confidences"))
+
+    def rules(which: tuple[seeds.Rule, ...], test: str) -> str:
+        shown = ", ".join(f"if({p[r.kind]} {test}, named_struct('id', {_text(r.id)}, 'kind', {_text(r.kind)}, 'weight', {r.weight}), NULL)" for r in which)
+        return f"array_compact(array({shown}))" if which else f"CAST(array() AS {_RULES})"
+
+    def supporting(h: seeds.Hypothesis) -> str:
+        wanted = list(dict.fromkeys(r.kind for r in h.support))
+        items = [(provider, order, kind, f"if(_strength[{i}] > 0, {_item(order, kind, provider, f'_strength[{i}]')}, NULL)") for i, (order, kind, provider, _) in enumerate(given) if kind in wanted]
+        items += [("naming", 0, k, f"if({p[k]} > 0, {_item(0, 'name', 'naming', '1', k[5:])}, NULL)") for k in wanted if k.startswith("name:")]
+        return f"array_compact(array({', '.join(x[3] for x in sorted(items))}))" if items else f"CAST(array() AS array<{_ITEM}>)"
+
+    def one(i: int, h: seeds.Hypothesis) -> str:
+        gone, extra = f"_sure[{i}] < 0", ""
+        if detail is not False:
+            full = detail is True or h.id in detail
+            parts = {"supporting": (lambda: supporting(h), f"array<{_ITEM}>"), "missing": (lambda: rules(h.require, "= 0"), _RULES), "contradicting": (lambda: rules(h.reject, "> 0"), _RULES)}
+            extra = "".join(f", '{key}', {of() if full else f'CAST(NULL AS {kind})'}" for key, (of, kind) in parts.items())
+        return f"named_struct('status_rank', if({gone}, 1, 0), 'order', -greatest(0, _sure[{i}]), 'id', {_text(h.id)}, 'status', if({gone}, 'eliminated', 'active'), 'confidence', greatest(0, _sure[{i}]){extra})"
+
+    ranked = judged.select("*", F.expr(_split(f"sort_array(array({', '.join(one(i, h) for i, h in enumerate(known))}))", "_power")).alias("_hypotheses"))
+    return once(ranked, hypotheses=F.col("_hypotheses")).drop("_strength", "_tokens", "_power", "_powers", "_sure", "_confidences", "_hypotheses")
 
 
 def with_intent(rows: DataFrame) -> DataFrame:
     """``rows`` with ``primary_intent``, the first active hypothesis, its ``confidence``, and ``pipeline``, the longest known one whose stages are all active and whose words are all in the name."""
-    known = _literal([{"stages": s, "words": w, "rank": -len(s), "id": i} for i, s, w in seeds.pipelines()], "array<struct<rank:int,id:string,stages:array<string>,words:array<string>>>")
-    active = once(rows, _active=F.expr("filter(hypotheses, h -> h.status = 'active')"), _words=F.expr("transform(filter(evidence, e -> e.kind = 'name'), e -> e.token)"))
-    active = once(active, _first=F.expr("try_element_at(_active, 1)"), _ids=F.expr("transform(_active, h -> h.id)"))
-    fits = once(active, _fit=F.expr(f"try_element_at(sort_array(filter({known}, p -> size(array_except(p.words, _words)) = 0 AND size(array_except(p.stages, _ids)) = 0)), 1)"))
-    pipeline = F.expr("coalesce(transform(_fit.stages, s -> struct(s AS id, try_element_at(filter(_active, h -> h.id = s), 1).confidence AS confidence)), array())")
-    return once(fits, primary_intent=F.col("_first.id"), confidence=F.col("_first.confidence"), pipeline=pipeline).drop("_active", "_words", "_first", "_ids", "_fit")
+    told = once(rows, _active=F.expr("filter(hypotheses, h -> h.status_rank = 0)"), _words=F.expr("transform(filter(evidence, e -> e.kind = 'name'), e -> e.token)"))
+    named = once(told, _ids=F.expr("_active.id"))
+    fits = []
+    for _, stages, words in sorted(seeds.pipelines(), key=lambda x: (-len(x[1]), x[0])):
+        test = " AND ".join([*(f"array_contains(_words, {_text(x)})" for x in words), *(f"array_contains(_ids, {_text(x)})" for x in stages)])
+        fits.append(f"WHEN {test} THEN array({', '.join(map(_text, stages))})")
+    chosen = named.select("*", F.expr(_split(f"CASE {' '.join(fits)} ELSE CAST(array() AS array<string>) END", "_ids")).alias("_stages"))
+    pipeline = "transform(_stages, s -> named_struct('id', s, 'confidence', get(_active, array_position(_ids, s) - 1).confidence))"
+    return once(chosen, primary_intent=F.expr("get(_active, 0).id"), confidence=F.expr("get(_active, 0).confidence"), pipeline=F.expr(pipeline)).drop("_active", "_words", "_ids", "_stages")
+
+
+def analyzed(
+    rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool | set[str] = True, more: list[Provider] = ()
+) -> DataFrame:
+    """Facts with evidence, hypotheses, primary_intent, confidence and pipeline."""
+    return with_intent(with_hypotheses(with_evidence(rows, name, counters, more), registry, detail, name, counters, more))
 
 
-def analyzed(rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool = True) -> DataFrame:
-    """Facts with evidence, hypotheses, primary_intent, confidence and pipeline."""
-    return with_intent(with_hypotheses(with_evidence(rows, name, counters), registry, detail))
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by keys over as many tasks as may run at once: scoring costs far more than its few bytes make Spark expect."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def query_metadata() -> Column:

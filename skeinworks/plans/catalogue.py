@@ -41,13 +41,17 @@ def _query(sql: str | None = None):
     return add
 
 
+_NAMED = {k: f"n_{k}" for k in COUNTERS}
+
+
 def order_facts(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    return lines.groupBy("l_orderkey").agg(F.any_value(F.expr(_NAME)).alias("function_name"), *(F.count_if(F.expr(test)).alias(f"n_{kind}") for kind, test in COUNTERS.items()))
+    counted = lines.groupBy("l_orderkey").agg(F.any_value(F.expr(_NAME)).alias("function_name"), *(F.count_if(F.expr(test)).alias(f"n_{kind}") for kind, test in COUNTERS.items()))
+    return reasoning.spread(counted, "l_orderkey")
 
 
-def reports(spark: SparkSession, folder: str, detail: bool = False) -> DataFrame:
-    return reasoning.analyzed(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}, detail=detail)
+def reports(spark: SparkSession, folder: str, detail: bool | set[str] = False) -> DataFrame:
+    return reasoning.analyzed(order_facts(spark, folder), counters=_NAMED, detail=detail)
 
 
 def _values(rows) -> str:
@@ -77,7 +81,10 @@ staged AS (SELECT pipe.k, p.stage, p.pos, s.confidence FROM pipe JOIN pipes p ON
 
 
 def _term_sql(t: str) -> str:
-    return f"""(SELECT f.k, 100 * coalesce((top.intent = '{t}')::INT, 0) + 80 * coalesce(p.n, 0) + 60 * coalesce(h.n, 0) + 40 * coalesce(e.n, 0) + 20 * len(list_filter(string_split(f.name, '_'), lambda x: x = '{t}')) AS score
+    words = f"len(list_filter(string_split(f.name, '_'), lambda x: x = '{t}'))"
+    has = [f"coalesce((top.intent = '{t}')::INT, 0)", "coalesce(p.n, 0)", "coalesce(h.n, 0)", "coalesce(e.n, 0)", words]
+    fields = ", ".join(f"CASE WHEN {x} > 0 THEN '{i}:{t}' END" for i, x in enumerate(has))
+    return f"""(SELECT f.k, {" + ".join(f"{w} * {x}" for w, x in zip((100, 80, 60, 40, 20), has))} AS score, concat_ws(',', {fields}) AS fields
       FROM f LEFT JOIN top ON top.k = f.k LEFT JOIN (SELECT k, count(*) AS n FROM staged WHERE stage = '{t}' GROUP BY k) p ON p.k = f.k
       LEFT JOIN (SELECT k, count(*) AS n FROM s WHERE hyp = '{t}' AND NOT gone AND confidence >= 50 GROUP BY k) h ON h.k = f.k
       LEFT JOIN (SELECT k, count(*) AS n FROM ev WHERE CASE WHEN kind LIKE 'name:%' THEN substr(kind, 6) ELSE replace(kind, '_', '') END = '{t}' GROUP BY k) e ON e.k = f.k)"""
@@ -86,7 +93,7 @@ def _term_sql(t: str) -> str:
 @_query(f"WITH {FACTS_SQL} SELECT kind AS token, count(*) AS n, sum(strength)::BIGINT AS strength FROM ev WHERE kind LIKE 'name:%' GROUP BY kind")
 def name_tokens(spark, folder):
     """Words of names as evidence."""
-    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), "l_orderkey")
+    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters=_NAMED), "l_orderkey")
     return items.filter("kind = 'name'").groupBy(F.concat(F.lit("name:"), F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("strength"))
 
 
@@ -94,14 +101,14 @@ def name_tokens(spark, folder):
     SELECT k AS l_orderkey, provider_id, kind_ord, kind, strength FROM ev JOIN o USING (kind)""")
 def evidence_unpivot(spark, folder):
     """Counters above zero as rows."""
-    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), "l_orderkey")
+    items = reasoning.evidence_rows(reasoning.with_evidence(order_facts(spark, folder), counters=_NAMED), "l_orderkey")
     return items.filter("kind <> 'name'").select("l_orderkey", "provider_id", "kind_ord", "kind", "strength")
 
 
 @_query(f"WITH {SCORED_SQL} SELECT hyp AS hypothesis, count_if(NOT gone) AS n_active, count_if(gone) AS n_eliminated, sum(confidence)::BIGINT AS confidence FROM s GROUP BY hyp")
 def rule_scoring(spark, folder):
     """All hypotheses of all orders, summed up by hypothesis."""
-    scored = reasoning.with_hypotheses(reasoning.with_evidence(order_facts(spark, folder), counters={k: f"n_{k}" for k in COUNTERS}), detail=False)
+    scored = reasoning.with_hypotheses(order_facts(spark, folder), detail=False, counters=_NAMED)
     one = scored.select(F.explode("hypotheses").alias("h")).select("h.id", "h.status", "h.confidence")
     return one.groupBy(F.col("id").alias("hypothesis")).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") != "active").alias("n_eliminated"), F.sum("confidence").alias("confidence"))
 
@@ -125,36 +132,54 @@ def compose_pipeline(spark, folder):
     return reports(spark, folder).filter("size(pipeline) > 0").select("l_orderkey", F.expr("array_join(transform(pipeline, s -> concat(s.id, ':', s.confidence)), '>')").alias("pipeline"))
 
 
-def _searched(expression: str):
-    return lambda spark, folder: query.search(reports(spark, folder), expression, "l_orderkey").select("l_orderkey", "function_name", "primary_intent", F.col("score").cast("long").alias("score"))
+_KINDS = ["primary_intent", "pipeline_stage", "hypothesis", "evidence", "function_metadata"]
+
+
+def _searched(asked):
+    def run(spark, folder):
+        found = query.search(reports(spark, folder), asked(), "l_orderkey")
+        fields = F.array_join(F.transform("matched_fields", lambda f: F.concat(f.order.cast("string"), F.lit(":"), f.value)), ",")
+        return found.select("l_orderkey", "function_name", "primary_intent", F.array_join("stages", ">").alias("stages"), F.col("score").cast("long").alias("score"), fields.alias("fields"))
+
+    return run
 
 
 def _search_sql(score: str) -> str:
-    return f"""WITH {PIPED_SQL} SELECT f.k AS l_orderkey, f.name AS function_name, top.intent AS primary_intent, q.score::BIGINT AS score
+    return f"""WITH {PIPED_SQL} SELECT f.k AS l_orderkey, f.name AS function_name, top.intent AS primary_intent, q.score::BIGINT AS score, q.fields,
+          coalesce((SELECT string_agg(stage, '>' ORDER BY pos) FROM staged WHERE staged.k = f.k), '') AS stages
         FROM ({score}) q JOIN f ON f.k = q.k LEFT JOIN top ON top.k = f.k WHERE q.score > 0"""
 
 
-for _name, _expression, _score in (
-    ("semantic_query_term", "maximum", f"SELECT * FROM {_term_sql('maximum')}"),
-    ("semantic_query_and", "counter AND comparison", f"SELECT a.k, CASE WHEN a.score > 0 AND b.score > 0 THEN least(65535, a.score + b.score) ELSE 0 END AS score FROM {_term_sql('counter')} a JOIN {_term_sql('comparison')} b ON a.k = b.k"),
-    ("semantic_query_or", "histogram OR sum", f"SELECT a.k, greatest(a.score, b.score) AS score FROM {_term_sql('histogram')} a JOIN {_term_sql('sum')} b ON a.k = b.k"),
-    ("semantic_query_not", "NOT accumulator", f"SELECT k, (score = 0)::INT AS score FROM {_term_sql('accumulator')}"),
-    ("semantic_query_then", "filter THEN reduce", "SELECT a.k, 179 + b.pos - a.pos AS score FROM staged a JOIN staged b ON a.k = b.k AND a.stage = 'filter' AND b.stage = 'reducer' AND b.pos > a.pos"),
-):
-    QUERIES[_name], ORACLES[_name] = _searched(_expression), _search_sql(_score)
+def _fields_sql(*sides: str) -> str:
+    """Fields of two terms together, in order."""
+    return "array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"list_filter(string_split({x}.fields, ','), lambda y: y <> '')" for x in sides) + "))), ',')"
+
+
+for _name, _asked, _score in (
+    ("semantic_query_term", lambda: query.term("maximum"), f"SELECT * FROM {_term_sql('maximum')}"),
+    ("semantic_query_and", lambda: query.both(query.term("counter"), query.term("comparison")),
+     f"SELECT a.k, CASE WHEN a.score > 0 AND b.score > 0 THEN least(65535, a.score + b.score) ELSE 0 END AS score, {_fields_sql('a', 'b')} AS fields FROM {_term_sql('counter')} a JOIN {_term_sql('comparison')} b ON a.k = b.k"),
+    ("semantic_query_or", lambda: query.either(query.term("histogram"), query.term("sum")),
+     f"SELECT a.k, greatest(a.score, b.score) AS score, CASE WHEN a.score >= b.score THEN a.fields ELSE b.fields END AS fields FROM {_term_sql('histogram')} a JOIN {_term_sql('sum')} b ON a.k = b.k"),
+    ("semantic_query_not", lambda: query.without(query.term("accumulator")), f"SELECT k, (score = 0)::INT AS score, '' AS fields FROM {_term_sql('accumulator')}"),
+    ("semantic_query_then", lambda: query.then("filter", "reduce"), "SELECT a.k, 179 + b.pos - a.pos AS score, '1:filter,1:reducer' AS fields FROM staged a JOIN staged b ON a.k = b.k AND a.stage = 'filter' AND b.stage = 'reducer' AND b.pos > a.pos"),
+):
+    QUERIES[_name], ORACLES[_name] = _searched(_asked), _search_sql(_score)
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'type_mismatch' WHEN 'O' THEN 'missing_division' ELSE 'move_after_use' END"
 
 
-@_query(f"""WITH {SCORED_SQL}, d(rule_id, category, hyp, interpretation, suggestions) AS (VALUES {_values(seeds.DIAGNOSTIC_RULES)}), g(suggestions, n) AS (VALUES {_values([(x, sum(s[0] == x for s in seeds.SUGGESTIONS)) for x in dict.fromkeys(s[0] for s in seeds.SUGGESTIONS)])})
-    SELECT o_orderkey AS diagnostic_id, x.category, x.hyp AS intent, x.confidence, x.interpretation, x.n::INT AS n_fixes
-    FROM orders LEFT JOIN (SELECT s.k, d.category, s.hyp, s.confidence, d.interpretation, g.n FROM d JOIN s ON s.hyp = d.hyp JOIN g USING (suggestions) WHERE NOT s.gone OR d.interpretation = 'average_implementation_incomplete') x
+@_query(f"""WITH {SCORED_SQL}, d(rule_id, category, hyp, interpretation, suggestions) AS (VALUES {_values(seeds.DIAGNOSTIC_RULES)}), g(suggestions, fixes) AS (VALUES {_values([(x, ",".join(s[1] for s in seeds.SUGGESTIONS if s[0] == x)) for x in dict.fromkeys(s[0] for s in seeds.SUGGESTIONS)])}),
+    sup AS (SELECT ev.k, r.hyp, string_agg(DISTINCT ev.kind, ',' ORDER BY ev.kind) AS evidence FROM ev JOIN rules r ON r.kind = ev.kind AND r.role = 'support' GROUP BY ALL)
+    SELECT o_orderkey AS diagnostic_id, x.category, x.hyp AS intent, x.confidence, x.interpretation, x.rule_id, x.fixes, x.evidence
+    FROM orders LEFT JOIN (SELECT s.k, d.category, s.hyp, s.confidence, d.interpretation, d.rule_id, g.fixes, coalesce(sup.evidence, '') AS evidence FROM d JOIN s ON s.hyp = d.hyp JOIN g USING (suggestions) LEFT JOIN sup ON sup.k = s.k AND sup.hyp = s.hyp WHERE NOT s.gone OR d.interpretation = 'average_implementation_incomplete') x
       ON x.k = o_orderkey AND x.category = {_STATUS} WHERE x.k IS NOT NULL""")
 def diagnose_top1(spark, folder):
     """Each order's status as a diagnostic of it."""
     said = table(spark, folder, "orders").select(F.col("o_orderkey").alias("diagnostic_id"), F.col("o_orderkey").alias("source"), F.expr(_STATUS).alias("category"), F.lit(None).cast("string").alias("function_name"))
-    found = diagnose.diagnosed(said, reports(spark, folder, detail=True).withColumnRenamed("l_orderkey", "source")).filter("intent IS NOT NULL")
-    return found.select("diagnostic_id", "category", "intent", "confidence", "interpretation", F.size("fixes").alias("n_fixes"))
+    found = diagnose.diagnosed(said, reports(spark, folder, detail={r[2] for r in seeds.DIAGNOSTIC_RULES}).withColumnRenamed("l_orderkey", "source")).filter("intent IS NOT NULL")
+    said = F.array_sort(F.transform("evidence", lambda e: F.when(e.kind == "name", F.concat(F.lit("name:"), e.token)).otherwise(e.kind)))
+    return found.select("diagnostic_id", "category", "intent", "confidence", "interpretation", "rule_id", F.array_join("fixes.title", ",").alias("fixes"), F.array_join(said, ",").alias("evidence"))
 
 
 @_query("SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -202,7 +227,8 @@ def sha_ids(spark, folder):
     return docs.select("doc_id", stats.run_id(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("run_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@_query()
+@_query("""SELECT c_custkey, c_name, printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, 1 + length(c_name)), lambda i: ascii(c_name[i])::HUGEINT)),
+      lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS fnv FROM customer""")
 def fnv_hash(spark, folder):
     """F1 over nations' and customers' names."""
     return cache.with_fnv(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "fnv")
@@ -218,13 +244,36 @@ def failure_classify(spark, folder):
     return texts.select(text.failure_class(F.col("text")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(r"""SELECT doc_id, len(string_split(text, chr(10))) AS loc, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '')) AS blank_lines,
-      len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(ltrim(x, ' '), '^(#|//|/\*|\*)'))) AS comment_lines,
-      len(regexp_extract_all(text, '\b(class|struct|enum|interface)\s+[A-Za-z_]\w*')) AS class_count, len(regexp_extract_all(text, '\b(if|for|while|case|catch)\b')) AS branch_count FROM documents""")
+_LINES = r"list_filter(list_zip(string_split_regex(text, '\r\n|[\n\x0B\f\r]'), range(1, 1 + len(string_split_regex(text, '\r\n|[\n\x0B\f\r]')))), lambda p: NOT (p[1] = '' AND p[2] = len(string_split_regex(text, '\r\n|[\n\x0B\f\r]'))))"
+
+
+@_query(rf"""WITH l AS (SELECT doc_id, text, {_LINES} AS lines, len(regexp_extract_all(text, '\b(?:def|fn|func|function|[A-Za-z_][\w:<>]*\s+)\s+([A-Za-z_]\w*)\s*\(')) AS f,
+        len(regexp_extract_all(text, '\b(?:if|for|while|case|catch|&&|\|\||\?)\b')) AS b FROM documents)
+    SELECT doc_id, len(lines) AS loc, len(list_filter(lines, lambda p: regexp_matches(p[1], '^\s*$'))) AS blank_lines, len(list_filter(lines, lambda p: regexp_matches(p[1], '^\s*(#|//|/\*|\*)'))) AS comment_lines,
+      len(regexp_extract_all(text, '\b(?:class|struct|enum|interface)\s+[A-Za-z_]\w*')) AS class_count, f AS function_count, b AS branch_count, f + b AS cyclomatic_complexity FROM l""")
 def text_metrics(spark, folder):
     """G17, F11."""
     docs = table(spark, folder, "documents")
-    return docs.select("doc_id", *(c.cast("long").alias(k) for k, c in text.source_metrics(F.col("text")).items()))
+    return docs.select("doc_id", *(c.cast("long").alias(k) for k, c in text.source_metrics(F.col("text")).items() if k != "documented"))
+
+
+@_query("""SELECT user_id, count(*) AS visits, count_if(event_type = 'click') AS assignment_count, count_if(event_type = 'view' AND event_id % 3 = 0) AS loop_count, count_if(event_type = 'view' AND event_id % 3 = 0 AND event_id % 2 = 1) AS nested_loop_count,
+      count_if(event_type = 'click' AND event_id % 5 < 2) AS addition_mutation_count, count_if(event_type = 'click' AND event_id % 5 = 0) AS increment_mutation_count, count_if(event_type = 'purchase') AS return_count,
+      count_if(event_type = 'purchase' AND event_id % 2 = 1) AS loop_return_count, count_if(event_type = 'refund') AS conditional_count, count_if(event_type = 'refund' AND event_id % 7 = 0) AS maximum_update_count, count_if(event_type = 'signup' AND event_id % 2 = 0) AS recursion_count,
+      (count_if(event_type = 'view' AND event_id % 3 = 0) > 0 AND count_if(event_type = 'click' AND event_id % 5 < 2) > 0)::BIGINT AS accumulation_count FROM events GROUP BY user_id""")
+def facts(spark, folder):
+    """Events as what functions, one for each user, reach."""
+    e, n = table(spark, folder, "events"), F.col("event_id")
+    is_ = lambda t: F.col("event_type") == t
+    kind = F.when(is_("click"), "assignment").when(is_("view") & (n % 3 == 0), "loop").when(is_("purchase"), "return").when(is_("refund"), "conditional").when(is_("signup"), "call").otherwise("literal")
+    none = F.lit(None).cast("string")
+    visits = e.select(
+        F.lit("events").alias("source"), F.col("user_id").alias("ordinal"), F.lit("f").alias("function_name"), kind.alias("kind"), F.when(is_("click") & (n % 5 < 2), "add").alias("op"), (n % 2).alias("depth"), (n % 5 == 0).alias("one"),
+        F.lit(False).alias("foreach"), F.lit(1).alias("branches"), (n % 7 == 0).alias("maximum"), F.lit(False).alias("minimum"), F.lit(False).alias("divides"), (n % 2 == 0).alias("recursive"), none.alias("role"), none.alias("category"),
+    )
+    found = reasoning.facts(visits).join(e.groupBy(F.col("user_id").alias("ordinal")).agg(F.count(F.lit(1)).alias("visits")), "ordinal")
+    counted = "assignment loop nested_loop addition_mutation increment_mutation return loop_return conditional maximum_update recursion accumulation".split()
+    return found.select(F.col("ordinal").alias("user_id"), "visits", *(f"{c}_count" for c in counted))
 
 
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -235,14 +284,14 @@ def _long(spark, folder) -> DataFrame:
     return stats.long_metrics(table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", *_METRICS), ["l_returnflag", "l_linestatus"], _METRICS)
 
 
-@_query(f"""WITH {_LONG_SQL}, q AS (SELECT l_returnflag, l_linestatus, metric, count(*) AS n, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, stddev_samp(value) AS stdev, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL)
-    SELECT q.l_returnflag, q.l_linestatus, q.metric, any_value(n) AS n, round(any_value(mean), 4) AS mean, any_value(median) AS median, any_value(min) AS min, any_value(max) AS max, round(any_value(stdev), 4) AS stdev, round(any_value(stdev) / abs(any_value(mean)), 4) AS cv,
+@_query(f"""WITH {_LONG_SQL}, q AS (SELECT l_returnflag, l_linestatus, metric, count(*) AS n, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, stddev_samp(value) AS stdev, var_samp(value) AS variance, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL)
+    SELECT q.l_returnflag, q.l_linestatus, q.metric, any_value(n) AS n, round(any_value(mean), 4) AS mean, any_value(median) AS median, any_value(min) AS min, any_value(max) AS max, round(any_value(stdev), 4) AS stdev, round(any_value(stdev) / any_value(mean), 4) AS cv, round(any_value(variance), 2) AS variance,
       count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
-    FROM q JOIN long USING (l_returnflag, l_linestatus, metric) GROUP BY ALL""".replace("GROUP BY ALL\"", "GROUP BY ALL\""))
+    FROM q JOIN long USING (l_returnflag, l_linestatus, metric) GROUP BY ALL""")
 def describe_groups(spark, folder):
     """Summaries with Tukey outliers."""
     d = stats.described(_long(spark, folder), "l_returnflag", "l_linestatus", "metric")
-    return d.select("l_returnflag", "l_linestatus", "metric", "n", F.round("mean", 4).alias("mean"), "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("cv", 4).alias("cv"), "outliers")
+    return d.select("l_returnflag", "l_linestatus", "metric", "n", F.round("mean", 4).alias("mean"), "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("cv", 4).alias("cv"), F.round("variance", 2).alias("variance"), "outliers")
 
 
 @_query("""WITH v AS (SELECT o_orderpriority AS cell, o_orderstatus AS arm, o_totalprice AS value FROM orders WHERE o_orderstatus IN ('F', 'O')),
@@ -274,11 +323,12 @@ def pearson_matrix(spark, folder):
 
 
 @_query(f"""WITH {_LONG_SQL}, c AS (SELECT *, avg(value) OVER (PARTITION BY metric, l_returnflag, l_linestatus) AS m, avg(value) OVER (PARTITION BY metric) AS g FROM long)
-    SELECT metric, count(*) AS n, round(var_samp(value) / (sum((value - m) ** 2) / (count(*) - 1)), 6) AS total_over_within, round(sum((m - g) ** 2) / (count(*) - 1) / var_samp(value), 9) AS between_over_total FROM c GROUP BY metric""")
+    SELECT metric, count(*) AS n, round(var_samp(value) / (sum((value - m) ** 2) / (count(*) - 1)), 6) AS total_over_within, round(sum((m - g) ** 2) / (count(*) - 1) / var_samp(value), 9) AS between_over_total,
+      round(log10(var_samp(value)), 7) AS total, round(log10(sum((value - m) ** 2) / (count(*) - 1)), 7) AS within_cells FROM c GROUP BY metric""")
 def variance_decomposition(spark, folder):
-    """G15, as ratios, which no unit blows up."""
+    """G15, as ratios and as logarithms, which no unit blows up."""
     v = stats.variance_decomposition(_long(spark, folder), "metric", ["l_returnflag", "l_linestatus"])
-    return v.select("metric", "n", F.round(F.col("total") / F.col("within_cells"), 6).alias("total_over_within"), F.round(F.col("between_cells") / F.col("total"), 9).alias("between_over_total"))
+    return v.select("metric", "n", F.round(F.col("total") / F.col("within_cells"), 6).alias("total_over_within"), F.round(F.col("between_cells") / F.col("total"), 9).alias("between_over_total"), F.round(F.log10("total"), 7).alias("total"), F.round(F.log10("within_cells"), 7).alias("within_cells"))
 
 
 @_query("SELECT c_mktsegment, o_orderpriority, round(avg(o_totalprice), 3) AS mean, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
@@ -350,11 +400,20 @@ def showcase_longest(spark, folder):
 def bootstrap_ci(spark, folder):
     """Resampling has no SQL."""
     long = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("cell"), "s_suppkey", F.col("s_acctbal").alias("value"))
-    return stats.bootstrap_intervals(long, ["cell"], "s_suppkey", samples=1000)
+    return stats.bootstrap_intervals(long, ["cell"], "s_suppkey")
+
+
+def _arms(spark, folder) -> DataFrame:
+    return table(spark, folder, "supplier").select((F.col("s_nationkey") % 5).alias("cell"), F.when(F.col("s_nationkey") < 12, "a").otherwise("b").alias("arm"), "s_suppkey", F.col("s_acctbal").alias("value"))
+
+
+@_query()
+def bootstrap_difference_ci(spark, folder):
+    """G9."""
+    return stats.bootstrap_differences(_arms(spark, folder), ["cell"], "arm", "a", "b", "s_suppkey")
 
 
 @_query()
 def randomization_p(spark, folder):
     """Shuffling has no SQL."""
-    long = table(spark, folder, "supplier").select((F.col("s_nationkey") % 5).alias("cell"), F.when(F.col("s_nationkey") < 12, "a").otherwise("b").alias("arm"), "s_suppkey", F.col("s_acctbal").alias("value"))
-    return stats.randomization_tests(long, ["cell"], "arm", "a", "b", "s_suppkey", samples=1000)
+    return stats.randomization_tests(_arms(spark, folder), ["cell"], "arm", "a", "b", "s_suppkey")

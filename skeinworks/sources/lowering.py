@@ -18,6 +18,8 @@ VISITS = "source string, ordinal int, function_name string, kind string, op stri
 CATEGORIES = {"integer": "numeric", "decimal": "numeric", "boolean": "boolean", "text": "text", "unit": "unit", "collection": "collection", "map": "map", "optional": "optional", "result": "result", "reference": "reference", "pointer": "pointer", "function": "callable", "named": "named"}
 PYTHON_TYPES = {"int": "numeric", "float": "numeric", "bool": "boolean", "str": "text", "None": "unit"}
 PYTHON_OPS = {"Add": "add", "Sub": "subtract", "Mult": "multiply", "Div": "divide", "FloorDiv": "divide", "Mod": "remainder", "Eq": "equal", "NotEq": "not_equal", "Lt": "less_than", "LtE": "less_than_or_equal", "Gt": "greater_than", "GtE": "greater_than_or_equal", "And": "and", "Or": "or"}
+#: The greatest integer that a program may hold.
+MOST = (1 << 63) - 1
 GREATER, LESS = ("greater_than", "greater_than_or_equal"), ("less_than", "less_than_or_equal")
 
 
@@ -30,21 +32,21 @@ def node(kind: str, **more) -> dict:
     return {"kind": kind, "op": None, "outer": (), "body": ()} | more
 
 
-def _assign(target: dict, value: dict, op: str | None = None) -> dict:
+def assign(target: dict, value: dict, op: str | None = None) -> dict:
     return node("assignment", op=op, outer=(target, value), one=value["kind"] == "literal" and value.get("value") == 1 and value.get("value") is not True)
 
 
-def _conditional(condition: dict, then: list[dict], other: list[dict] | None) -> dict:
+def conditional(condition: dict, then: list[dict], other: list[dict] | None) -> dict:
     plain = any(x["kind"] == "assignment" and x["op"] is None for x in then)
     compares = condition["op"] if condition["kind"] == "binary" else None
     return node("conditional", outer=(condition, *then, *(other or ())), branches=1 + (other is not None), maximum=compares in GREATER and plain, minimum=compares in LESS and plain)
 
 
-def _return(value: dict | None) -> dict:
+def returned(value: dict | None) -> dict:
     return node("return", outer=() if value is None else (value,), divides=value is not None and value["kind"] == "binary" and value["op"] == "divide")
 
 
-def _function(name: str, parameters: list[str], returns: str | None, body: list[dict]) -> dict:
+def function(name: str, parameters: list[str], returns: str | None, body: list[dict]) -> dict:
     types = [("parameter", c) for c in parameters] + ([("return", returns)] if returns else [])
     return node("function", name=name, types=types, outer=tuple(body))
 
@@ -61,7 +63,7 @@ def transport_functions(text: str, version: int = 1, format_suffix: str = ".sema
     if document.get("version") != version:
         raise FrontendError(f"unsupported export version: {document.get('version')}")
     try:
-        return [_function(f["name"], [CATEGORIES.get(p["type"]["kind"], "unknown") for p in f["parameters"]], CATEGORIES.get(f["return_type"]["kind"], "unknown"), [_statement(x) for x in f["body"]]) for m in modules for f in m["functions"]]
+        return [function(f["name"], [CATEGORIES.get(p["type"]["kind"], "unknown") for p in f["parameters"]], CATEGORIES.get(f["return_type"]["kind"], "unknown"), [_statement(x) for x in f["body"]]) for m in modules for f in m["functions"]]
     except (KeyError, TypeError) as error:
         raise FrontendError("invalid export JSON") from error
 
@@ -71,18 +73,18 @@ def _statement(s: dict) -> dict:
         case "variable":
             return node("variable", types=[("local", CATEGORIES.get(s["type"]["kind"], "unknown"))] if s.get("type") else [], outer=(_expression(s["initializer"]),) if s.get("initializer") else ())
         case "assignment":
-            return _assign(_expression(s["target"]), _expression(s["value"]))
+            return assign(_expression(s["target"]), _expression(s["value"]))
         case "mutation":
-            return _assign(_expression(s["target"]), _expression(s["value"]), s["operation"])
+            return assign(_expression(s["target"]), _expression(s["value"]), s["operation"])
         case "call":
             return _expression(s["call"] | {"kind": "call"})
         case "return":
-            return _return(_expression(s["value"]) if s.get("value") else None)
+            return returned(_expression(s["value"]) if s.get("value") else None)
         case "loop":
             return node("loop", outer=(_expression(s["loop_kind"]["condition"]),), body=tuple(_statement(x) for x in s["body"]))
         case "conditional":
             other = s.get("else_body")
-            return _conditional(_expression(s["condition"]), [_statement(x) for x in s["then_body"]], None if other is None else [_statement(x) for x in other])
+            return conditional(_expression(s["condition"]), [_statement(x) for x in s["then_body"]], None if other is None else [_statement(x) for x in other])
     raise FrontendError("invalid export JSON")
 
 
@@ -124,23 +126,23 @@ def _python(s: ast.stmt, known: set[str], found: list[dict]) -> dict | None:
         case ast.FunctionDef() | ast.AsyncFunctionDef():
             inner = {a.arg for a in s.args.args}
             body = _block(s.body, inner, found)
-            found.append(_function(s.name, [_annotated(a.annotation) for a in s.args.args], _annotated(s.returns), body))
+            found.append(function(s.name, [_annotated(a.annotation) for a in s.args.args], _annotated(s.returns), body))
             return None
-        case ast.Assign(targets=[ast.Name(id=name)]) | ast.AnnAssign(target=ast.Name(id=name), value=ast.expr()):
+        case ast.Assign(targets=[ast.Name(id=name), *_]) | ast.AnnAssign(target=ast.Name(id=name), value=ast.expr()):
             value = _value(s.value)
             if name in known:
-                return _assign(node("identifier", name=name), value)
+                return assign(node("identifier", name=name), value)
             known.add(name)
             kind = _annotated(s.annotation) if isinstance(s, ast.AnnAssign) else _inferred(s.value)
             return node("variable", types=[("local", kind)] if kind else [], outer=(value,))
         case ast.AugAssign(target=ast.Name(id=name)) if type(s.op).__name__ in PYTHON_OPS:
-            return _assign(node("identifier", name=name), _value(s.value), PYTHON_OPS[type(s.op).__name__])
+            return assign(node("identifier", name=name), _value(s.value), PYTHON_OPS[type(s.op).__name__])
         case ast.Return():
-            return _return(None if s.value is None else _value(s.value))
+            return returned(None if s.value is None else _value(s.value))
         case ast.Expr(value=ast.Call()):
             return _value(s.value)
         case ast.If():
-            return _conditional(_value(s.test), _block(s.body, known, found), _block(s.orelse, known, found) if s.orelse else None)
+            return conditional(_value(s.test), _block(s.body, known, found), _block(s.orelse, known, found) if s.orelse else None)
         case ast.While():
             return node("loop", outer=(_value(s.test),), body=tuple(_block(s.body, known, found)))
         case ast.For(target=ast.Name(id=name)):
@@ -154,6 +156,8 @@ def _value(e: ast.expr) -> dict:
         case ast.Name():
             return node("identifier", name=e.id)
         case ast.Constant():
+            if isinstance(e.value, int) and e.value > MOST:
+                raise FrontendError("an integer is beyond 64 bits")
             return node("literal", value=e.value if isinstance(e.value, int) else None)
         case ast.Call():
             return node("call", outer=(_value(e.func), *map(_value, e.args)))
@@ -217,12 +221,11 @@ def visits_of(functions: list[dict]) -> Iterator[dict]:
             stack += [(c, depth + 1) for c in reversed(x["body"])] + [(c, depth) for c in reversed(x["outer"])]
 
 
-FRONTENDS = {"python": python_functions, "transport": transport_functions}
-
-
 def lowered(sources: DataFrame, language: str) -> DataFrame:
     """Visits of ``sources`` (source, content). A source that its frontend rejects is one row of kind ``error``; no functions, one of kind ``empty``."""
-    frontend = FRONTENDS[language]
+    from skeinworks.sources.compiled import clang_functions, java_functions
+
+    frontend = {"python": python_functions, "transport": transport_functions, "java": java_functions, "c": clang_functions}[language]
     names = [x.split()[0] for x in VISITS.split(", ")]
     types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in VISITS.split(", ")])
@@ -234,6 +237,8 @@ def lowered(sources: DataFrame, language: str) -> DataFrame:
                     rows = list(visits_of(frontend(content or ""))) or [{"kind": "empty"}]
                 except FrontendError as error:
                     rows = [{"kind": "error", "error": str(error)}]
+                except (RecursionError, MemoryError):
+                    rows = [{"kind": "error", "error": "nested too deeply"}]
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"source": source} | r for r in rows], schema=schema)
 
     return sources.select("source", "content").mapInArrow(lower, VISITS)

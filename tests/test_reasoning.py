@@ -47,7 +47,7 @@ def test_scores_by_brute_force(reports):
 
 def test_pipeline_and_then(reports):
     assert [(s.id, s.confidence) for s in reports.filter("source = 'c'").first().pipeline] == [("filter", 95), ("mapper", 100), ("reducer", 100)]
-    assert [(r.source, r.score) for r in query.search(reports, "filter THEN reduce").collect()] == [("c", 181)]
+    assert [(r.source, r.score) for r in query.search(reports, query.then("filter", "reduce")).collect()] == [("c", 181)]
 
 
 def test_rejecting_rule_counts_against(spark):
@@ -60,18 +60,24 @@ def test_empty_table(spark):
     assert reasoning.analyzed(spark.createDataFrame([], FACTS)).count() == 0
 
 
-@pytest.mark.parametrize("text,error", [("", "Empty"), ("not", "MissingOperand"), ("a and", "MissingOperand"), ("then b", "MissingOperand"), ("(a)", "UnsupportedToken")])
-def test_query_errors(text, error):
-    with pytest.raises(query.QueryError, match=error):
-        query.parse(text)
-
-
-def test_query_trees():
-    T, N = query.Term, query.Node
-    assert query.parse("maximum OR minimum") == N("or", (T("maximum"), T("minimum")))
-    assert query.parse("NOT recursive") == N("not", (T("recursion"),))
-    assert query.parse("filter THEN map") == N("then", (T("filter"), T("mapper")))
-    assert query.parse("max by") == T("max_by")
+def test_queries_are_columns(reports):
+    T = query.term
+    scores = lambda q: {r.source: r.score for r in query.search(reports, q).collect()}
+    assert scores(T("accumulator")) == {"a": 160, "b": 60} and scores(T("Count")) == {"b": 60}
+    assert scores(query.without(T("accumulator"))) == {"c": 1, "d": 1}
+    assert scores(query.both(T("accumulator"), T("counter"))) == {"b": 220} and scores(query.either(T("counter"), T("mapper"))) == {"b": 160, "c": 240}
+    assert query.canonical("recursive") == "recursion" and query.canonical("max by") == "max_by" and query.canonical("map") == "mapper"
+    found = query.search(reports, query.then("filter", "map")).first()
+    assert (found.score, [(f.order, f.kind, f.value) for f in found.matched_fields]) == (180, [(1, "pipeline_stage", "filter"), (1, "pipeline_stage", "mapper")])
+    assert scores(query.then("map", "filter")) == {}
+
+
+def test_another_provider_counts(reports, spark):
+    registry = {"allocation_observer": seeds.Hypothesis("allocation_observer", support=(seeds.Rule("allocation", "allocation", 25),))}
+    rows = spark.createDataFrame(ROWS[:1], FACTS)
+    got = reasoning.analyzed(rows, registry=registry, more=[("extra", "allocation", F.lit(1))]).first()
+    assert got.hypotheses[0].confidence == 35 and ("extra", "allocation", 1) in {(e.provider_id, e.kind, e.strength) for e in got.evidence}
+    assert [e.provider_id for e in got.hypotheses[0].supporting] == ["extra"]
 
 
 def test_a_filter_does_not_compute_scores_again(reports):
