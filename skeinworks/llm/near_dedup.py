@@ -125,7 +125,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketched(rows: DataFrame, idf) -> DataFrame:
-    """(row, id, print, bands) of rows (row, id, text): 128 bits of the word sequence, null for no words, and the band keys."""
+    """(row, id, print, bands, size) of rows (row, id, text): 128 bits of the word sequence, null for no words, the band keys, and bytes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,25 +139,24 @@ def _sketched(rows: DataFrame, idf) -> DataFrame:
                 for t, key in zip(text, keys.view(np.int64).tolist(), strict=True):
                     bands[t] = key
                 own = [batch.column(i).slice(a, b - a) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(words.prints(), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "id", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words.prints(), pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(words.sizes)], names=["row", "id", "print", "bands", "size"])
 
-    return rows.select("row", "id", "text").mapInArrow(sketch, "row long, id long, print binary, bands array<long>")
+    return rows.select("row", "id", "text").mapInArrow(sketch, "row long, id long, print binary, bands array<long>, size long")
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
-    """``pairs`` with the text of ``end``. An id of very many pairs is dealt over SPREAD tasks by the ``other`` end."""
-    often = stable(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).orderBy(F.desc("n"), end).limit(HOTTEST))
-    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SPREAD))).cast("int").alias("part")
-    dealt = pairs.join(F.broadcast(often), end, "left").select(*pairs.columns, part)
-    named = texts.withColumnsRenamed({"id": end, "text": f"text_{end}"})
+def _with_leader(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, text_a) with text_b, of the leader. A leader of very many pairs is dealt over SPREAD tasks by the other text."""
+    often = stable(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).orderBy(F.desc("n"), "b").limit(HOTTEST))
+    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.lit(SPREAD))).cast("int").alias("part")
+    dealt = pairs.join(F.broadcast(often), "b", "left").select("a", "b", "text_a", part)
     parts = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    copies = named.join(F.broadcast(often), end, "left").select(*named.columns, F.explode(parts).alias("part"))
-    return dealt.join(copies, [end, "part"]).drop("part")
+    copies = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).join(F.broadcast(often), "b", "left").select("b", "text_b", F.explode(parts).alias("part"))
+    return dealt.join(copies, ["b", "part"]).select("a", "b", "text_a", "text_b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) of ids whose texts (id, text) have a weighted Jaccard similarity of ``threshold``."""
-    both = _with_text(_with_text(pairs, texts, "a", "b"), texts, "b", "a").select("a", "b", "text_a", "text_b")
+    """The ``pairs`` (a, and its leader b) of ids whose texts (id, text) have a weighted Jaccard similarity of ``threshold``."""
+    both = _with_leader(pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a"), texts)
 
     def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -246,23 +245,23 @@ def _joins(alike: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[
     return out
 
 
-def _unmet(led: DataFrame, roots: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+def _unmet(led: DataFrame, roots: DataFrame, sizes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b, similarity) that connect the classes ``roots`` of texts that share a band and have met only its leader.
 
     All pairs of a band's texts are compared, but inside tasks: a pair is never a row. Texts of a band are cut into
     blocks of bounded number and bytes that meet two by two, so no band is one task's alone, and of its pairs a task
     only returns those that connect classes.
     """
-    met = stable(led.join(roots, "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("root")))
-    apart = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    left = stable(looked_up(met, stable(apart), "band", "key", how="left_semi"))
-    texts = stable(rows.select(F.col("row").alias("id"), "text").join(left.select("id").distinct(), "id").select("id", "text", F.octet_length("text").alias("size")))
-    sized = stable(left.join(texts.select("id", "size"), "id"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    held = stable(sized.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("band", "key", "n", blocks.alias("blocks")))
+    rooted = led.join(roots, "id", "left").join(sizes, "id").select("band", "key", "id", F.coalesce("root", "id").alias("root"), "size")
+    met = stable(rooted)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    in_band = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = stable(in_band.filter("low != high").select("band", "key", "n", blocks))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = looked_up(sized, held, "band", "key").select("band", "key", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    cells = dealt.select("band", "key", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "id", "root").join(texts.select("id", "text"), "id")
+    dealt = looked_up(met, apart, "band", "key").select("band", "key", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    placed = stable(dealt.select("band", "key", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "id", "root"))
+    texts = rows.select(F.col("row").alias("id"), "text").join(placed.select("id").distinct(), "id")
+    cells = placed.join(texts, "id")
 
     def compare(cell: pa.Table) -> pa.Table:
         ids, root = (cell[c].to_numpy() for c in ("id", "root"))
@@ -285,10 +284,10 @@ def _links(sketched: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshol
     led = stable(_leaders(banded))
     needed = led.select("id").union(led.select("leader")).distinct()
     texts = rows.select(F.col("row").alias("id"), "text").join(needed, "id", "left_semi")
-    pair = stable(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    pair = stable(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())  # a leader is never led by one that it leads
     links = stable(verified(pair, texts, idf, threshold))
     roots = stable(components(links))
-    more = stable(_unmet(led, roots, rows, idf, threshold))
+    more = stable(_unmet(led, roots, sketched.select(F.col("row").alias("id"), "size"), rows, idf, threshold))
     every = links.unionByName(more)
     stars = components(every)
     return every, stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct())

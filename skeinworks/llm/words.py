@@ -55,6 +55,7 @@ class Words:
     first: np.ndarray
     hash: np.ndarray  # uint64 of each word
     sums: np.ndarray  # of the bytes' hashes, from which any part of a word has its own
+    sizes: np.ndarray  # bytes of each text
 
     def __len__(self) -> int:
         return len(self.start)
@@ -133,7 +134,7 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return Words(data, start, end, np.searchsorted(start, at), mix((sums[end] - sums[start]) * down[start]), sums)
+    return Words(data, start, end, np.searchsorted(start, at), mix((sums[end] - sums[start]) * down[start]), sums, np.diff(at))
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
