@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.llm.exact_dedup import grouped, looked_up
-from skeinworks.llm.store import stable
+from skeinworks.llm.store import stable, written
 from skeinworks.llm.words import chunks, minimisers, sliding
 
 #: Fewest words of a passage; words of a minimiser; minimisers of which a window keeps the least.
@@ -26,24 +26,23 @@ LEAST, GRAM, WINDOW = 50, 12, 32
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    """(id, print, n_words, at, gram): the minimisers of each row."""
+    """(id, print, n_words, gram): the minimisers of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in chunks(batch.column(1)):
                 at, grams = minimisers(words, GRAM, WINDOW)
                 cuts = np.searchsorted(at, words.first)
-                own = at - np.repeat(words.first[:-1], np.diff(cuts))
                 offsets = pa.array(cuts, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array(words.prints(), pa.binary()), pa.array(np.diff(words.first), pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64))),
                     ],
-                    names=["id", "print", "n_words", "at", "gram"],
+                    names=["id", "print", "n_words", "gram"],
                 )
 
-    return docs.mapInArrow(scan, "id long, print binary, n_words long, at array<int>, gram array<long>")
+    return docs.mapInArrow(scan, "id long, print binary, n_words long, gram array<long>")
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies don't count as another place. Other columns are not read.
     """
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = stable(_positions(rows).filter(F.col("n_words") >= LEAST))
+    found = written(_positions(rows).filter(F.col("n_words") >= LEAST))
     once = stable(found.select("id", "print", "n_words").distinct())
     member = stable(grouped(once, "print", F.bitwise_not("id")).select("id", "n_words", F.bitwise_not("best").alias("first")))
     copies = member.filter("id != first")
@@ -92,13 +91,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     places = kept.select("id", F.explode("gram").alias("gram"))
     again = stable(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     chosen = looked_up(places, again, "gram", how="left_semi").groupBy("id").agg(F.collect_set("gram").alias("gram"))
-    runs = stable(_runs(rows.join(chosen, "id").select("id", "text", "gram")))
+    runs = written(_runs(rows.join(chosen, "id").select("id", "text", "gram")))
     # the same row again has the same places, so a run that occurs at two has two ids or two positions
     ends = runs.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"))
-    table = stable(ends.filter("low != high OR first != last").select("h", "h2", "n", "low", "high"))
+    table = written(ends.filter("low != high OR first != last").select("h", "h2", "n", "low", "high"))
     other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high"))
-    met = looked_up(runs, table, "h", "h2").select("id", "at", other.alias("other")).distinct()
-    islands = met.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("id", "other").orderBy("at")))
+    met = looked_up(runs, table, "h", "h2").select("id", "at", other.alias("other"))
+    islands = met.withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy("id", "other").orderBy("at")))
     merged = islands.groupBy("id", "other", "island").agg(F.min("at").alias("start"), (F.max("at") + LEAST).cast("int").alias("end"))
     spans = merged.select("id", "start", "end", "other").unionByName(whole)
     return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"))

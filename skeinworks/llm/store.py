@@ -31,6 +31,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as ``stable`` gives it, but in a compressed table: for results of about the size of the input."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def whole(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct, in which no name can clash with a column of ours."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
@@ -42,6 +49,4 @@ def numbered(docs: DataFrame) -> DataFrame:
     Numbers come from the written table, so they stay the same whatever runs again. Null and repeated keys of
     ``docs`` don't matter to it.
     """
-    folder = new_folder(docs.sparkSession, "rows")
-    docs.select(F.monotonically_increasing_id().alias("row"), whole(docs).alias("kept")).write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), whole(docs).alias("kept")))
