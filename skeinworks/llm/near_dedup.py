@@ -183,19 +183,20 @@ def components(links: DataFrame) -> DataFrame:
     Every round joins on ids alone, so a text with very many links is spread by skew splitting, and aggregates
     combine before they shuffle.
     """
+    digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     edges = stable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    while True:
+    before = digest(edges)
+    while before["n"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        after = stable(small)
-        same = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        before = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        edges = after
-        if same == before:
+        edges = stable(small)
+        after = digest(edges)
+        if after == before:
             break
+        before = after
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -286,10 +287,11 @@ def _links(sketched: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshol
     texts = rows.select(F.col("row").alias("id"), "text").join(needed, "id", "left_semi")
     pair = stable(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())  # a leader is never led by one that it leads
     links = stable(verified(pair, texts, idf, threshold))
-    roots = stable(components(links))
+    roots = components(links)
     more = stable(_unmet(led, roots, sketched.select(F.col("row").alias("id"), "size"), rows, idf, threshold))
     every = links.unionByName(more)
-    stars = components(every)
+    # classes so far are stars, which new links only have to connect
+    stars = roots if more.isEmpty() else components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     return every, stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct())
 
 

@@ -455,7 +455,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
     assert Counter((r.doc_id, blank(r.text)) for r in docs.collect()) == Counter((i, blank(t)) for i, t in kept)
-    pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("piece = 0")
+    pieces = corpus_pipeline.pack(spark, docs, str(tmp_path)).filter("piece = 0")
     assert Counter(r.doc_id for r in pieces.collect()) == Counter(i for i, _ in kept)
 
 
