@@ -35,14 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK) + 1
-        _powers[:] = []
-        for base in (_BASE, _BASE_INVERSE):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
-    return _powers
+    """Powers 0 to ``n`` of the base and of its inverse; kept by the worker for chunks, but not for longer texts."""
+    if _powers and n <= CHUNK:
+        return _powers
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        table = np.full(max(n, CHUNK) + 1, base, dtype=np.uint64)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    if n <= CHUNK:
+        _powers[:] = out
+    return out
 
 
 @dataclass
@@ -76,7 +79,7 @@ class Words:
         """The words of more than n bytes, and the hashes of their first n bytes."""
         longer = np.flatnonzero(self.end - self.start > n)
         start = self.start[longer]
-        return longer, mix((self.sums[start + n] - self.sums[start]) * _powers[1][start])
+        return longer, mix((self.sums[start + n] - self.sums[start]) * _power_tables(len(self.data))[1][start])
 
     def prints(self) -> list[bytes | None]:
         """128 bits of each text's sequence of words; None for no words."""
@@ -145,6 +148,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Wor
         stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
         yield row, stop, words_of(raw[at[row] : at[stop]], at[row : stop + 1] - at[row])
         row = stop
+    pa.default_memory_pool().release_unused()
 
 
 def sliding(least_or_most: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
