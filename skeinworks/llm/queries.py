@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinworks.llm.chat import formatted, read_back, turns_as_events
 from skeinworks.llm.decontaminate import contamination, is_contaminated
 from skeinworks.llm.exact_dedup import exact_duplicates
-
+from skeinworks.llm.fim import fill_in_middle, restored
 from skeinworks.llm.near_dedup import near_duplicates
 from skeinworks.llm.packing import packed
 from skeinworks.llm.repeats import repeated_passages
@@ -68,6 +68,13 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(formatted(turns_as_events(turns)))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle(table(spark, folder, "documents"), seed=7, rate=100, spm=50)
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_decontaminate": op2_decontaminate,
@@ -79,9 +86,20 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+        l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS draw FROM d),
+        c AS (SELECT *, len(lines) AS n, least(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS a, greatest(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= 100 THEN 'plain' WHEN draw[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+        p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""".replace("\\\\", "\\"),
     "op10_chat": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

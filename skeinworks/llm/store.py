@@ -31,10 +31,10 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` as ``stable`` gives it, but in a compressed table: for results of about the size of the input."""
     folder = new_folder(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.options(compression="zstd", **options).parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
