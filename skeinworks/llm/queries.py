@@ -15,6 +15,7 @@ from skeinworks.llm.repeats import repeated_passages
 from skeinworks.llm.sharding import sharded
 from skeinworks.llm.toxicity import toxicity
 from skeinworks.llm.tokens import token_counts, tokenizer_path
+from skeinworks.llm.vectors import compressed
 from skeinworks.llm.warc import archived
 
 
@@ -75,6 +76,21 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compressed(table(spark, folder, "embeddings"))
+
+
+def _codebook_sql(rounds: int) -> str:
+    """Six rounds of a codebook, one after the other."""
+    distance = "list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(d * 16 + entry) % 16 AS entry, min(d) AS d FROM (SELECT p.vec_id, p.part, p.x, b.entry, {distance} AS d FROM p JOIN b{r} b USING (part)) GROUP BY ALL)")
+        steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+            SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))""")
+    return ", ".join(steps[:-1])
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_decontaminate": op2_decontaminate,
@@ -87,9 +103,18 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
+    "op13_vector_codes": f"""
+        WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, k AS part, e[8 * k + 1:8 * k + 8] AS x FROM v, range(8) t(k)),
+        b0 AS (SELECT part, n - 1 AS entry, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS n FROM p) WHERE n <= 16),
+        {_codebook_sql(6)},
+        c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h""",
     "op11_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
         l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS draw FROM d),

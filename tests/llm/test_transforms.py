@@ -1,13 +1,17 @@
 """Operators 11 to 13 against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.llm.fim import SENTINELS, automaton, fill_in_middle, restored
+from skeinworks.llm.vectors import compressed, nearest
 
 EXTRA = "doc_id long, text string, n string, row string, chunk string, h1 string, output string"
 BITS = ["a", "é", "\n", "<", "P", "<P", ">", "<S>", "M", " line\n", "\n\n", "漢字", "<M"]
@@ -54,3 +58,57 @@ def test_sentinels_that_overlap_are_no_sentinels():
     for marks in (("", "b", "c"), ("ab", "bc", "x"), ("aba", "x", "y"), ("ab", "abc", "x")):
         with pytest.raises(ValueError):
             automaton(marks)
+
+
+def vector_codes(rows, entries=16, rounds=6):
+    """All codes by the definition, in integers without bounds."""
+    usable = [r for r in rows if r[1] is not None and len(r[1]) and len(r[1]) % 8 == 0 and all(x is not None and math.isfinite(x) for x in r[1])]
+    usable.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    usable = [r for r in usable if len(r[1]) == len(usable[0][1])]
+    width = len(usable[0][1]) // 8 if usable else 0
+    whole = [[math.floor(4096 * int(x)) if abs(x) > 2**60 else math.floor(4096 * x) for x in r[1]] for r in usable]
+    parts = [[v[p * width : (p + 1) * width] for p in range(8)] for v in whole]
+    books = [[parts[i][p] for i in range(min(entries, len(parts)))] for p in range(8)]
+    best = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(8):
+            members = defaultdict(list)
+            for v in parts:
+                members[best(v[p], books[p])[1]].append(v[p])
+            for k, own in members.items():
+                books[p][k] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    digest = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    out, by = [], defaultdict(int)
+    for r, v in zip(usable, parts, strict=True):
+        found = [best(v[p], books[p]) for p in range(8)]
+        out.append((r[0], bytes(k for _, k in found).hex(), sum(d for d, _ in found), r[2]))
+        by[r[2]] += out[-1][2]
+    bound = lambda x: x if x < 2**63 else None
+    return [(i, code, bound(e), bound(by[label]), digest) for i, code, e, label in out]
+
+
+def test_vector_codes_by_brute_force(spark):
+    rng = random.Random(13)
+    vector = lambda n=16, size=1.0: [rng.choice([-1.0, -0.25, 0.0, 0.25, rng.random() * size]) for _ in range(n)]
+    rows = [(i, vector(), rng.choice([1, 2, None])) for i in range(3, 120)] + [(None, vector(), 1), (None, vector(), None), (7, vector(), 2), (-(2**63), vector(), 2), (2**63 - 1, vector(), None)]
+    rows += [(8, rows[5][1], 1), (8, rows[5][1], 1)]  # repeated rows
+    bad = [(0, None, 1), (1, [], 1), (2, [0.5] * 15 + [None], 2), (1, [math.nan] * 16, 2), (1, [math.inf] + [0.0] * 15, 2), (500, vector(24), 1), (501, vector(15), 1)]
+    schema = "vec_id long, embedding array<double>, label int, code string, error string, salt string"
+    for kept in (rows, rows[:5], rows + [(600 + i, vector(16, 1e30), 2) for i in range(9)], rows + [(2, vector(24), 1)]):
+        every = kept + bad
+        rng.shuffle(every)
+        table = spark.createDataFrame([(*r, "c", "e", "s") for r in every], schema).repartition(3)
+        got = [tuple(r) for r in compressed(table).collect()]
+        assert order(got) == order(vector_codes(every))
+    assert compressed(table.limit(0)).collect() == [] and compressed(spark.createDataFrame([(*r, "", "", "") for r in bad[:5]], schema)).collect() == []
+
+
+@pytest.mark.parametrize("kind", [np.int64, object])
+def test_the_annulus_holds_the_nearest_entry(kind):
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        span = int(rng.choice([2, 20, 4000, 1 << 23]))
+        x, entries = rng.integers(-span, span + 1, (80, 4)).astype(kind), rng.integers(-span, span + 1, (rng.integers(1, 17), 4)).astype(kind)
+        every = ((x[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
+        index, best = nearest(x, entries)
+        assert (best == every.min(axis=1)).all() and (index == np.array([list(r).index(min(r)) for r in every])).all()
