@@ -11,6 +11,7 @@ from skeinworks.llm.exact_dedup import exact_duplicates
 from skeinworks.llm.fim import fill_in_middle, restored
 from skeinworks.llm.near_dedup import near_duplicates
 from skeinworks.llm.packing import packed
+from skeinworks.llm.pii import personal_data
 from skeinworks.llm.repeats import repeated_passages
 from skeinworks.llm.sharding import sharded
 from skeinworks.llm.toxicity import toxicity
@@ -76,6 +77,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return compressed(table(spark, folder, "embeddings"))
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 

@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinworks.llm import pii
 from skeinworks.llm.fim import SENTINELS, automaton, fill_in_middle, restored
 from skeinworks.llm.vectors import compressed, nearest
 
@@ -112,3 +114,105 @@ def test_the_annulus_holds_the_nearest_entry(kind):
         every = ((x[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
         index, best = nearest(x, entries)
         assert (best == every.min(axis=1)).all() and (index == np.array([list(r).index(min(r)) for r in every])).all()
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def check_digit(digits):
+    twice = [int(d) * 2 if i % 2 else int(d) for i, d in enumerate(digits[::-1])]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+
+
+def patterns(text):
+    """(start, place of the kind, end) of all that the patterns find."""
+    out = []
+    for place, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and check_digit(digits), "phone": 9 <= len(digits) <= 15}
+            if fits[kind]:
+                out.append((m.start(), place, m.end()))
+    return sorted(out)
+
+
+def shown(spans):
+    return ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_the_patterns_by_brute_force(spark):
+    rng = random.Random(12)
+    pieces = ["a.b-c", "@", "x@y.zz", "@mail.example.com", "1.2.3.4", "255.256.1.1", ".", "-", " ", "  ", "+", "+1 (269) 555-3296", "4524132264652876", "4111-1111 1111 1111", "0", "12", "٣", "é", "\n", "(", ")", "00255", "%", "😀", "9" * 13, "+44.20.7946-0958"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    for text in texts:
+        assert sorted((a, k, b) for k, a, b, fits in pii.matches(text) if fits) == patterns(text)
+    docs = [(i, t) for i, t in enumerate(texts[:600])] + [(None, "x@y.zz"), (3, None), (3, ""), (3, "1.2.3.4"), (3, "1.2.3.4"), (-(2**63), "no data"), (9, "x" * 3000 + " a@b.co " + "1 2." * 5000 + "(" * 6000 + "+1 " + "a" * 3000 + "@")]
+    rows = spark.createDataFrame([(i, t, "n", "row", "c", "h", "o") for i, t in docs], EXTRA)
+    got = pii.personal_data(rows.repartition(3)).collect()
+    count = lambda t: [sum(k == kind for _, k, _ in patterns(t)) for kind in range(4)]
+    assert order([(r["doc_id"], r["base"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in got]) == order([(i, shown(patterns(t)), *count(t)) for i, t in docs])
+    for r in got:
+        base, every = set(r["base"].split(",")) - {""}, set(r["spans"].split(",")) - {""}
+        assert base <= every and len(every) == len(base) + r["n_added"]
+    assert pii.personal_data(rows.limit(0)).collect() == []
+
+
+def test_the_field_finds_what_the_patterns_miss(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 8)))
+    say = lambda *x: " ".join([word() for _ in range(9)] + list(x) + [word() for _ in range(9)])
+
+    def card():
+        head = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        return next(head + str(d) for d in range(10) if check_digit(head + str(d)))
+
+    phone = lambda: f"+1 ({rng.randrange(200, 900)}) 555-{rng.randrange(10**4):04}"
+    ip = lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4))
+    mail = lambda: f"{word()}.{rng.randrange(99)}@mail.example.com"
+    plain = [say(rng.choice(["on 2024-05-17", "version 3.1.4", "from 1990-2005", "at 10:20:30", 'token = "9f3a77c1"', "for 1 250 000", "in 12 15 19 22", "pages 10-20"])) for _ in range(150)]
+    docs = [say(f()) for f in (card, phone, ip, mail) for _ in range(60)] + plain
+    hard = [(say(p + " " + c), [("phone", p), ("card", c)]) for p, c in ((phone(), card()) for _ in range(30))] + [(say(c + " " + d), [("card", c), ("card", d)]) for c, d in ((card(), card()) for _ in range(30))]
+    hard += [(say(p + " " + a), [("phone", p), ("ip", a)]) for p, a in ((phone(), ip()) for _ in range(20))] + [(say(p[3:]), [("phone", p[3:])]) for p in (phone() for _ in range(20))]
+    texts = docs + [t for t, _ in hard]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [[(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in got[i]["spans"].split(",") if x)] for i, text in enumerate(texts)]
+    assert sum(f == want for f, (_, want) in zip(found[len(docs) :], hard, strict=True)) >= 0.95 * len(hard)
+    assert all(not f for f in found[len(docs) - len(plain) : len(docs)]) and all(got[i]["n_added"] == 0 for i in range(len(docs)))
+
+
+def ways(arcs, step):
+    """(spans, score) of each way through a lattice."""
+
+    def go(i, was, score, spans):
+        if i == len(arcs):
+            yield tuple(spans), score
+        for j, kind, s in arcs[i] if i < len(arcs) else ():
+            yield from go(j, kind, score + step[was][kind] + s, spans + [(i, j, kind)] * (kind != pii.NONE))
+
+    return list(go(0, pii.NONE, 0.0, []))
+
+
+def test_the_field_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(40):
+        n = rng.randrange(1, 6)
+        step = [[rng.uniform(-1, 1) for _ in range(pii.NONE + 1)] for _ in range(pii.NONE + 1)]
+        arcs = [[(i + 1, pii.NONE, 0.0)] for i in range(n)]
+        for i, j, kind in {tuple(x) for x in [(rng.randrange(n), rng.randrange(1, n + 1), rng.randrange(4)) for _ in range(8)] if x[0] < x[1]}:
+            arcs[i].append((j, kind, rng.uniform(-2, 2)))
+        every = ways(arcs, step)
+        most = max(s for _, s in every)
+        assert math.isclose(dict(every)[tuple(pii.best_path(arcs, step))], most)
+        total, spans, changes = pii.expected(arcs, step)
+        weight = sum(math.exp(s) for _, s in every)
+        assert math.isclose(math.exp(total), weight)
+        chance = defaultdict(float)
+        for way, s in every:
+            for arc in way:
+                chance[arc] += math.exp(s) / weight
+        assert all(math.isclose(chance[a], spans.get(a, 0.0), abs_tol=1e-9) for a in chance | spans)
+        for was, kind in itertools.product(range(pii.NONE + 1), repeat=2):  # the slope of the total, by differences
+            near = [[x + 1e-5 * ((was, kind) == (a, b)) for b, x in enumerate(row)] for a, row in enumerate(step)]
+            assert math.isclose((pii.expected(arcs, near)[0] - total) / 1e-5, changes.get((was, kind), 0.0), abs_tol=1e-3)
