@@ -203,7 +203,8 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     order = F.xxhash64("_id")
     seen = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_toxic").cast("int")).alias("toxic")).first()
     sample = known.filter("_toxic").orderBy(order, "_id").limit(train_rows).unionByName(known.filter("NOT _toxic").orderBy(order, "_id").limit(train_rows))
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.any_value("_toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))  # sample: 2 * train_rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.any_value("_toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))  # sample: 2 * train_rows at most
     return fit(rows.select("toxic", "text"), (seen["toxic"] or 0) / max(seen["n"], 1))
 
 

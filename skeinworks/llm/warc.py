@@ -126,7 +126,7 @@ def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.sha1(F.col("html").cast("binary")))
     keys = stable(rows.select("page_id", "key", F.octet_length("html").alias("size")))
-    first = grouped(keys.filter(F.col("size") >= least), "key", F.struct((-F.col("page_id")).alias("id"))).select("page_id", "key", (-F.col("best.id")).alias("first"))
+    first = grouped(keys.filter(F.col("size") >= least), "key", F.struct(F.bitwise_not("page_id").alias("id"))).select("page_id", "key", F.bitwise_not("best.id").alias("first"))
     small = keys.filter(F.col("size") < least).select("page_id", "key", F.col("page_id").alias("first"))
     place = {"_id": F.coalesce("page_id", F.lit(0)), "_null": F.isnull("page_id")}  # plain keys: the join and the window then share one shuffle of the records
     firsts = first.unionByName(small).distinct().withColumns(place).drop("page_id")

@@ -327,6 +327,9 @@ def test_warc_round_trip(spark):
     assert {kinds[5, "u"], kinds[5, "v"]} == {("response", None), ("revisit", 5)}
     assert Counter((r.page_id, r.payload) for r in got if r.record_type == "response") <= Counter((p[0], (p[2] or "").encode()) for p in pages)
     assert archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    ends = [(-(2**63), "<p>a</p>"), (2**63 - 1, "<p>a</p>"), (None, "<p>b</p>"), (2**63 - 1, "<p>b</p>")]
+    got = archived(spark.createDataFrame([(i, "u", h, "z") for i, h in ends], "page_id long, url string, html string, best string")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(-(2**63), "response", None), (2**63 - 1, "revisit", -(2**63)), (2**63 - 1, "response", None), (None, "revisit", 2**63 - 1)])
 
 
 def test_chat_folds_events(spark):
@@ -410,6 +413,8 @@ def test_toxicity_on_held_out_labels(spark, docs, none):
     no_labels = labels.limit(0)
     assert all(r.severity == 0 and not r.toxic for r in toxicity(docs, no_labels).collect())
     assert toxicity(none, labels).count() == 0
+    clashing = table.limit(200).selectExpr("*", "1 AS _id", "2 AS _toxic", "3 AS toxic", "4 AS weight", "5 AS kept", "6 AS severity")
+    assert drop_toxic(clashing, labels).columns == clashing.columns and drop_toxic(clashing, labels.selectExpr("*", "1 AS _id", "2 AS n", "3 AS text")).count() <= 200
 
 
 def test_pipeline_stage_by_stage(spark, sf):
