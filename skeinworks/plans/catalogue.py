@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import seeds, text
-from skeinworks.operators import cache, diagnose, graph, query, reasoning, stats
+from skeinworks.operators import cache, diagnose, graph, programs, query, reach, reasoning, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,6 +276,97 @@ def facts(spark, folder):
     return found.select(F.col("ordinal").alias("user_id"), "visits", *(f"{c}_count" for c in counted))
 
 
+# Customers reach their orders, these their parts, and parts two others of their five, in cycles.
+_LINKS = """SELECT 'c' || o_custkey AS parent, o_orderkey::BIGINT AS ordinal, 'o' || o_orderkey AS child, o_orderstatus = 'O' AS deeper FROM orders
+    UNION ALL SELECT 'o' || l_orderkey, l_linenumber::BIGINT, 'p' || l_partkey, l_returnflag = 'R' FROM lineitem
+    UNION ALL SELECT 'p' || p_partkey, k, 'p' || (p_partkey - p_partkey % 5 + (p_partkey + k) % 5), k = 1 AND p_size > 40 FROM part, (VALUES (1::BIGINT), (2::BIGINT)) AS v(k)"""
+
+
+@_query(f"""WITH RECURSIVE e AS (SELECT parent, ordinal, child, bool_or(deeper) AS deeper FROM ({_LINKS}) GROUP BY ALL),
+    w(root, node, depth, path) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0, []::STRUCT(o BIGINT, n VARCHAR)[] FROM customer
+      UNION ALL SELECT root, child, depth + deeper::INT, list_append(path, {{'o': ordinal, 'n': child}}) FROM w JOIN e ON e.parent = w.node WHERE child <> root AND NOT list_contains(list_transform(path, lambda x: x.n), child)),
+    r AS (SELECT root, node, arg_min(depth, path) AS depth, min(path) AS path FROM w WHERE node <> root GROUP BY ALL)
+    SELECT root, count(*) AS n_nodes, count_if(node LIKE 'p%') AS n_parts, count_if(depth > 0) AS n_deeper, sum(depth)::BIGINT AS depths, max(depth) AS deepest, arg_max(node, path) AS last FROM r GROUP BY root""")
+def graph_reach(spark, folder):
+    """A2, A3: what each customer reaches, once each, at the depth of the first visit."""
+    for name in ("orders", "lineitem", "part", "customer"):
+        table(spark, folder, name).createOrReplaceTempView(f"reach_{name}")
+    sql = _LINKS.replace("::BIGINT", "").replace("FROM orders", "FROM reach_orders").replace("FROM lineitem", "FROM reach_lineitem").replace("FROM part,", "FROM reach_part,")
+    edges = spark.sql(sql).withColumn("source", F.lit("tables"))
+    roots = table(spark, folder, "customer").select(F.lit("tables").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("root"))
+    by = reach.reached(edges, roots).groupBy("root")
+    return by.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("node").startswith("p")).alias("n_parts"), F.count_if(F.col("depth") > 0).alias("n_deeper"), F.sum("depth").alias("depths"), F.max("depth").alias("deepest"), F.max_by("node", "path").alias("last"))
+
+
+_LINE_KINDS = ["loop", "loop", "conditional", "match", "assignment", "assignment", "return", "call", "allocation", "drop", "reference", "api_usage", "variable", "assignment", "conditional"]
+_PART_KINDS = ["literal", "binary", "binary", "identifier", "binary"]
+_ROLES = ["condition", "iterable", "condition", "subject", "value", "value", "value", "callee", "initializer", "target", "target", "call", "initializer", "value", "condition"]
+
+
+def _at(values: list, i: str) -> str:
+    return f"CASE {i} " + " ".join(f"WHEN {k} THEN {_text(v)}" for k, v in enumerate(values)) + " END"
+
+
+def _text(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else f"'{v}'"
+
+
+#: An order as a function: its lines are statements, some inside the one before, and parts are their expressions, some of which lead back to the first line.
+PROGRAM = {
+    "lines": "SELECT l_orderkey AS o, l_linenumber AS i, min(l_partkey) AS part, (min(l_partkey) + l_linenumber) % 15 AS k, min(l_returnflag) AS flag, min(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "firsts": "SELECT o, min(i) AS i FROM lines GROUP BY o",
+    "exprs": f"SELECT DISTINCT o, part, p_size % 5 AS x, p_size % 4 AS v, {_at(_PART_KINDS, 'p_size % 5')} AS kind, {_at([None, 'divide', 'greater_than', None, 'less_than'], 'p_size % 5')} AS op FROM lines JOIN part ON p_partkey = part",
+    "nodes": f"""SELECT o AS source, 'f' AS node, 'function' AS kind, CAST(NULL AS STRING) AS op, concat('f', o % 2) AS name, CAST(NULL AS INT) AS value, false AS foreach, 0 AS branches FROM firsts
+      UNION ALL SELECT l.o, concat('l', l.i), {_at(_LINE_KINDS, 'l.k')}, {_at([None] * 4 + ['add', None, None, None] + [None] * 5 + ['multiply', None], 'l.k')}, NULL, NULL, l.k = 1, CASE l.k WHEN 2 THEN 1 WHEN 14 THEN 2 WHEN 3 THEN 3 ELSE 0 END FROM lines l
+      UNION ALL SELECT o, concat('p', part), kind, op, concat('f', v), v, false, 0 FROM exprs""",
+    "edges": f"""SELECT o AS source, 'f' AS parent, 'body' AS role, i AS ordinal, concat('l', i) AS child FROM lines
+      UNION ALL SELECT o, concat('l', i), {_at(_ROLES, 'k')}, 0, concat('p', part) FROM lines
+      UNION ALL SELECT a.o, concat('l', a.i), CASE a.k WHEN 2 THEN 'then' WHEN 14 THEN 'then' WHEN 3 THEN CASE a.st WHEN 'F' THEN 'guard' ELSE 'arm' END ELSE 'body' END, 1, concat('l', b.i) FROM lines a JOIN lines b ON a.o = b.o AND b.i = a.i + 1 WHERE a.k < 4 OR a.k = 14
+      UNION ALL SELECT e.o, concat('p', e.part), 'left', 0, concat('l', f.i) FROM exprs e JOIN firsts f ON e.o = f.o WHERE e.kind = 'binary'""",
+    "types": """SELECT o AS source, 'f' AS node, 'parameter' AS role, CASE WHEN o % 3 = 0 THEN 'numeric' ELSE 'text' END AS category FROM firsts
+      UNION ALL SELECT o, 'f', 'return', CASE WHEN o % 4 = 0 THEN 'boolean' WHEN o % 4 = 1 THEN 'numeric' ELSE 'unit' END FROM firsts
+      UNION ALL SELECT o, concat('l', i), 'local', CASE flag WHEN 'R' THEN 'numeric' ELSE 'text' END FROM lines WHERE k = 12""",
+}
+_CLOSED_SQL = "kind NOT IN (" + ", ".join(map(_text, programs.CLOSED)) + ")"
+_COUNTED_SQL = {
+    "variable": "kind = 'variable'", "assignment": "kind = 'assignment'", "mutation": "kind = 'assignment' AND op IS NOT NULL", "addition_mutation": "kind = 'assignment' AND op = 'add'", "increment_mutation": "kind = 'assignment' AND op = 'add' AND one",
+    "multiplication_mutation": "kind = 'assignment' AND op = 'multiply'", "loop": "kind = 'loop'", "nested_loop": "kind = 'loop' AND depth > 0", "collection_iteration": "kind = 'loop' AND foreach", "conditional": "kind IN ('conditional', 'match')",
+    "return": "kind = 'return'", "loop_return": "kind = 'return' AND depth > 0", "return_division": "kind = 'return' AND divides", "call": "kind = 'call'", "recursion": "kind = 'call' AND callee = 'f' || (source % 2)",
+    "comparison": "kind = 'binary' AND op IN ('greater_than', 'less_than')", "division": "kind = 'binary' AND op = 'divide'", "maximum_update": "kind = 'conditional' AND greater AND sets", "minimum_update": "kind = 'conditional' AND less AND sets",
+    "allocation": "kind = 'allocation'", "ownership_transfer": "kind = 'drop'", "reference": "kind = 'reference'", "api_usage": "kind = 'api_usage'",
+}
+
+
+@_query(f"""WITH RECURSIVE {", ".join(f"{k} AS ({v})" for k, v in PROGRAM.items())},
+    said AS (SELECT e.source, e.parent AS node, bool_or(e.role = 'value' AND n.kind = 'literal' AND n.value = 1) AS one, bool_or(e.role = 'value' AND n.kind = 'binary' AND n.op = 'divide') AS divides,
+        bool_or(e.role = 'condition' AND n.kind = 'binary' AND n.op = 'greater_than') AS greater, bool_or(e.role = 'condition' AND n.kind = 'binary' AND n.op = 'less_than') AS less,
+        bool_or(e.role = 'then' AND n.kind = 'assignment' AND n.op IS NULL) AS sets, max(CASE WHEN e.role = 'callee' AND n.kind = 'identifier' THEN n.name END) AS callee
+      FROM edges e JOIN nodes n ON n.source = e.source AND n.node = e.child GROUP BY ALL),
+    ways AS (SELECT e.source, e.parent, e.ordinal, e.child, p.kind = 'loop' AND e.role = 'body' AS deeper FROM edges e JOIN nodes p ON p.source = e.source AND p.node = e.parent WHERE e.role <> 'guard' AND ({_CLOSED_SQL} OR p.kind = 'function')),
+    w(source, node, depth, path) AS (SELECT o, 'f', 0, []::STRUCT(o BIGINT, n VARCHAR)[] FROM firsts
+      UNION ALL SELECT w.source, child, depth + deeper::INT, list_append(path, {{'o': ordinal, 'n': child}}) FROM w JOIN ways e ON e.source = w.source AND e.parent = w.node WHERE NOT list_contains(list_transform(path, lambda x: x.n), child)),
+    r AS (SELECT source, node, arg_min(depth, path) AS depth FROM w GROUP BY ALL),
+    v AS (SELECT r.source, r.depth, n.kind, n.op, n.foreach, n.branches, coalesce(s.one, false) AS one, coalesce(s.divides, false) AS divides, coalesce(s.greater, false) AS greater, coalesce(s.less, false) AS less, coalesce(s.sets, false) AS sets, s.callee
+      FROM r JOIN nodes n ON n.source = r.source AND n.node = r.node LEFT JOIN said s ON s.source = r.source AND s.node = r.node),
+    c AS (SELECT source, {", ".join(f'count_if({t}) AS "{k}_count"' for k, t in _COUNTED_SQL.items())}, coalesce(sum(branches) FILTER (kind IN ('conditional', 'match')), 0)::BIGINT AS conditional_branch_count FROM v GROUP BY source),
+    t AS (SELECT t.source, string_agg(DISTINCT t.role || ':' || t.category, ',' ORDER BY t.role || ':' || t.category) AS types FROM types t JOIN r ON r.source = t.source AND r.node = t.node GROUP BY t.source)
+    SELECT source AS o_orderkey, 'f' || (source % 2) AS function_name, c.* EXCLUDE (source), (loop_count > 0 AND addition_mutation_count > 0)::BIGINT AS accumulation_count, (source % 3 = 0)::BIGINT AS numeric_parameter_count,
+      (source % 4 = 1)::BIGINT AS numeric_return_count, (source % 4 = 0)::BIGINT AS boolean_return_count, types FROM c JOIN t USING (source)""")
+def program_facts(spark, folder):
+    """A1-A4: programs as node and edge tables, with shared nodes, cycles and guards, to all counters of their functions."""
+    table(spark, folder, "lineitem").createOrReplaceTempView("program_lineitem")
+    table(spark, folder, "part").createOrReplaceTempView("program_part")
+    views = {"lineitem": "program_lineitem", "part": "program_part"} | {k: f"program_{k}" for k in PROGRAM}
+    for name, sql in PROGRAM.items():
+        for word in ("lineitem", "lines", "firsts", "exprs", "part"):
+            sql = sql.replace(f"FROM {word}", f"FROM {views[word]}").replace(f"JOIN {word} ", f"JOIN {views[word]} ")
+        spark.sql(sql).createOrReplaceTempView(f"program_{name}")
+    found = reasoning.facts(programs.visits(*(spark.table(f"program_{k}") for k in ("nodes", "edges", "types"))))
+    counters = [*(f"{k}_count" for k in _COUNTED_SQL), "conditional_branch_count", "accumulation_count", "numeric_parameter_count", "numeric_return_count", "boolean_return_count"]
+    types = F.array_join(F.transform("types", lambda t: F.concat(t.role, F.lit(":"), t.category)), ",")
+    return found.select(F.col("source").alias("o_orderkey"), "function_name", *counters, types.alias("types"))
+
+
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, '{m}' AS metric, {m} AS value FROM lineitem WHERE {m} IS NOT NULL" for m in _METRICS) + ")"
 
