@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
+
+from skeinworks.sources import log
 
 VERSIONS = {"ir_version": 1, "adapter_version": 1, "rules_version": 1}
 # --- fixed values: offset and prime of the 64-bit hash ---
@@ -68,9 +72,14 @@ def delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"prefix": [x for x, _ in found], "suffix": [y for _, y in found], "replacement": [b[x : len(b) - y] for (x, y), b in zip(found, new, strict=True)]})
 
 
+def applied_sql(old: str, change: str) -> str:
+    """The SQL of a new value from the old one and its ``delta``; null where the old one is too short for it."""
+    return f"CASE WHEN {change}.prefix + {change}.suffix <= octet_length({old}) THEN concat(substring({old}, 1, {change}.prefix), {change}.replacement, substring({old}, octet_length({old}) - {change}.suffix + 1)) END"
+
+
 def applied(old: str, change: str) -> Column:
-    """The new value from the old one and its ``delta``; null where the old one is too short for it."""
-    return F.expr(f"CASE WHEN {change}.prefix + {change}.suffix <= octet_length({old}) THEN concat(substring({old}, 1, {change}.prefix), {change}.replacement, substring({old}, octet_length({old}) - {change}.suffix + 1)) END")
+    """``applied_sql`` as a column."""
+    return F.expr(applied_sql(old, change))
 
 
 def stable_id(source: str = "source", ordinal: str = "ordinal", function: str = "function_name"):
@@ -97,57 +106,72 @@ def write_status(new: DataFrame, cached: DataFrame, key: str, content: str) -> D
 
 
 def store(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Adds ``rows`` to the cache at ``path`` as a new version folder, of which the last by key counts; returns their status.
+    """Adds ``rows`` (a key once) to the cache at ``path``, whose last row of a key counts; returns their status.
 
-    A folder is written whole or not at all. Of two writers that take the same number the later one fails, and may try again.
+    They are published as one change or not at all, and another writer's change before it is kept. A cache of more than
+    ``MOST_FOLDERS`` changes is compacted.
     """
     before, _ = load_recovering(spark, path, key)
-    version = 0 if before is None else _files(spark, path).agg(F.max(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int"))).first()[0] + 1
-    rows.withColumn("_version", F.lit(version)).write.mode("errorifexists").parquet(f"{path}/v={version:06d}")
+    name = log.write(rows, path)
+    written = log.change(spark, path, lambda last: (*last.folders, name))
+    if len(written.folders) > log.MOST_FOLDERS:
+        compact(spark, path, key)
     return rows.withColumn("status", F.lit("created")) if before is None else write_status(rows, before, key, "semantic_hash")
 
 
-def _stored(spark: SparkSession, path: str, **options) -> DataFrame | None:
-    try:
-        return spark.read.options(recursiveFileLookup=True, **options).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def compact(spark: SparkSession, path: str, key: str) -> None:
+    """The last row of each key in one folder. Files that can't be read are left behind."""
+    log.merge(spark, path, lambda found: _latest(log.read(spark, path, found, ignore_corrupt=True), key))
 
 
 def _latest(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_version")))).filter("_last = 1").drop("_last")
+    """The row of each key from the last folder."""
+    kept = [c for c in rows.columns if c != "_place"]
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*kept), "_place").alias("_row"))
+    return best.select("_row.*")
 
 
-def load(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """The last row of each key; None where there is no cache yet."""
-    rows = _stored(spark, path)
-    return None if rows is None else _latest(rows, key)
+def load(spark: SparkSession, path: str, key: str, version: int | None = None) -> DataFrame | None:
+    """The last row of each key, as of a version if one is given; None where there is no cache yet."""
+    found = log.manifest(spark, path, version)
+    rows = log.read(spark, path, found)
+    return rows if rows is None else rows.drop("_place") if len(found.folders) == 1 else _latest(rows, key)
 
 
 def load_recovering(spark: SparkSession, path: str, key: str) -> tuple[DataFrame | None, DataFrame | None]:
     """What can be read, and (source, reason) of the files that can't; None where there is no cache yet."""
-    rows = _stored(spark, path, ignoreCorruptFiles=True)
-    if rows is None:
+    found = log.manifest(spark, path)
+    if not found.folders:
         return None, None
-    lost = _files(spark, path).filter(~_readable("content"))
-    return _latest(rows, key), lost.select(F.col("path").alias("source"), F.lit("unsupported cache file").alias("reason"))
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path)
+    try:
+        rows = log.read(spark, path, found, ignore_corrupt=True)
+    except AnalysisException as error:  # a folder without any file that can be read has no schema
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        readable = [f for f in found.folders if not _files(spark, path, [f]).filter("reason IS NULL").isEmpty()]
+        rows = log.read(spark, path, log.Manifest(found.version, tuple(readable)), ignore_corrupt=True)
+    lost = _files(spark, path, found.folders).filter("reason IS NOT NULL")
+    return None if rows is None else rows.drop("_place") if len(found.folders) == 1 else _latest(rows, key), lost
 
 
-@F.pandas_udf(BooleanType())
-def _readable(content: pd.Series) -> pd.Series:
-    def one(data: bytes) -> bool:
-        try:
-            return pq.read_metadata(pa.BufferReader(data)) is not None
-        except (pa.ArrowException, OSError):
-            return False
+def _files(spark: SparkSession, path: str, folders: Iterable[str]) -> DataFrame:
+    """(source, reason) of the files of ``folders``; the reason is null where Parquet's footer can be read. Nothing else of a file is."""
 
-    return content.map(one).astype(bool)
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = []
+            for path in batch.column(0).to_pylist():
+                files, own = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                try:
+                    with files.open_input_file(own) as stream:
+                        pq.read_metadata(stream)
+                    reasons.append(None)
+                except (pa.ArrowException, OSError):
+                    reasons.append("unsupported cache file")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], names=["source", "reason"])
+
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load([f"{path}/{f}" for f in folders])
+    return listed.select(F.col("path").alias("source")).mapInArrow(footers, "source string, reason string")
 
 
 def stats(cached: DataFrame, size: str, group: str) -> DataFrame:

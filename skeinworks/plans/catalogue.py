@@ -7,12 +7,15 @@ evidence, hypotheses, intents and pipelines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import seeds, text
-from skeinworks.operators import cache, diagnose, graph, programs, query, reach, reasoning, stats
+from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, stats
+from skeinworks.sources import log
+from skeinworks.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,6 +169,34 @@ for _name, _asked, _score in (
 ):
     QUERIES[_name], ORACLES[_name] = _searched(_asked), _search_sql(_score)
 
+
+@lru_cache
+def _index_path(spark: SparkSession, application: str, folder: str) -> str:
+    """The postings of all orders, made once for all searches of a session."""
+    path = new_folder(spark, "index")
+    found = reports(spark, folder)
+    kept = ["l_orderkey", "function_name", "primary_intent", "pipeline", "hypotheses", "evidence"]
+    found.select(*kept).write.parquet(f"{path}/reports")
+    index.add(spark, f"{path}/postings", spark.read.parquet(f"{path}/reports"), "l_orderkey")
+    return path
+
+
+def _indexed(asked):
+    def run(spark, folder):
+        path = _index_path(spark, spark.sparkContext.applicationId, folder)
+        opened = index.opened(spark, f"{path}/postings", spark.read.parquet(f"{path}/reports"), "l_orderkey", keys=("l_orderkey",))
+        fields = F.array_join(F.transform("matched_fields", lambda f: F.concat(f.order.cast("string"), F.lit(":"), f.value)), ",")
+        return index.search(opened, asked, "l_orderkey").select("l_orderkey", "function_name", "primary_intent", F.array_join("stages", ">").alias("stages"), F.col("score").cast("long").alias("score"), fields.alias("fields"))
+
+    return run
+
+
+for _name, _asked in (
+    ("term", index.term("maximum")), ("and", index.both(index.term("counter"), index.term("comparison"))), ("or", index.either(index.term("histogram"), index.term("sum"))),
+    ("not", index.without(index.term("accumulator"))), ("then", index.then("filter", "reduce")),
+):
+    QUERIES[f"semantic_index_{_name}"], ORACLES[f"semantic_index_{_name}"] = _indexed(_asked), ORACLES[f"semantic_query_{_name}"]
+
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'type_mismatch' WHEN 'O' THEN 'missing_division' ELSE 'move_after_use' END"
 
 
@@ -215,6 +246,41 @@ def cache_write_status(spark, folder):
     return cache.write_status(now, old, "o_orderkey", "c").select("o_orderkey", "status")
 
 
+_WRITES = ["o_orderstatus <> 'P'", "o_orderpriority LIKE '1%'", "o_orderstatus = 'P'", "o_orderkey % 3 = 0", "o_orderpriority LIKE '2%' OR o_orderkey % 7 = 0"]
+
+
+def _written(k: str) -> str:
+    return f"concat(o_orderstatus, '-{k}-', CASE WHEN o_totalprice > 100000 THEN o_orderpriority ELSE 'same' END)"
+
+
+@_query("SELECT o_orderkey, CASE " + " ".join(f"WHEN {test} THEN {_written(k)}" for k, test in reversed(list(enumerate(_WRITES)))) + " END AS content FROM orders")
+def cache_log(spark, folder):
+    """Orders written in turns, two writers at the same version, one that never publishes, merged in between; what counts in the end."""
+    path, orders = new_folder(spark, "cache"), table(spark, folder, "orders")
+    turn = [orders.filter(test).select("o_orderkey", F.expr(_written(str(k))).alias("content")) for k, test in enumerate(_WRITES)]
+    add = lambda name: log.change(spark, path, lambda last: (*last.folders, name))
+    add(log.write(turn[0], path))
+    base, first, second = log.manifest(spark, path), log.write(turn[1], path), log.write(turn[2], path)
+    assert log.published(spark, path, log.Manifest(base.version + 1, (*base.folders, first)))
+    assert not log.published(spark, path, log.Manifest(base.version + 1, (*base.folders, second)))
+    add(second)
+    log.write(turn[4], path)
+    cache.compact(spark, path, "o_orderkey")
+    for rows in turn[3:]:
+        add(log.write(rows, path))
+    return cache.load(spark, path, "o_orderkey").select("o_orderkey", "content")
+
+
+@_query(" UNION ALL ".join(f"SELECT {k + 1} AS version, o_orderkey, sha256(CASE {' '.join(f'WHEN {test} THEN {_written(str(j))}' for j, test in reversed(list(enumerate(_WRITES[: k + 1]))))} END) AS digest FROM orders WHERE {' OR '.join(f'({test})' for test in _WRITES[: k + 1])}" for k in range(len(_WRITES))))
+def cache_versions(spark, folder):
+    """The digests of all versions of orders, restored from first values and changes."""
+    path, orders = new_folder(spark, "history"), table(spark, folder, "orders")
+    for k, test in enumerate(_WRITES):
+        history.commit(spark, path, orders.filter(test).select(F.col("o_orderkey").cast("string").alias("key"), F.expr(_written(str(k))).cast("binary").alias("value")))
+    every = [history.restored(spark, path, v).select(F.lit(v).alias("version"), F.col("key").cast("long").alias("o_orderkey"), F.sha2("value", 256).alias("digest")) for v in range(1, len(_WRITES) + 1)]
+    return reduce(DataFrame.unionByName, every)
+
+
 @_query("SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes, (sum(strlen(props)) // count(*))::BIGINT AS average FROM events GROUP BY event_type")
 def cache_stats(spark, folder):
     return cache.stats(table(spark, folder, "events").withColumn("size", F.octet_length("props")), "size", "event_type")

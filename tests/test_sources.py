@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.operators import cache, diagnose, explain, graph, query, reasoning, repository
-from skeinworks.sources import scan
+from skeinworks.sources import log, scan
 from skeinworks.sources.lowering import lowered
 from skeinworks.streaming import incremental
 
@@ -186,8 +186,7 @@ def test_cache_store_and_recovery(spark, tmp_path):
     assert status(cache.store(spark, rows(("a", "1"), ("b", "1")), path, "stable_id")) == {"a": "created", "b": "created"}
     assert status(cache.store(spark, rows(("a", "1"), ("b", "2"), ("c", "1")), path, "stable_id")) == {"a": "unchanged", "b": "updated", "c": "created"}
     assert {r.stable_id: r.semantic_hash for r in cache.load(spark, path, "stable_id").collect()} == {"a": "1", "b": "2", "c": "1"}
-    (tmp_path / "c" / "v=000009").mkdir()
-    (tmp_path / "c" / "v=000009" / "part.parquet").write_bytes(b"PAR1 no parquet at all")
+    (tmp_path / "c" / log.manifest(spark, path).folders[-1] / "part.parquet").write_bytes(b"PAR1 no parquet at all")
     left, lost = cache.load_recovering(spark, path, "stable_id")
     assert {r.stable_id for r in left.collect()} == {"a", "b", "c"} and [r.source.rsplit("/", 1)[1] for r in lost.collect()] == ["part.parquet"]
 
