@@ -105,18 +105,24 @@ def write_status(new: DataFrame, cached: DataFrame, key: str, content: str) -> D
     return joined.withColumn("status", F.when(F.col("_known").isNull(), "created").when(F.col("_old").eqNullSafe(F.col(content)), "unchanged").otherwise("updated")).drop("_old", "_known")
 
 
-def store(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Adds ``rows`` (a key once) to the cache at ``path``, whose last row of a key counts; returns their status.
+def put(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
+    """Adds ``rows`` (a key once) to the cache at ``path``, whose last row of a key counts; returns what was stored, read back.
 
     They are published as one change or not at all, and another writer's change before it is kept. A cache of more than
     ``MOST_FOLDERS`` changes is compacted.
     """
-    before, _ = load_recovering(spark, path, key)
     name = log.write(rows, path)
     written = log.change(spark, path, lambda last: (*last.folders, name))
     if len(written.folders) > log.MOST_FOLDERS:
         compact(spark, path, key)
-    return rows.withColumn("status", F.lit("created")) if before is None else write_status(rows, before, key, "semantic_hash")
+    return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+
+def store(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
+    """``put`` with the status of each row: created, updated or unchanged."""
+    before, _ = load_recovering(spark, path, key)
+    stored = put(spark, rows, path, key)
+    return stored.withColumn("status", F.lit("created")) if before is None else write_status(stored, before, key, "semantic_hash")
 
 
 def compact(spark: SparkSession, path: str, key: str) -> None:

@@ -63,7 +63,9 @@ def _shown(reports: DataFrame, key: str, version: str | None, keys: tuple[str, .
 
 
 def add(spark: SparkSession, path: str, reports: DataFrame, key: str, version: str | None = None) -> None:
-    """Adds the postings of ``reports`` to those at ``path``, all or none of them."""
+    """Adds the postings of ``reports`` (best a stored table) to those at ``path``, all or none of them."""
+    if reports.isEmpty():
+        return
     name = log.write(_placed(postings(reports, key, version)), path, "bucket")
     done = log.change(spark, path, lambda last: (*last.folders, name))
     if len(done.folders) > log.MOST_FOLDERS:

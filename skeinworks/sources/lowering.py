@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VISITS = "source string, ordinal int, function_name string, kind string, op string, depth int, one boolean, foreach boolean, branches int, maximum boolean, minimum boolean, divides boolean, recursive boolean, role string, category string, error string"
 # --- fixed values: categories of types, operators of Python ---
@@ -221,24 +222,24 @@ def visits_of(functions: list[dict]) -> Iterator[dict]:
             stack += [(c, depth + 1) for c in reversed(x["body"])] + [(c, depth) for c in reversed(x["outer"])]
 
 
-def lowered(sources: DataFrame, language: str) -> DataFrame:
-    """Visits of ``sources`` (source, content). A source that its frontend rejects is one row of kind ``error``; no functions, one of kind ``empty``."""
+def lowered(sources: DataFrame, language: str | None = None) -> DataFrame:
+    """Visits of ``sources`` (source, content, language unless one is given). A source that its frontend rejects is one row of kind ``error``; no functions, one of kind ``empty``."""
     from skeinworks.sources.compiled import clang_functions, java_functions
 
-    frontend = {"python": python_functions, "transport": transport_functions, "java": java_functions, "c": clang_functions}[language]
+    frontends = {"python": python_functions, "transport": transport_functions, "java": java_functions, "c": clang_functions}
     names = [x.split()[0] for x in VISITS.split(", ")]
     types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in VISITS.split(", ")])
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for source, content, spoken in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    rows = list(visits_of(frontend(content or ""))) or [{"kind": "empty"}]
+                    rows = list(visits_of(frontends[spoken](content or ""))) or [{"kind": "empty"}]
                 except FrontendError as error:
                     rows = [{"kind": "error", "error": str(error)}]
                 except (RecursionError, MemoryError):
                     rows = [{"kind": "error", "error": "nested too deeply"}]
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"source": source} | r for r in rows], schema=schema)
 
-    return sources.select("source", "content").mapInArrow(lower, VISITS)
+    return sources.select("source", "content", F.col("language") if language is None else F.lit(language).alias("language")).mapInArrow(lower, VISITS)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skeinworks.operators import cache, diagnose, explain, graph, query, reasoning, repository
+from skeinworks.operators import cache, diagnose, explain, graph, index, query, reasoning, repository
 from skeinworks.sources import log, scan
 from skeinworks.sources.lowering import lowered
 from skeinworks.streaming import incremental
@@ -172,10 +172,15 @@ def test_repository_query(spark, root, tmp_path):
     again = repository.run(spark, str(root), asked, f"{tmp_path}/cache")
     assert again.counters.first().asDict() == {"sources": 5, "functions": 5, "reused_sources": 5, "reused_facts": 0, "analyzed": 0}
     assert [(r.source.rsplit("/", 1)[1], r.function_name, r.score) for r in again.matches.collect()] == found
+    warm = lambda: [(r.source.rsplit("/", 1)[1], r.function_name, r.score, r.matched_fields) for r in repository.find(spark, f"{tmp_path}/cache", index.either(index.term("accumulator"), index.term("maximum"))).collect()]
+    assert warm() == [(r.source.rsplit("/", 1)[1], r.function_name, r.score, r.matched_fields) for r in again.matches.collect()]
     (root / "a/one.py").write_text("# a comment\n" + CORPUS[0][1])
     (root / "a/two.PY").write_text(CORPUS[5][1])
     third = repository.run(spark, str(root), asked, f"{tmp_path}/cache")
     assert third.counters.first().asDict() == {"sources": 5, "functions": 5, "reused_sources": 3, "reused_facts": 1, "analyzed": 1}
+    assert warm() == [(r.source.rsplit("/", 1)[1], r.function_name, r.score, r.matched_fields) for r in third.matches.collect()]
+    with pytest.raises(ValueError):
+        repository.find(spark, f"{tmp_path}/none", index.term("sum"))
 
 
 def test_cache_store_and_recovery(spark, tmp_path):
