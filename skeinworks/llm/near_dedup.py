@@ -4,9 +4,9 @@ A text is the weighted set of its runs of five words. A run weighs its count in
 words. (By the runs' own document frequency, the very runs that copies share would count least, the more so the more
 copies there are.) Document frequencies are of all texts, in a table of fixed size. ICWS samples are banded; texts
 with a band in common first meet its most central text, which connects most of them. Where a band's texts stay in
-different classes, an exact join finds the pairs that may be similar: a pair of similarity t shares one of the rarest
-shingles that make up 1 - t of each text's weight. Pairs are verified by their weighted Jaccard similarity, and
-classes are the connected components of verified pairs.
+different classes, all pairs of the band are compared in blocks inside tasks, which return the links that connect
+classes. Pairs are verified by their weighted Jaccard similarity, and classes are the connected components of verified
+pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BLOCK, BLOCK_BYTES = 512, 1 << 23
 CELLS = 1 << 20
 #: A text of more than BLOCK pairs, and among the HOTTEST of these, is verified in so many tasks.
 SPREAD = 64
+#: Links of which all rounds of ``components`` are small jobs, and how many of them a task of these has.
+FEW, FEW_EACH = 400_000, 50_000
 _TABLE = 16
 
 
@@ -181,17 +183,19 @@ def components(links: DataFrame) -> DataFrame:
     """(id, root): the least id that each end of ``links`` (a, b) is connected to, by alternating large and small stars.
 
     Every round joins on ids alone, so a text with very many links is spread by skew splitting, and aggregates
-    combine before they shuffle.
+    combine before they shuffle. Up to FEW links are instead dealt by their first end once for each step of a round,
+    into as many tasks as they are worth: so many rounds would otherwise leave a file for each of all partitions.
     """
     digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     edges = stable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = digest(edges)
+    dealt = (lambda df: df.repartition(2 + before["n"] // FEW_EACH, "u")) if before["n"] <= FEW else (lambda df: df)
     while before["n"]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        small = dealt(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))).distinct()
         edges = stable(small)
         after = digest(edges)
         if after == before:
