@@ -16,6 +16,7 @@ from skeinworks.functions import seeds, text
 from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, stats
 from skeinworks.sources import log
 from skeinworks.sources.shared import new_folder
+from skeinworks.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,6 +282,24 @@ def cache_versions(spark, folder):
     return reduce(DataFrame.unionByName, every)
 
 
+_RENAMED = f"CASE WHEN l_orderkey % 3 = 0 THEN {_NAME.replace('l_orderkey % 8', '(l_orderkey + 3) % 8')} ELSE {_NAME} END"
+
+
+@_query(f"WITH {SCORED_SQL.replace(f'any_value({_NAME})', f'any_value({_RENAMED})')} SELECT f.k AS l_orderkey, name AS function_name, intent AS primary_intent, confidence FROM f LEFT JOIN top ON top.k = f.k")
+def incremental_reports(spark, folder):
+    """§2.14: orders' facts as a stream of three turns, of which the second changes a third of them and the last comes late; the cache that it leaves."""
+    path = new_folder(spark, "stream")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", incremental.STATE_STORE)
+    every = order_facts(spark, folder)
+    change = F.expr(_NAME.replace("l_orderkey % 8", "(l_orderkey + 3) % 8"))
+    for version, rows in ((1, every), (2, every.filter("l_orderkey % 3 = 0").withColumn("function_name", change)), (0, every.filter("l_orderkey % 5 = 0").withColumn("function_name", F.lit("late_sum")))):
+        told = cache.with_semantic_hash(rows, "l_orderkey").withColumn("version", F.lit(version).cast("long"))
+        told.write.mode("append").parquet(f"{path}/facts")
+        stream = spark.readStream.schema(told.schema).parquet(f"{path}/facts")
+        incremental.kept_reports(spark, stream, f"{path}/cache", f"{path}/checkpoint", "l_orderkey", counters=_NAMED).awaitTermination()
+    return cache.load(spark, f"{path}/cache", "l_orderkey").select("l_orderkey", "function_name", "primary_intent", "confidence")
+
+
 @_query("SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes, (sum(strlen(props)) // count(*))::BIGINT AS average FROM events GROUP BY event_type")
 def cache_stats(spark, folder):
     return cache.stats(table(spark, folder, "events").withColumn("size", F.octet_length("props")), "size", "event_type")

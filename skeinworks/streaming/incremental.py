@@ -1,20 +1,72 @@
-"""The same analysis on streams: rows carry all they need, so no state is kept."""
+"""The same analysis on streams: of each function only changed facts are scored, and late or repeated ones change nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
+from skeinworks.operators import cache
 from skeinworks.operators.reasoning import analyzed
 
+#: Keeps state on the executors' disks with its changes in the checkpoint, so that it may outgrow their memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def analyzed_stream(facts: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None) -> DataFrame:
     """A stream of facts as a stream of reports; stateless, so appends pass at once."""
     return analyzed(facts, name, counters)
 
 
+class _Newest(StatefulProcessor):
+    """Of each key the version and the hash that were last let through."""
+
+    def __init__(self, version: str, content: str):
+        self.version, self.content = version, content
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("newest", "version long, hash string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        best, at = None, None
+        for row in rows:
+            place = (-(2**63) if row[self.version] is None else row[self.version], row[self.content] or "")
+            if at is None or place > at:
+                best, at = row, place
+        known = tuple(self.state.get()) if self.state.exists() else None
+        if known is None or at > known:
+            self.state.update(at)
+            if known is None or at[1] != known[1]:
+                yield best
+
+    def close(self) -> None:
+        pass
+
+
+def changed(facts: DataFrame, key: str, version: str, content: str) -> DataFrame:
+    """The rows of a stream of ``facts`` that say something new of their ``key``.
+
+    A row passes if its (``version``: a long, ``content``: a hash) is beyond the last one that came, in this order, and
+    its hash is another; of a batch's rows of a key only the last one can. So late rows, repeated rows and replayed
+    batches pass nothing, and whatever comes in whatever order, the last row to pass is what a batch job would take as
+    the newest. A null version is before all others, a null hash counts as empty, null keys are one key. The state is
+    a version and a hash for each key. Needs the session's state store to be ``STATE_STORE``.
+    """
+    schema = StructType(facts.schema.fields)
+    return facts.groupBy(key).transformWithState(_Newest(version, content), schema, "Update", "None")
+
+
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs ``work`` on what has arrived; ``checkpoint`` is a folder that all executors share."""
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
+
+
+def kept_reports(spark: SparkSession, facts: DataFrame, path: str, checkpoint: str, key: str = "stable_id", version: str = "version", content: str = "semantic_hash", counters: dict[str, str] | None = None) -> StreamingQuery:
+    """Keeps the cache at ``path`` up to date with a stream of ``facts``: what changed is analysed and put, as one change for each batch."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        cache.put(spark, analyzed(batch, counters=counters, detail=False), path, key)
+
+    return each_batch(changed(facts, key, version, content), put, checkpoint)
