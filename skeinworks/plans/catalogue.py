@@ -498,6 +498,57 @@ def pearson_matrix(spark, folder):
     return stats.pearson_matrix(table(spark, folder, "lineitem").select(*_METRICS), _METRICS).withColumn("r", F.round("r", 6))
 
 
+#: 27 metrics of an order, some of which some orders lack, and two that are constant.
+_ORDER_METRICS = {
+    **{f"{c[2:]}_{f}": f"{f}({c})" for c in _METRICS for f in ("sum", "avg", "min", "max")}, **{f"{c[2:]}_spread": f"CASE WHEN count(*) > 1 THEN max({c}) - min({c}) END" for c in _METRICS},
+    **{f"{c[2:]}_many": f"CASE WHEN count(*) % 3 <> 0 THEN sum({c} * l_linenumber) END" for c in _METRICS}, "lines": "CAST(count(*) AS DOUBLE)", "constant": "CAST(7.5 AS DOUBLE)", "sometimes": "CASE WHEN count(*) > 2 THEN CAST(0.1 AS DOUBLE) END",
+}
+_ORDER_WIDE = f"SELECT l_orderkey, {', '.join(f'{sql} AS {name}' for name, sql in _ORDER_METRICS.items())} FROM {{}} GROUP BY l_orderkey"
+
+
+@_query(f"WITH w AS ({_ORDER_WIDE.format('lineitem')}) " + " UNION ALL ".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, round(CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END, 6) AS r FROM w WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
+    for j, y in enumerate(_ORDER_METRICS) for x in list(_ORDER_METRICS)[:j]))
+def correlation_matrix(spark, folder):
+    """27 metrics of orders from long rows, each pair over the orders that have both."""
+    wide = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(*(F.expr(sql).alias(name) for name, sql in _ORDER_METRICS.items()))
+    long = stats.long_metrics(wide, ["l_orderkey"], list(_ORDER_METRICS))
+    return stats.correlations(long, "l_orderkey", list(_ORDER_METRICS)).withColumn("r", F.round("r", 6))
+
+
+@_query("""WITH b AS (SELECT DISTINCT o_orderpriority AS benchmark FROM orders), l AS (SELECT DISTINCT c_mktsegment AS level FROM customer), a AS (SELECT DISTINCT o_orderstatus AS arm FROM orders),
+    n AS (SELECT 1 + count(*) // 100 AS n FROM orders)
+    SELECT row_number() OVER (ORDER BY benchmark, level, arm, replicate) - 1 AS ordinal, benchmark, level, arm, replicate::INT AS replicate,
+      'run-' || left(sha256('orders' || chr(0) || benchmark || chr(0) || level || chr(0) || arm || chr(0) || replicate), 20) AS run_id
+    FROM b, l, a, (SELECT unnest(range(1, n + 1)) AS replicate FROM n)""")
+def study_schedule(spark, folder):
+    """A replicate for every 100 orders, in each cell of priority, segment and status."""
+    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    levels = lambda rows, column: sorted(r[0] for r in rows.select(column).distinct().collect())  # noqa: E731  a factor's few levels
+    factors = {"benchmark": levels(orders, "o_orderpriority"), "level": levels(customers, "c_mktsegment"), "arm": levels(orders, "o_orderstatus")}
+    return stats.schedule(spark, "orders", factors, 1 + orders.count() // 100)
+
+
+_NUMBERED = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@_query(f"SELECT {', '.join(_NUMBERED)}, row_number() OVER (ORDER BY {', '.join(f'{c} NULLS FIRST' for c in _NUMBERED)}) - 1 AS ordinal FROM lineitem")
+def line_ordinals(spark, folder):
+    """Lines numbered by price, in ranges side by side."""
+    return stats.ordinals(table(spark, folder, "lineitem").select(*_NUMBERED), *_NUMBERED)
+
+
+_RULES_SQL = {"no_quantity": "l_quantity <= 0", "high_discount": "l_discount > 0.08", "cheap": "l_extendedprice < 1000", "late_return": "l_returnflag = 'R' AND l_linestatus = 'O'", "odd_line": "l_linenumber NOT BETWEEN 1 AND 6"}
+
+
+@_query(f"SELECT unnest(['n', {', '.join(map(repr, _RULES_SQL))}]) AS rule, unnest([count(*), {', '.join(f'count_if({sql})' for sql in _RULES_SQL.values())}]) AS violations FROM lineitem")
+def validation_counts(spark, folder):
+    """Rules counted in the scan that writes the lines."""
+    rows, told = stats.observed(table(spark, folder, "lineitem"), "lines", **{k: F.expr(sql) for k, sql in _RULES_SQL.items()})
+    rows.write.parquet(new_folder(spark, "validated"))
+    return spark.createDataFrame(list(told.get.items()), "rule string, violations long")
+
+
 @_query(f"""WITH {_LONG_SQL}, c AS (SELECT *, avg(value) OVER (PARTITION BY metric, l_returnflag, l_linestatus) AS m, avg(value) OVER (PARTITION BY metric) AS g FROM long)
     SELECT metric, count(*) AS n, round(var_samp(value) / (sum((value - m) ** 2) / (count(*) - 1)), 6) AS total_over_within, round(sum((m - g) ** 2) / (count(*) - 1) / var_samp(value), 9) AS between_over_total,
       round(log10(var_samp(value)), 7) AS total, round(log10(sum((value - m) ** 2) / (count(*) - 1)), 7) AS within_cells FROM c GROUP BY metric""")
