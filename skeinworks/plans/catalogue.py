@@ -12,9 +12,9 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.functions import seeds, text
+from skeinworks.functions import providers, seeds, text
 from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, stats
-from skeinworks.sources import log
+from skeinworks.sources import connectors, log
 from skeinworks.sources.shared import new_folder
 from skeinworks.streaming import incremental
 
@@ -282,6 +282,29 @@ def cache_versions(spark, folder):
     return reduce(DataFrame.unionByName, every)
 
 
+def _density(row):
+    """What an outside provider may say of an order: how many loops for each call, and whether it returns at all."""
+    yield "dense_loops", row.n_loop // max(row.n_call, 1)
+    yield "returning", int(row.n_return > 0)
+
+
+@_query(f"WITH {FACTS_SQL} SELECT k AS l_orderkey, 'density' AS provider_id, kind, strength FROM (SELECT k, 'dense_loops' AS kind, n_loop // greatest(n_call, 1) AS strength FROM f UNION ALL SELECT k, 'returning', (n_return > 0)::BIGINT FROM f) WHERE strength > 0")
+def provider_evidence(spark, folder):
+    """A provider as a table function over the facts of all orders."""
+    providers.register(spark, "order_density", "density", _density)
+    return providers.evidence(order_facts(spark, folder), "order_density", "l_orderkey")
+
+
+@_query(f"""SELECT o_orderkey, {_written('0')} AS content, 0 AS place FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 100 UNION ALL SELECT o_orderkey, {_written('1')}, 1 FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey > 100""")
+def cache_source(spark, folder):
+    """A cache of two changes read as a data source, its filter pushed to the files."""
+    path, orders = new_folder(spark, "cache"), table(spark, folder, "orders")
+    for k, test in enumerate(("o_orderstatus = 'O'", "o_orderpriority LIKE '1%'")):
+        cache.put(spark, orders.filter(test).select("o_orderkey", F.expr(_written(str(k))).alias("content")), path, "o_orderkey")
+    connectors.register(spark)
+    return spark.read.format("skein_cache").load(path).filter("o_orderkey > 100").withColumnRenamed("_place", "place")
+
+
 _RENAMED = f"CASE WHEN l_orderkey % 3 = 0 THEN {_NAME.replace('l_orderkey % 8', '(l_orderkey + 3) % 8')} ELSE {_NAME} END"
 
 
