@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import providers, seeds, text
 from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, stats
-from skeinworks.sources import connectors, log
+from skeinworks.sources import connectors, exports, log
 from skeinworks.sources.shared import new_folder
 from skeinworks.streaming import incremental
 
@@ -305,6 +305,31 @@ def cache_source(spark, folder):
     return spark.read.format("skein_cache").load(path).filter("o_orderkey > 100").withColumnRenamed("_place", "place")
 
 
+_TAMPERED = {"missing": "o_orderkey % 11 = 0", "changed": "o_orderkey % 11 = 1", "digest": "o_orderkey % 11 = 2", "repeated": "o_orderkey % 11 = 3", "unknown": "o_orderstatus = 'P' AND o_orderkey % 11 > 3"}
+
+
+@_query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN sha256({_written('0')}) END AS digest, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN {_TAMPERED['unknown']} THEN 'unknown' END
+      {' '.join(f"WHEN {test} THEN '{problem}'" for problem, test in _TAMPERED.items() if problem != 'unknown')} END AS problem FROM orders WHERE o_orderstatus <> 'P' OR {_TAMPERED['unknown']}""")
+def study_commits(spark, folder):
+    """O3: orders as observations, committed in turns that overlap, one of them interrupted; an export that was tampered with, what is found wrong, and what it is after the repair."""
+    path = new_folder(spark, "study")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.col("o_orderkey").cast("string").alias("key"), F.expr(_written("0")).alias("content"))
+    final = rows.filter("o_orderstatus <> 'P'")
+    exports.commit(spark, f"{path}/runs", final.filter("o_orderkey % 2 = 0"))
+    log.write(final.filter("o_orderkey % 2 = 1").select("key", "content", F.lit("").alias("sha256")), f"{path}/runs")
+    exports.commit(spark, f"{path}/runs", final.filter("o_orderkey % 4 < 2"))
+    exports.commit(spark, f"{path}/runs", final)
+    told = exports.canonical(spark, f"{path}/runs")
+    is_ = {k: F.expr(test.replace("o_orderkey", "CAST(key AS LONG)")) for k, test in _TAMPERED.items() if k != "unknown"}
+    bad = told.filter(~is_["missing"]).withColumn("content", F.when(is_["changed"], "other").otherwise(F.col("content"))).withColumn("sha256", F.when(is_["digest"], "sha256:0").otherwise(F.col("sha256")))
+    more = told.filter(is_["repeated"]).unionByName(rows.filter(_TAMPERED["unknown"]).select("key", "content", F.lit("sha256:1").alias("sha256")))
+    names = log.write(bad, f"{path}/export"), log.write(more, f"{path}/export")
+    log.change(spark, f"{path}/export", lambda _: names)
+    problems = exports.repair(spark, f"{path}/runs", f"{path}/export").select("key", "problem").distinct()
+    after = log.read(spark, f"{path}/export", log.manifest(spark, f"{path}/export")).select("key", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    return after.join(problems, "key", "full").select(F.col("key").cast("long").alias("o_orderkey"), "digest", "problem")
+
+
 _RENAMED = f"CASE WHEN l_orderkey % 3 = 0 THEN {_NAME.replace('l_orderkey % 8', '(l_orderkey + 3) % 8')} ELSE {_NAME} END"
 
 
