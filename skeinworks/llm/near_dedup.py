@@ -253,18 +253,29 @@ def _joins(alike: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[
 def _unmet(led: DataFrame, roots: DataFrame, sizes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b, similarity) that connect the classes ``roots`` of texts that share a band and have met only its leader.
 
-    All pairs of a band's texts are compared, but inside tasks: a pair is never a row. Texts of a band are cut into
-    blocks of bounded number and bytes that meet two by two, so no band is one task's alone, and of its pairs a task
-    only returns those that connect classes.
+    Texts of a band's largest class are connected already, so each of the others is compared with all of the band, and
+    they with nothing else. That is done inside tasks: a pair is never a row. Both sides are cut into blocks of bounded
+    number and bytes that meet two by two, so no band is one task's alone, and of its pairs a task only returns those
+    that connect classes. A text of the largest class is copied once for each block of the others, of which there are
+    few where most of a band is connected.
     """
     rooted = led.join(roots, "id", "left").join(sizes, "id").select("band", "key", "id", F.coalesce("root", "id").alias("root"), "size")
     met = stable(rooted)
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    in_band = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = stable(in_band.filter("low != high").select("band", "key", "n", blocks))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = looked_up(met, apart, "band", "key").select("band", "key", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    placed = stable(dealt.select("band", "key", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "id", "root"))
+    classes = met.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    largest = F.max(F.struct("n", F.bitwise_not("root").alias("root"), "bytes"))
+    in_band = classes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), largest.alias("best"), F.count(F.lit(1)).alias("classes"))
+    blocks = lambda n, bytes_: F.ceil(F.greatest(n / BLOCK, bytes_ / BLOCK_BYTES)).cast("int")
+    sides = {"main": F.bitwise_not("best.root"), "mains": blocks(F.col("best.n"), F.col("best.bytes")), "rests": blocks(F.col("n") - F.col("best.n"), F.col("bytes") - F.col("best.bytes"))}
+    apart = stable(in_band.filter("classes > 1").select("band", "key", "n", *(c.alias(k) for k, c in sides.items())))
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    told = looked_up(met, apart, "band", "key").select("band", "key", "id", "root", is_main.alias("is_main"), own.alias("own"), "mains", "rests")
+    to = lambda end: F.sequence(F.lit(0), F.col(end) - 1)
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))  # noqa: E731  others' blocks are from 0, those of the largest class -1 and below
+    among = F.transform(to("rests"), lambda k: cell(F.least("own", k), F.greatest("own", k)))
+    against = F.transform(to("mains"), lambda k: cell(F.col("own"), -1 - k))
+    cells_of = F.when(F.col("is_main"), F.transform(to("rests"), lambda k: cell(k, -1 - F.col("own")))).otherwise(F.concat(among, against))
+    placed = stable(told.select("band", "key", F.explode(cells_of).alias("cell"), "id", "root").select("band", "key", "cell.x", "cell.y", "id", "root"))
     texts = rows.select(F.col("row").alias("id"), "text").join(placed.select("id").distinct(), "id")
     cells = placed.join(texts, "id")
 
