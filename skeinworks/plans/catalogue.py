@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import providers, seeds, text
-from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, stats
+from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, report, stats
 from skeinworks.sources import connectors, exports, log
 from skeinworks.sources.shared import new_folder
 from skeinworks.streaming import incremental
@@ -214,6 +214,27 @@ def diagnose_top1(spark, folder):
     return found.select("diagnostic_id", "category", "intent", "confidence", "interpretation", "rule_id", F.array_join("fixes.title", ",").alias("fixes"), F.array_join(said, ",").alias("evidence"))
 
 
+_SAID_OF = f"CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN {_NAME.replace('l_orderkey', 'o_orderkey')} ELSE 'max_by' END"
+
+
+@_query(f"""WITH {SCORED_SQL}, d(rule_id, category, hyp, interpretation, suggestions) AS (VALUES {_values(seeds.DIAGNOSTIC_RULES)})
+    SELECT o_orderkey AS diagnostic_id, x.hyp AS intent, x.confidence, x.name AS matched_function FROM orders LEFT JOIN (
+      SELECT s.k, d.category, s.hyp, s.confidence, f.name FROM d JOIN s ON s.hyp = d.hyp JOIN f ON f.k = s.k WHERE NOT s.gone OR d.interpretation = 'average_implementation_incomplete') x
+      ON x.k = o_orderkey AND x.category = {_STATUS} AND ({_SAID_OF} IS NULL OR {_SAID_OF} = x.name)""")
+def diagnose_by_function(spark, folder):
+    """P10: diagnostics of all functions, of the function itself, and of another one."""
+    said = table(spark, folder, "orders").select(F.col("o_orderkey").alias("diagnostic_id"), F.col("o_orderkey").alias("source"), F.expr(_STATUS).alias("category"), F.expr(_SAID_OF).alias("function_name"))
+    found = diagnose.diagnosed(said, reports(spark, folder, detail={r[2] for r in seeds.DIAGNOSTIC_RULES}).withColumnRenamed("l_orderkey", "source"))
+    return found.select("diagnostic_id", "intent", "confidence", "matched_function")
+
+
+@_query("SELECT o_orderpriority, count(*) AS n, count_if(o_orderkey % 4 < 3 AND o_custkey % 5 <> 0 AND o_orderstatus <> 'P') AS compatible FROM orders GROUP BY ALL")
+def cache_compatible(spark, folder):
+    """Rows that were made by the versions of today."""
+    rows = table(spark, folder, "orders").select("o_orderpriority", F.expr("IF(o_orderkey % 4 < 3, 1, 2)").alias("ir_version"), F.expr("IF(o_custkey % 5 <> 0, 1, 0)").alias("adapter_version"), F.expr("IF(o_orderstatus <> 'P', 1, 7)").alias("rules_version"))
+    return rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(cache.compatible()).alias("compatible"))
+
+
 @_query("SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def graph_validate_duplicates(spark, folder):
     return graph.duplicate_ids(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
@@ -487,6 +508,13 @@ _COUNTED_SQL = {
       (source % 4 = 1)::BIGINT AS numeric_return_count, (source % 4 = 0)::BIGINT AS boolean_return_count, types FROM c JOIN t USING (source)""")
 def program_facts(spark, folder):
     """A1-A4: programs as node and edge tables, with shared nodes, cycles and guards, to all counters of their functions."""
+    found = program_counters(spark, folder)
+    counters = [*(f"{k}_count" for k in _COUNTED_SQL), "conditional_branch_count", "accumulation_count", "numeric_parameter_count", "numeric_return_count", "boolean_return_count"]
+    types = F.array_join(F.transform("types", lambda t: F.concat(t.role, F.lit(":"), t.category)), ",")
+    return found.select(F.col("source").alias("o_orderkey"), "function_name", *counters, types.alias("types"))
+
+
+def program_counters(spark, folder) -> DataFrame:
     table(spark, folder, "lineitem").createOrReplaceTempView("program_lineitem")
     table(spark, folder, "part").createOrReplaceTempView("program_part")
     views = {"lineitem": "program_lineitem", "part": "program_part"} | {k: f"program_{k}" for k in PROGRAM}
@@ -494,10 +522,18 @@ def program_facts(spark, folder):
         for word in ("lineitem", "lines", "firsts", "exprs", "part"):
             sql = sql.replace(f"FROM {word}", f"FROM {views[word]}").replace(f"JOIN {word} ", f"JOIN {views[word]} ")
         spark.sql(sql).createOrReplaceTempView(f"program_{name}")
-    found = reasoning.facts(programs.visits(*(spark.table(f"program_{k}") for k in ("nodes", "edges", "types"))))
-    counters = [*(f"{k}_count" for k in _COUNTED_SQL), "conditional_branch_count", "accumulation_count", "numeric_parameter_count", "numeric_return_count", "boolean_return_count"]
-    types = F.array_join(F.transform("types", lambda t: F.concat(t.role, F.lit(":"), t.category)), ",")
-    return found.select(F.col("source").alias("o_orderkey"), "function_name", *counters, types.alias("types"))
+    return reasoning.facts(programs.visits(*(spark.table(f"program_{k}") for k in ("nodes", "edges", "types"))))
+
+
+_COUNTER = {k: c for _, k, _, c, _ in seeds.evidence_kinds()}
+
+
+@_query(f"""WITH c AS ({ORACLES['program_facts']}), o(kind, provider_id, kind_ord) AS (VALUES {_values([(k, _PROVIDER[k], _ORDER[k]) for k in _COUNTER])})
+    SELECT o_orderkey, provider_id, kind_ord, kind, strength FROM ({' UNION ALL '.join(f"SELECT o_orderkey, '{k}' AS kind, {c} AS strength FROM c" for k, c in _COUNTER.items())}) JOIN o USING (kind) WHERE strength > 0""")
+def program_evidence(spark, folder):
+    """E2-E8 with ownership and API usage: the evidence of programs given as node and edge tables, from all counters."""
+    found = reasoning.evidence_rows(reasoning.with_evidence(program_counters(spark, folder)), "source")
+    return found.filter("kind <> 'name'").select(F.col("source").alias("o_orderkey"), "provider_id", "kind_ord", "kind", "strength")
 
 
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -577,6 +613,43 @@ def study_schedule(spark, folder):
     return stats.schedule(spark, "orders", factors, 1 + orders.count() // 100)
 
 
+#: Runs of a study: an order each, with all metrics as text, as a CSV has them.
+_STUDY_METRICS = dict(zip(report.METRICS, _ORDER_METRICS.values(), strict=False))
+_STUDY_RUN = ", ".join(f"CAST({sql} AS STRING) AS {name}" for name, sql in _STUDY_METRICS.items())
+_RATED = {b: f"CAST(count(*) + {i} AS STRING)" for i, (_, b) in enumerate(report.RATES.values())} | {a: f"CAST(count(CASE WHEN l_linenumber > {i} THEN 1 END) AS STRING)" for i, (a, _) in enumerate(report.RATES.values())}
+_RUNS_SQL = f"SELECT l_orderkey, {_STUDY_RUN}, CASE l_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'False' ELSE 'not_available' END AS compilation_success, {', '.join(f'{sql} AS {name}' for name, sql in _RATED.items())} FROM {{}} GROUP BY l_orderkey"
+_VALUED = {**{name: f"CAST({name} AS DOUBLE)" for name in _STUDY_METRICS}, "compilation_success_rate": "CASE compilation_success WHEN 'true' THEN 1.0 WHEN 'False' THEN 0.0 END", **{name: f"{a}::DOUBLE / {b}::DOUBLE" for name, (a, b) in report.RATES.items()}}
+
+
+@_query(f"""WITH r AS ({_RUNS_SQL.format('lineitem')}), j AS (SELECT o_orderpriority AS benchmark, c_mktsegment AS level, o_orderstatus AS arm, r.* FROM r JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+    long AS ({' UNION ALL '.join(f"SELECT benchmark, level, arm, '{m}' AS metric, ({sql})::DOUBLE AS value FROM j WHERE ({sql}) IS NOT NULL" for m, sql in _VALUED.items())}),
+    m AS (SELECT benchmark, level, metric, avg(value) FILTER (arm = 'F') AS b, avg(value) FILTER (arm = 'O') AS o FROM long GROUP BY ALL)
+    SELECT 'summary' AS output, benchmark, level, arm, metric, count(*) AS n, round(log10(avg(value) + 1), 6) AS value FROM long GROUP BY ALL
+    UNION ALL SELECT 'comparisons', benchmark, level, NULL, metric, NULL, round(sign(o - b) * log10(abs(o - b) + 1), 5) FROM m WHERE o IS NOT NULL AND b IS NOT NULL
+    UNION ALL SELECT 'trends', benchmark, level, arm, metric, NULL, round(log10(avg(value) + 1), 6) FROM long GROUP BY ALL
+    UNION ALL SELECT 'variance', NULL, NULL, NULL, metric, count(*), round(log10(var_samp(value) + 1), 6) FROM long GROUP BY metric
+    UNION ALL SELECT 'failures', NULL, NULL, NULL, coalesce(event_type, 'unknown'), count(*), NULL FROM events GROUP BY ALL""")
+def study_report(spark, folder):
+    """All tables of a study, in one call and written as JSON, over all its metrics."""
+    runs = table(spark, folder, "lineitem").groupBy("l_orderkey")
+    wanted = {**_STUDY_METRICS, **_RATED}
+    made = runs.agg(*(F.expr(f"CAST({sql} AS STRING)").alias(name) for name, sql in wanted.items()), F.expr("CASE l_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'False' ELSE 'not_available' END").alias("compilation_success"))
+    joined = made.join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    runs = joined.select(F.lit("s").alias("study_id"), F.col("o_orderpriority").alias("benchmark"), F.col("c_mktsegment").alias("level"), F.col("o_orderstatus").alias("arm"), F.lit("1").alias("replicate"), F.col("l_orderkey").cast("string").alias("generation_id"), *wanted, "compilation_success")
+    outputs = report.study_outputs(runs, table(spark, folder, "events").select(F.col("event_type").alias("category")), "F", "O", samples=0, shuffles=0)
+    path = new_folder(spark, "outputs")
+    report.write_outputs(outputs, path)
+    read = lambda name: spark.read.schema(outputs[name].schema).json(f"{path}/{name}")
+    text_, long = F.lit(None).cast("string"), F.lit(None).cast("long")
+    logged = lambda c, digits: F.round(F.signum(c) * F.log10(F.abs(c) + 1), digits)  # noqa: E731  no unit blows it up, and no half is rounded either way
+    shown = [
+        ("summary", "benchmark", "level", "arm", "metric", "n", logged("mean", 6)), ("comparisons", "benchmark", "level", text_, "metric", long, logged("difference", 5)), ("trends", "benchmark", "level", "arm", "metric", long, logged("mean", 6)),
+        ("variance", text_, text_, text_, "metric", "n", F.round(F.log10(F.col("total") + 1), 6)), ("failures", text_, text_, text_, "category", "n", F.lit(None).cast("double")),
+    ]
+    names = ["benchmark", "level", "arm", "metric", "n", "value"]
+    return reduce(DataFrame.unionByName, [read(name).select(F.lit(name).alias("output"), *((F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(columns, names, strict=True))) for name, *columns in shown])
+
+
 _NUMBERED = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -638,10 +711,29 @@ def golden_gate(spark, folder):
     """Expectations against what was found."""
     golden = spark.createDataFrame(_GOLDEN, "function_name string, expected string, least int")
     found = reports(spark, folder).groupBy("function_name", "primary_intent", "confidence").agg(F.count(F.lit(1)).alias("k"))
-    joined = found.join(F.broadcast(golden), "function_name", "full")
-    hit = (F.col("primary_intent") == F.col("expected")) & (F.col("confidence") >= F.col("least"))
-    by = joined.groupBy("function_name", "expected").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(hit, F.col("k"))), F.lit(0)).alias("hits"))
-    return by.withColumn("state", F.when(F.col("n") == 0, "stale").when(F.col("expected").isNull(), "missing").when(F.col("hits") > 0, "met").otherwise("unmet"))
+    return report.golden_states(found, F.broadcast(golden))
+
+
+@_query(f"""WITH {SCORED_SQL}, g AS (SELECT name AS function_name, intent AS expected, max(confidence) - 10 AS least FROM f JOIN top USING (k) WHERE k % 2 = 0 GROUP BY ALL),
+    o AS (SELECT name AS function_name, intent, confidence, count(*) AS k FROM f LEFT JOIN top USING (k) WHERE k % 2 = 1 GROUP BY ALL)
+    SELECT function_name, g.expected, coalesce(sum(o.k), 0)::BIGINT AS n, coalesce(sum(o.k) FILTER (o.intent = g.expected AND o.confidence >= g.least), 0)::BIGINT AS hits,
+      CASE WHEN coalesce(sum(o.k), 0) = 0 THEN 'stale' WHEN g.expected IS NULL THEN 'missing' WHEN coalesce(sum(o.k) FILTER (o.intent = g.expected AND o.confidence >= g.least), 0) > 0 THEN 'met' ELSE 'unmet' END AS state
+    FROM g FULL JOIN o USING (function_name) GROUP BY function_name, g.expected""")
+def golden_corpus(spark, folder):
+    """Expectations taken from every other order, written as JSON and read as a table, against the rest."""
+    path, every = f"{new_folder(spark, 'golden')}/golden", reports(spark, folder)
+    expected = every.filter("l_orderkey % 2 = 0 AND primary_intent IS NOT NULL").groupBy("function_name", F.col("primary_intent").alias("expected")).agg((F.max("confidence") - 10).alias("least"))
+    expected.write.json(path)
+    found = every.filter("l_orderkey % 2 = 1").groupBy("function_name", "primary_intent", "confidence").agg(F.count(F.lit(1)).alias("k"))
+    return report.golden_states(found, report.read_golden(spark, path))
+
+
+@_query(f"""WITH {SCORED_SQL}, n AS (SELECT f.k, (SELECT count(*) FROM ev WHERE ev.k = f.k) AS e, (SELECT count_if(NOT gone) FROM s WHERE s.k = f.k) AS a FROM f)
+    SELECT 'status' AS figure, CASE WHEN gone THEN 'eliminated' ELSE 'active' END AS name, count(*) AS n FROM s GROUP BY ALL
+    UNION ALL SELECT 'most_evidence', k::VARCHAR, e FROM (SELECT * FROM n ORDER BY e DESC, k LIMIT 1) UNION ALL SELECT 'most_active', k::VARCHAR, a FROM (SELECT * FROM n ORDER BY a DESC, k LIMIT 1)""")
+def showcase(spark, folder):
+    """Status distribution and arg-max over all reports."""
+    return report.showcase(reports(spark, folder), "l_orderkey")
 
 
 @_query("SELECT user_id, count_if(event_type = 'purchase')::DOUBLE / nullif(count_if(event_type <> 'view'), 0) AS rate FROM events GROUP BY user_id")
