@@ -112,20 +112,19 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
 _RULES = "array<struct<id:string,kind:string,weight:int>>"
 
 
-def with_hypotheses(
-    rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool | set[str] = True, name: str = "function_name", counters: dict[str, str] | None = None, more: list[Provider] = ()
-) -> DataFrame:
-    """``rows`` with ``hypotheses``, ranked: active before eliminated, by confidence, then id.
+def _known(registry: dict[str, seeds.Hypothesis] | None) -> list[seeds.Hypothesis]:
+    return sorted((registry or seeds.hypotheses()).values(), key=lambda h: h.id)
 
-    A hypothesis is eliminated, with confidence 0, if it requires evidence that is missing. Else its baseline, plus
-    weight times strength (1 to 3) of every supporting item, less those of rejecting ones, is its confidence, 0 to 100.
-    With ``detail``, of all or of the ids named, they also hold their supporting evidence, and the missing and
-    contradicting rules; those of others are null. ``name``, ``counters`` and ``more`` are as for ``with_evidence``.
-    """
-    known = sorted((registry or seeds.hypotheses()).values(), key=lambda h: h.id)
+
+def _powers(known: list[seeds.Hypothesis]) -> dict[str, str]:
+    """SQL of how much there is of each kind that a rule asks for."""
     kinds = sorted({r.kind for h in known for r in (*h.require, *h.support, *h.reject)})
-    p = {k: f"_power[{i}]" for i, k in enumerate(kinds)}
-    given = _providers(rows, counters, list(more))
+    return {k: f"_power[{i}]" for i, k in enumerate(kinds)}
+
+
+def _judged(rows: DataFrame, known: list[seeds.Hypothesis], name: str, given: list[tuple[int, str, str, Column]]) -> DataFrame:
+    """``rows`` with ``_sure``, the confidence of each of ``known``, -1 for an eliminated one, and what that was worked out from."""
+    p = _powers(known)
     told = once(rows, _strength=F.array(*(x[3] for x in given)) if given else F.array().cast("array<bigint>"), _tokens=name_tokens(F.coalesce(F.col(name), F.lit(""))))
 
     def power(kind: str) -> str:
@@ -133,15 +132,42 @@ def with_hypotheses(
             return f"size(_tokens) - size(array_remove(_tokens, {_text(kind[5:])}))"
         return " + ".join([f"CAST(greatest(0, least(3, _strength[{i}])) AS INT)" for i, x in enumerate(given) if x[1] == kind] or ["0"])
 
-    powered = once(told.select("*", F.expr(_split(f"array({', '.join(map(power, kinds))})", "_strength")).alias("_powers")), _power=F.col("_powers"))
+    powered = once(told.select("*", F.expr(_split(f"array({', '.join(map(power, p))})", "_strength")).alias("_powers")), _power=F.col("_powers"))
 
     def confidence(h: seeds.Hypothesis) -> str:
-        """-1 for an eliminated one."""
         raw = " + ".join([str(h.baseline), *(f"{r.weight} * {p[r.kind]}" for r in h.support), *(f"{-r.weight} * {p[r.kind]}" for r in h.reject)])
         sure = f"greatest(0, least(100, {raw}))"
         return f"if({' OR '.join(f'{p[r.kind]} = 0' for r in h.require)}, -1, {sure})" if h.require else sure
 
-    judged = once(powered.select("*", F.expr(_split(f"array({', '.join(map(confidence, known))})", "_power")).alias("_confidences")), _sure=F.col("_confidences"))
+    return once(powered.select("*", F.expr(_split(f"array({', '.join(map(confidence, known))})", "_power")).alias("_confidences")), _sure=F.col("_confidences"))
+
+
+def with_primary_intent(rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, name: str = "function_name", counters: dict[str, str] | None = None, more: list[Provider] = ()) -> DataFrame:
+    """``rows`` with ``primary_intent`` and its ``confidence`` as ``analyzed`` gives them, null without an active hypothesis, and nothing else of a report.
+
+    Confidence and place by id are one number for each hypothesis, of which the greatest is taken: nothing is sorted.
+    """
+    known = _known(registry)
+    n = len(known)
+    best = once(_judged(rows, known, name, _providers(rows, counters, list(more))), _best=F.expr(f"array_max(transform(_sure, (c, i) -> if(c < 0, -1, c * {n} + {n - 1} - i)))"))
+    active = F.col("_best") >= 0
+    ids = F.array(*(F.lit(h.id) for h in known))
+    found = best.withColumns({"primary_intent": F.when(active, F.element_at(ids, F.lit(n) - F.pmod("_best", F.lit(n)))), "confidence": F.when(active, F.expr(f"CAST(_best div {n} AS INT)"))})
+    return found.drop("_strength", "_tokens", "_power", "_powers", "_sure", "_confidences", "_best")
+
+
+def with_hypotheses(
+    rows: DataFrame, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool | set[str] = True, name: str = "function_name", counters: dict[str, str] | None = None, more: list[Provider] = ()
+) -> DataFrame:
+    """``rows`` with ``hypotheses``, ranked: active before eliminated, by confidence, then id.
+
+    A hypothesis is eliminated, with confidence 0, if it requires evidence that is missing. Else its baseline, plus
+    weight times strength (1 to 3) of every supporting item, less those of rejecting ones, is its confidence, 0 to 100.
+    With ``detail``, of all or of the ids named, they also hold their supporting evidence, and the missing and
+    contradicting rules; those of others are null. ``name``, ``counters`` and ``more`` are as for ``with_evidence``.
+    """
+    known, given = _known(registry), _providers(rows, counters, list(more))
+    p, judged = _powers(known), _judged(rows, known, name, given)
 
     def rules(which: tuple[seeds.Rule, ...], test: str) -> str:
         shown = ", ".join(f"if({p[r.kind]} {test}, named_struct('id', {_text(r.id)}, 'kind', {_text(r.kind)}, 'weight', {r.weight}), NULL)" for r in which)

@@ -127,7 +127,7 @@ def rank_hypotheses(spark, folder):
 @_query(f"WITH {SCORED_SQL} SELECT f.k AS l_orderkey, name AS function_name, intent AS primary_intent, confidence FROM f LEFT JOIN top ON top.k = f.k")
 def primary_intent(spark, folder):
     """The first active hypothesis of each order."""
-    return reports(spark, folder).select("l_orderkey", "function_name", "primary_intent", "confidence")
+    return reasoning.with_primary_intent(order_facts(spark, folder), counters=_NAMED).select("l_orderkey", "function_name", "primary_intent", "confidence")
 
 
 @_query(f"WITH {PIPED_SQL} SELECT k AS l_orderkey, string_agg(stage || ':' || confidence, '>' ORDER BY pos) AS pipeline FROM staged GROUP BY k")
