@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skeinworks.llm import near_dedup, packing, queries
+from skeinworks.llm import toxicity as toxicity_module
 from skeinworks.llm.chat import escape, formatted, parse, read_back, turns_as_events, unescape
 from skeinworks.llm.decontaminate import contamination, drop_contaminated, items_sha256
 from skeinworks.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
@@ -486,3 +487,31 @@ def test_very_long_texts(spark):
 
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_ordinal_regression_by_brute_force():
+    """The fit's optimum by numeric gradients, and expected severity from the definition."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3)).astype(np.float32)
+    grade = np.digitize(x @ [1.5, -0.7, 0.0] + rng.logistic(size=120) * 0.7, [0.0, 1.2])
+    worth = rng.uniform(0.2, 2, 120)
+    weight, thresholds = toxicity_module.ordinal(x, grade, worth)
+    assert thresholds[0] < thresholds[1]
+
+    def loss(p):
+        up = 1 / (1 + np.exp(p[None, 3:] - (x @ p[:3])[:, None]))
+        edge = np.concatenate([np.ones((120, 1)), up, np.zeros((120, 1))], axis=1)
+        chance = edge[np.arange(120), grade] - edge[np.arange(120), grade + 1]
+        return -(worth / worth.sum()) @ np.log(chance) + toxicity_module.DECAY / 2 * (p[:3] ** 2).sum()
+
+    best = np.concatenate([weight, thresholds])
+    for k in range(5):
+        step = 1e-4 * (np.arange(5) == k)
+        assert abs((loss(best + step) - loss(best - step)) / 2e-4) < 2e-3
+    for _ in range(50):
+        assert loss(best) <= loss(best + rng.normal(size=5) * 0.05) + 1e-5
+    model = toxicity_module.Model(np.array([]), np.array([]), weight, thresholds)
+    up = model.severity(x)
+    for row, own in zip(x[:20], up[:20], strict=True):
+        chance = [1 / (1 + np.exp(t - row @ weight)) for t in thresholds]
+        assert np.allclose(own, chance, atol=1e-5) and np.isclose(own.sum(), (chance[0] - chance[1]) + 2 * chance[1], atol=1e-5)
