@@ -23,13 +23,11 @@ from skeinworks.llm.tokens import crc32, whole_ids
 from skeinworks.llm.tokens import _texts as texts_of
 
 #: Groups of large lengths; lengths up to capacity / SMALL are small. RANK_PARTS: parts in which a length's ranks are counted.
-GROUPS, SMALL, RANK_PARTS = 128, 8, 512
+GROUPS, SMALL, RANK_PARTS = 512, 3, 512
 #: The program is solved to within this part of its optimum.
 CLOSE = 1e-3
 #: It also ends where so many rounds have gained less than that.
 STALL = 60
-#: Bins that real lengths leave with more room than this are dissolved, and their pieces best-fitted; the best of these plans is taken.
-ROOMS = (None, 128, 32, 8, 2, 0)
 END_ID = 0
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -198,30 +196,29 @@ def _substituted(mix: list[tuple[np.ndarray, int]], groups: list[list[tuple[int,
             number -= part
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
-    """Where the pieces of each length go; ``counts``: the number of pieces of each length from 1 to ``capacity``."""
-    rest = {x: n for x, n in counts.items() if x < capacity and n}
+def configured(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: int = SMALL) -> list[tuple[int, list[int]]]:
+    """(bins, real lengths) of the program's configurations of the large lengths; what its amounts are rounded down by is in none."""
     by_size: dict[int, list] = {}
-    for group in grouped_sizes({x: n for x, n in rest.items() if x > capacity // small}, groups):
+    for group in grouped_sizes({x: n for x, n in counts.items() if capacity // small < x < capacity and n}, groups):
         by_size.setdefault(group[0][0], []).extend(group)  # groups of one size are one
-    runs: list[tuple[int, list[int]]] = []
-    if by_size:
-        need = np.array([sum(n for _, n in group) for group in by_size.values()], float)
-        runs = list(_substituted(configurations(np.array(list(by_size)), need, capacity), list(by_size.values())))
-    plans = []
-    for most in ROOMS:
-        bins, left = Bins(capacity), dict(rest)
-        if counts.get(capacity):
-            bins.add(counts[capacity], [capacity])
-        for number, lengths in runs:
-            if most is None or capacity - sum(lengths) <= most:
-                bins.add(number, lengths)
-                for x in lengths:
-                    left[x] -= number
-        for length in sorted(left, reverse=True):
-            bins.best_fit(length, left[length])
-        plans.append(bins)
-    return min(plans, key=Bins.number).places()
+    if not by_size:
+        return []
+    need = np.array([sum(n for _, n in group) for group in by_size.values()], float)
+    return list(_substituted(configurations(np.array(list(by_size)), need, capacity), list(by_size.values())))
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
+    """Where the pieces of each length go; ``counts``: the number of pieces of each length from 1 to ``capacity``."""
+    bins, left = Bins(capacity), {x: n for x, n in counts.items() if x < capacity and n}
+    if counts.get(capacity):
+        bins.add(counts[capacity], [capacity])
+    for number, lengths in configured(counts, capacity, groups, small):
+        bins.add(number, lengths)
+        for x in lengths:
+            left[x] -= number
+    for length in sorted(left, reverse=True):
+        bins.best_fit(length, left[length])
+    return bins.places()
 
 
 def ranked(rows: DataFrame, key: str, parts: int = RANK_PARTS) -> DataFrame:

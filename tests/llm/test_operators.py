@@ -181,6 +181,22 @@ def test_a_plan_is_near_the_volume_bound():
     assert bins <= 1.01 * sum(k * n for k, n in counts.items()) / 2048 + 2
 
 
+@pytest.mark.parametrize("mean", [4.5, 5.5, 6.5, 7.2])
+def test_a_plan_is_the_programs(mean):
+    """Nearly all large pieces lie in the program's configurations, and these cost no bins: best fit of everything needs as many."""
+    draw = np.random.default_rng(2)
+    counts = Counter(int(x) for x in np.clip(draw.lognormal(mean, 0.9, 30000), 1, 2048))
+    runs = packing.configured(dict(counts), 2048)
+    inside = sum(number * len(lengths) for number, lengths in runs)
+    large = sum(n for x, n in counts.items() if 2048 // packing.SMALL < x < 2048)
+    assert all(sum(lengths) <= 2048 for _, lengths in runs) and inside >= (0.9 if large > 3000 else 0.6) * large
+    places = packing.plan(dict(counts), 2048)
+    plain = packing.Bins(2048)
+    for length in sorted(counts, reverse=True):
+        plain.best_fit(length, counts[length])
+    assert int((places[:, 3] + places[:, 2]).max()) <= 1.002 * plain.number() + 1
+
+
 def test_near_duplicates(docs, none):
     got = {r.doc_id: r for r in near_duplicates(docs).collect() if r.doc_id}
     assert got[7].class_id == got[8].class_id == 7 and got[7].class_size == 2
