@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import providers, seeds, text
 from skeinworks.operators import cache, diagnose, graph, history, index, programs, query, reach, reasoning, report, stats
-from skeinworks.sources import connectors, exports, log
+from skeinworks.sources import connectors, exports, log, study
 from skeinworks.sources.shared import new_folder
 from skeinworks.streaming import incremental
 
@@ -650,6 +650,14 @@ def study_report(spark, folder):
     return reduce(DataFrame.unionByName, [read(name).select(F.lit(name).alias("output"), *((F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(columns, names, strict=True))) for name, *columns in shown])
 
 
+@_query("SELECT 'c' || conv_id AS artifact, 'sha256:' || sha256(string_agg(path || chr(0) || text || chr(0), '' ORDER BY path, text)) AS sha256 FROM (SELECT conv_id, turn || '/' || coalesce(role, '') AS path, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id")
+def artifact_tree_hash(spark, folder):
+    """Conversations as artifacts, their turns as files."""
+    turns = table(spark, folder, "conversations")
+    path = F.concat(F.col("turn").cast("string"), F.lit("/"), F.coalesce("role", F.lit("")))
+    return study.tree_hash(turns.select(F.concat(F.lit("c"), "conv_id").alias("artifact"), path.alias("path"), F.col("text").cast("binary").alias("content")))
+
+
 _NUMBERED = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
