@@ -12,8 +12,7 @@ from skeinworks.sources.lowering import lowered
 
 def adapters(spark: SparkSession) -> DataFrame:
     """(extension, language, operational): a small fixed table."""
-    rows = [line.split() for line in seeds.ADAPTERS.split("\n") if line]
-    return spark.createDataFrame([(e, lang, ok == "yes") for e, lang, ok in rows], "extension string, language string, operational boolean")
+    return spark.createDataFrame(seeds.ADAPTERS, "extension string, language string, operational boolean")
 
 
 def with_extensions(table: DataFrame, *extensions: tuple[str, str, bool]) -> DataFrame:
