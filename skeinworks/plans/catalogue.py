@@ -625,7 +625,7 @@ _VALUED = {**{name: f"CAST({name} AS DOUBLE)" for name in _STUDY_METRICS}, "comp
     long AS ({' UNION ALL '.join(f"SELECT benchmark, level, arm, '{m}' AS metric, ({sql})::DOUBLE AS value FROM j WHERE ({sql}) IS NOT NULL" for m, sql in _VALUED.items())}),
     m AS (SELECT benchmark, level, metric, avg(value) FILTER (arm = 'F') AS b, avg(value) FILTER (arm = 'O') AS o FROM long GROUP BY ALL)
     SELECT 'summary' AS output, benchmark, level, arm, metric, count(*) AS n, round(log10(avg(value) + 1), 6) AS value FROM long GROUP BY ALL
-    UNION ALL SELECT 'comparisons', benchmark, level, NULL, metric, NULL, round(sign(o - b) * log10(abs(o - b) + 1), 5) FROM m WHERE o IS NOT NULL AND b IS NOT NULL
+    UNION ALL SELECT 'comparisons', benchmark, level, NULL, metric, NULL, round(sign(o - b) * log10(abs(o - b) + 1), 5) + 0::DOUBLE FROM m WHERE o IS NOT NULL AND b IS NOT NULL
     UNION ALL SELECT 'trends', benchmark, level, arm, metric, NULL, round(log10(avg(value) + 1), 6) FROM long GROUP BY ALL
     UNION ALL SELECT 'variance', NULL, NULL, NULL, metric, count(*), round(log10(var_samp(value) + 1), 6) FROM long GROUP BY metric
     UNION ALL SELECT 'failures', NULL, NULL, NULL, coalesce(event_type, 'unknown'), count(*), NULL FROM events GROUP BY ALL""")
@@ -641,7 +641,7 @@ def study_report(spark, folder):
     report.write_outputs(outputs, path)
     read = lambda name: spark.read.schema(outputs[name].schema).json(f"{path}/{name}")
     text_, long = F.lit(None).cast("string"), F.lit(None).cast("long")
-    logged = lambda c, digits: F.round(F.signum(c) * F.log10(F.abs(c) + 1), digits)  # noqa: E731  no unit blows it up, and no half is rounded either way
+    logged = lambda c, digits: F.round(F.signum(c) * F.log10(F.abs(c) + 1), digits) + F.lit(0.0)  # noqa: E731  no unit blows it up, and no half is rounded either way
     shown = [
         ("summary", "benchmark", "level", "arm", "metric", "n", logged("mean", 6)), ("comparisons", "benchmark", "level", text_, "metric", long, logged("difference", 5)), ("trends", "benchmark", "level", "arm", "metric", long, logged("mean", 6)),
         ("variance", text_, text_, text_, "metric", "n", F.round(F.log10(F.col("total") + 1), 6)), ("failures", text_, text_, text_, "category", "n", F.lit(None).cast("double")),
