@@ -7,7 +7,7 @@ evidence, hypotheses, intents and pipelines.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,20 +171,24 @@ for _name, _asked, _score in (
     QUERIES[_name], ORACLES[_name] = _searched(_asked), _search_sql(_score)
 
 
-@lru_cache
-def _index_path(spark: SparkSession, application: str, folder: str) -> str:
-    """The postings of all orders, made once for all searches of a session."""
-    path = new_folder(spark, "index")
-    found = reports(spark, folder)
-    kept = ["l_orderkey", "function_name", "primary_intent", "pipeline", "hypotheses", "evidence"]
-    found.select(*kept).write.parquet(f"{path}/reports")
-    index.add(spark, f"{path}/postings", spark.read.parquet(f"{path}/reports"), "l_orderkey")
-    return path
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index_path(spark: SparkSession, folder: str) -> str:
+    """The postings of all orders, made once for all searches of an application, or again where they are gone."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES or not log.versions(spark, f"{_INDEXES[key]}/postings"):
+        path = new_folder(spark, "index")
+        kept = ["l_orderkey", "function_name", "primary_intent", "pipeline", "hypotheses", "evidence"]
+        reports(spark, folder).select(*kept).write.parquet(f"{path}/reports")
+        index.add(spark, f"{path}/postings", spark.read.parquet(f"{path}/reports"), "l_orderkey")
+        _INDEXES[key] = path
+    return _INDEXES[key]
 
 
 def _indexed(asked):
     def run(spark, folder):
-        path = _index_path(spark, spark.sparkContext.applicationId, folder)
+        path = _index_path(spark, folder)
         opened = index.opened(spark, f"{path}/postings", spark.read.parquet(f"{path}/reports"), "l_orderkey", keys=("l_orderkey",))
         fields = F.array_join(F.transform("matched_fields", lambda f: F.concat(f.order.cast("string"), F.lit(":"), f.value)), ",")
         return index.search(opened, asked, "l_orderkey").select("l_orderkey", "function_name", "primary_intent", F.array_join("stages", ">").alias("stages"), F.col("score").cast("long").alias("score"), fields.alias("fields"))
