@@ -1,41 +1,103 @@
 """What roots reach over tables of nodes and edges, in the order and at the depth in which a walk would first come by.
 
-A walk takes children in order, goes down before it goes on, and enters no node twice. It comes to a node by that path
-without repeated nodes which is the first of all in the order of its steps, so no walk is needed to find it: every
-round extends the paths that were found or bettered in the round before, and keeps the first path to each node. Shared
-nodes and cycles are as good as any. There are as many rounds as the longest of these paths has steps; a round shuffles
-what is reached by root and node, so a node that most roots share is no hot key but in the join with its own edges,
-where Spark's adaptive execution splits it.
+A walk takes children in order, goes down before it goes on, and enters no node twice. A source of few edges is grouped
+into a row and walked where it lies: one shuffle, however deep it is. Larger sources are never one group. There a walk
+comes to a node by that path without repeated nodes which is the first of all in the order of its steps, so no walk is
+needed to find it: every round extends the paths that were found or bettered in the round before, and keeps the first
+path to each node. Shared nodes and cycles are as good as any. There are as many rounds as the longest of these paths
+has steps; a round shuffles what is reached by root and node, so a node that most roots share is no hot key but in the
+join with its own edges, where Spark's adaptive execution splits it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skeinworks.sources.shared import new_folder, remove, written
 
 _KEY = ["source", "root", "node"]
+#: A source of more edges is not walked as one row.
+MOST_EDGES = 1_000
+#: How many reached nodes, and steps to them, make a batch.
+_BATCH = 100_000
 
 
-def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row for each root and each other node that it reaches: source, root, node, depth, path.
+def reached(edges: DataFrame, roots: DataFrame, most: int = MOST_EDGES, paths: bool = True) -> DataFrame:
+    """One row for each root and each other node that it reaches: source, root, node, depth, and with ``paths`` path.
 
     ``edges``: source, parent, ordinal (a long), child, deeper. ``roots``: source, root. ``depth`` is the number of
     ``deeper`` edges on the way, and ``path`` the steps (ordinal, node), whose order is the order of the walk. Edges of
     one parent and ordinal are taken in the order of their children. Null nodes and sources lead nowhere, a null
     ordinal comes first, a null ``deeper`` is false; edges and roots that repeat count once, and a root that is reached
-    again is not entered. Other columns are not read.
+    again is not entered. Other columns are not read. Sources of at most ``most`` edges are walked as rows.
     """
     spark = edges.sparkSession
+    folder = new_folder(spark, "reach")
     steps = edges.select("source", F.col("parent").alias("node"), F.struct(F.coalesce(F.col("ordinal").cast("long"), F.lit(-(2**63))).alias("ordinal"), F.col("child").alias("node")).alias("_step"), F.coalesce("deeper", F.lit(False)).alias("_deeper"))
-    steps = steps.filter("_step.node IS NOT NULL").groupBy("source", "node", "_step").agg(F.max("_deeper").alias("_deeper"))
-    known = roots.select("source", "root").distinct().filter("root IS NOT NULL AND source IS NOT NULL")
-    path = F.array().cast(f"array<struct<ordinal:bigint,node:{dict(edges.dtypes)['child']}>>")
+    steps = written(steps.filter("source IS NOT NULL AND node IS NOT NULL AND _step.node IS NOT NULL"), f"{folder}/steps")
+    known = roots.select("source", "root").filter("root IS NOT NULL AND source IS NOT NULL")
+    large = written(steps.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("source"), f"{folder}/large")
+    some = not large.isEmpty()
+    of = lambda rows, how: rows.join(large, "source", how)
+    small = _walked(of(steps, "left_anti"), of(known, "left_anti"), paths) if some else _walked(steps, known, paths)
+    return small.unionByName(_found(of(steps, "left_semi"), of(known, "left_semi"), folder).select(small.columns)) if some else small
+
+
+def _walked(steps: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
+    """The rows of ``reached``, each source in a row of its own."""
+    either = steps.select("source", F.struct("_step", "node", (~F.col("_deeper")).alias("_level")).alias("e"), F.lit(None).cast(dict(known.dtypes)["root"]).alias("root")).unionByName(known, allowMissingColumns=True)
+    grouped = either.groupBy("source").agg(F.array_sort(F.collect_list("e")).alias("e"), F.collect_set("root").alias("roots")).filter("size(roots) > 0")
+    rows = grouped.select("source", "roots", *(F.transform("e", of).alias(name) for name, of in (("parent", lambda e: e.node), ("ordinal", lambda e: e._step.ordinal), ("child", lambda e: e._step.node), ("deeper", lambda e: ~e._level))))
+    types = dict(rows.select("source", F.col("parent")[0].alias("node")).dtypes)
+    step = f", path array<struct<ordinal:bigint,node:{types['node']}>>" if paths else ""
+    schema = StructType.fromDDL(f"source {types['source']}, root {types['node']}, node {types['node']}, depth int{step}")
+    shown = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shown, strict=True)], schema=shown)
+        for batch in batches:
+            for source, roots, *edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                children: dict = {}
+                for parent, *step in zip(*edges, strict=True):  # in the order of their ordinals and children, the deeper of two first
+                    children.setdefault(parent, []).append(step)
+                for root in roots:
+                    met, ways = {root}, [(0, (), iter(children.get(root, ())))]
+                    while ways:
+                        depth, path, left = ways[-1]
+                        for ordinal, child, deeper in left:
+                            if child not in met:
+                                met.add(child)
+                                depth, path = depth + deeper, (*path, {"ordinal": ordinal, "node": child}) if paths else path
+                                ways.append((depth, path, iter(children.get(child, ()))))
+                                out.append((source, root, child, depth, path) if paths else (source, root, child, depth))
+                                size += 1 + len(path)
+                                break
+                        else:
+                            ways.pop()
+                    if size >= _BATCH:
+                        yield batch_of(out)
+                        out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    return rows.mapInArrow(walk, schema)
+
+
+def _found(steps: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``reached`` in rounds."""
+    steps, known = steps.groupBy("source", "node", "_step").agg(F.max("_deeper").alias("_deeper")), known.distinct()
+    path = F.array().cast(f"array<struct<ordinal:bigint,node:{dict(steps.select('_step.node').dtypes)['node']}>>")
     begun = known.select("source", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), path.alias("path"))
-    folder, found, last, number = new_folder(spark, "reach"), [], begun, 0
+    spark, found, last, number = known.sparkSession, [], begun, 0
     while True:
         on = last.join(steps, ["source", "node"]).filter((F.col("_step.node") != F.col("root")) & ~F.exists("path", lambda x: x.node == F.col("_step.node")))
         new = on.select("source", "root", F.col("_step.node").alias("node"), (F.col("depth") + F.col("_deeper").cast("int")).alias("depth"), F.concat("path", F.array("_step")).alias("path"))

@@ -50,3 +50,26 @@ def test_long_chains(spark):
     table = spark.createDataFrame(edges, "source string, parent string, ordinal long, child string, deeper boolean")
     got = {r.node: r.depth for r in reached(table, spark.createDataFrame([("s", "n0")], "source string, root string")).collect()}
     assert got == {n: d for n, (d, _) in walk([e[1:] for e in edges], "n0").items()} and got["n20"] == 10
+
+
+def test_small_sources_take_no_rounds(spark, monkeypatch):
+    """A deep source is one row; beyond the bound it takes rounds, with the same result."""
+    from skeinworks.operators import reach
+
+    rng = random.Random(5)
+    edges = [("deep", f"n{i:03}", 0, f"n{i + 1:03}", i % 3 == 0) for i in range(300)] + [("deep", "n000", 0, "n001", False), ("deep", "n000", 0, "n001", True)]
+    edges += [("wide", f"n{rng.randrange(6)}", rng.randrange(3), f"n{rng.randrange(6)}", rng.choice([True, False, None])) for _ in range(14)]
+    table = spark.createDataFrame(edges, "source string, parent string, ordinal long, child string, deeper boolean")
+    roots = spark.createDataFrame([("deep", "n000"), ("wide", "n0"), ("wide", "n1"), ("wide", "n1"), ("none", "n0")], "source string, root string")
+    wide = table.filter("source = 'wide'")
+    rounds = reached(wide, roots, most=1).collect()
+    mixed = reached(table.filter("source = 'wide' OR parent < 'n005'"), roots, most=10).filter("source = 'wide'").collect()
+    monkeypatch.delattr(reach, "_found")
+    got = reached(table, roots).collect()
+    for source, root in (("deep", "n000"), ("wide", "n0"), ("wide", "n1")):
+        want = {n: d for n, (d, _) in walk([e[1:] for e in edges if e[0] == source], root).items()}
+        assert {r.node: r.depth for r in got if (r.source, r.root) == (source, root)} == want
+    key = lambda r: (r.root, r.node, r.depth, [tuple(x) for x in r.path])
+    own = sorted(key(r) for r in got if r.source == "wide")
+    assert own == sorted(map(key, rounds)) == sorted(map(key, mixed)) and len(got) == len(own) + 300
+    assert reached(wide, roots, paths=False).columns == ["source", "root", "node", "depth"]
