@@ -83,3 +83,9 @@ def test_another_provider_counts(reports, spark):
 def test_a_filter_does_not_compute_scores_again(reports):
     plan = reports.select("source", "pipeline").filter(F.size("pipeline") > 0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_sort") == 0 or plan.index("Filter") < plan.index("Generate")
+
+
+def test_facts_of_orders_are_aggregated_without_sorting(spark, sf):
+    from skeinworks.plans import catalogue
+
+    assert "SortAggregate" not in catalogue.order_facts(spark, sf)._jdf.queryExecution().executedPlan().toString()
