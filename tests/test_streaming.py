@@ -49,3 +49,19 @@ def test_state_equals_batch(spark, tmp_path, state_store):
     replay = []
     incremental.each_batch(incremental.changed(stream(), "stable_id", "version", "semantic_hash"), lambda b, _: replay.append(b.collect()), f"{tmp_path}/c3").awaitTermination(120)  # from the start
     assert {r.stable_id: r.semantic_hash for b in replay for r in b} == {k: r.semantic_hash for k, r in last.items()}
+
+
+def test_kept_reports_call_no_python_for_a_key(spark, tmp_path, monkeypatch):
+    """A newer version of the same facts lets nothing pass, and moves the key on: what is older than it is late. Null keys are one key."""
+    monkeypatch.setattr(incremental, "changed", None)
+    schema = "stable_id string, version long, function_name string, loop_count long, return_count long"
+    hashed = lambda rows: cache.with_semantic_hash(spark.createDataFrame(rows, schema), "stable_id", "version")
+    a, b = ("count_if", 1, 1), ("find_first", 2, 1)
+    turns = [[("x", 1, *a), (None, 1, *a), ("y", None, *a)], [("x", 3, *a), (None, 2, *b), (None, 1, *b)], [("x", 2, *b), ("y", 0, *b), ("x", 3, *a)]]
+    turns += [[("z", i, *(a if i % 2 else b))] for i in range(8)]  # more than are merged
+    for rows in turns:
+        hashed(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/facts")
+        stream = spark.readStream.schema(hashed(rows).schema).parquet(f"{tmp_path}/facts")
+        incremental.kept_reports(spark, stream, f"{tmp_path}/cache", f"{tmp_path}/c").awaitTermination(120)
+    got = {r.stable_id: (r.version, r.function_name) for r in cache.load(spark, f"{tmp_path}/cache", "stable_id").collect()}
+    assert got == {"x": (1, "count_if"), None: (2, "find_first"), "y": (0, "find_first"), "z": (7, "count_if")}
