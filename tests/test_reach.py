@@ -73,3 +73,34 @@ def test_small_sources_take_no_rounds(spark, monkeypatch):
     own = sorted(key(r) for r in got if r.source == "wide")
     assert own == sorted(map(key, rounds)) == sorted(map(key, mixed)) and len(got) == len(own) + 300
     assert reached(wide, roots, paths=False).columns == ["source", "root", "node", "depth"]
+
+
+def test_regions_are_known_by_their_entry(spark, monkeypatch):
+    """Nodes that reach each other are one row for each root, also where regions are too large or too far apart to be found."""
+    from skeinworks.operators import reach
+
+    rng = random.Random(6)
+    rows, roots = [], []
+    for source in range(16):
+        nodes = [f"n{i}" for i in range(8)]
+        rows += [(source, rng.choice(nodes), rng.randrange(3), rng.choice(nodes), rng.choice([True, False, None])) for _ in range(14)]
+        rows += [(source, f"r{i}", k, n, k == 1) for i in range(2) for k, n in enumerate(rng.sample(nodes, 3))]
+        roots += [(source, root) for root in ("r0", "r1", "n0")]
+    table = spark.createDataFrame(rows, "source int, parent string, ordinal long, child string, deeper boolean")
+    known = spark.createDataFrame(roots, "source int, root string")
+    want = {(s, root): walk([e[1:] for e in rows if e[0] == s], root) for s, root in roots}
+
+    def told(most):
+        got = reach.walks(table, known, most=most).collect()
+        for (source, root), nodes in want.items():
+            own = sorted((r for r in got if (r.source, r.root) == (source, root)), key=lambda r: r.place)
+            assert {x.node: x.depth for r in own for x in r.nodes} == {n: d for n, (d, _) in nodes.items()} and sum(len(r.nodes) for r in own) == len(nodes)
+            assert all([nodes[x.node][1] for x in r.nodes] == sorted(nodes[x.node][1] for x in r.nodes) for r in own)
+            assert [nodes[r.nodes[-1].node][1] for r in own] == sorted(nodes[r.nodes[-1].node][1] for r in own)
+        return len(got)
+
+    every = sum(map(len, want.values()))
+    assert told(10**6) == sum(map(bool, want.values())) and told(0) < 0.7 * every
+    monkeypatch.setattr(reach, "MOST_REGION", 12)
+    monkeypatch.setattr(reach, "_ROUNDS", 1)
+    told(0)
