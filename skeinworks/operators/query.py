@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.operators.reasoning import once
+from skeinworks.operators.reasoning import findable, once
+from skeinworks.sources.shared import new_folder, written
 
 # --- fixed values: phrases that are one term, and other words for a term ---
 PHRASES = {
@@ -48,13 +49,12 @@ def _field(order: int, kind: str, value: Column) -> Column:
 
 
 def term(name: str) -> Column:
-    """100 for the primary intent, 80 for each stage, 60 for an active hypothesis, 40 for each item of evidence, 20 for each word of the name."""
+    """100 for the primary intent, 80 for each stage, 60 for an active hypothesis, 40 for each item of evidence, 20 for each word of the name. Of rows in ``search``."""
     id_ = F.lit(canonical(name))
-    said = F.transform(F.col("evidence"), lambda e: F.when(e.kind == "name", e.token).otherwise(F.replace(e.kind, F.lit("_"), F.lit(""))))
     times = lambda array: F.size(array) - F.size(F.array_remove(array, id_))
-    sure = F.exists("hypotheses", lambda h: (h.id == id_) & (h.status == "active") & (h.confidence >= LEAST_CONFIDENCE))
+    sure = F.coalesce(F.array_contains("_certain", id_), F.lit(False))
     words = F.split(F.lower(F.coalesce("function_name", F.lit(""))), "[^a-z0-9]")
-    counts = F.struct(F.col("primary_intent").eqNullSafe(id_).cast("int").alias("primary"), times(F.col("pipeline.id")).alias("stages"), sure.cast("int").alias("sure"), times(said).alias("items"), times(words).alias("words"))
+    counts = F.struct(F.col("primary_intent").eqNullSafe(id_).cast("int").alias("primary"), times(F.col("pipeline.id")).alias("stages"), sure.cast("int").alias("sure"), times(F.col("_said")).alias("items"), times(words).alias("words"))
     kinds = [("primary", 100, "primary_intent"), ("stages", 80, "pipeline_stage"), ("sure", 60, "hypothesis"), ("items", 40, "evidence"), ("words", 20, "function_metadata")]
 
     def scored(n: Column) -> Column:
@@ -95,8 +95,21 @@ def then(first: str, second: str) -> Column:
     return F.when(F.array_contains(stages, a), _let(gap, lambda g: F.when(g > 0, _found(g + 179, fields)).otherwise(_found(F.lit(0))))).otherwise(_found(F.lit(0)))
 
 
+def searchable(facts: DataFrame, **of) -> DataFrame:
+    """What ``search`` needs of reports, made of ``facts`` without the reports. ``of`` is as for ``analyzed``."""
+    return findable(facts, LEAST_CONFIDENCE, **of)
+
+
 def search(reports: DataFrame, query: Column, *keys: str) -> DataFrame:
-    """Matching ``reports`` (of ``analyzed``): keys, function_name, primary_intent, stages, score, matched_fields. Best first."""
+    """Matching ``reports`` (of ``analyzed`` or ``searchable``): keys, function_name, primary_intent, stages, score, matched_fields. Best first.
+
+    What matches is written before it is sorted: sorting reads its rows twice, and would score all reports twice.
+    """
+    if "_said" not in reports.columns:
+        said = F.transform(F.col("evidence"), lambda e: F.when(e.kind == "name", e.token).otherwise(F.replace(e.kind, F.lit("_"), F.lit(""))))
+        sure = F.filter("hypotheses", lambda h: (h.status == "active") & (h.confidence >= LEAST_CONFIDENCE))
+        reports = once(reports, _said=said, _certain=F.transform(sure, lambda h: h.id))
     found = once(reports, _found=query).filter("_found.score > 0")
     keys = keys or ("source",)
-    return found.select(*keys, "function_name", "primary_intent", F.col("pipeline.id").alias("stages"), F.col("_found.score").alias("score"), F.col("_found.fields").alias("matched_fields")).orderBy(F.desc("score"), *keys, "function_name")
+    shown = found.select(*keys, "function_name", "primary_intent", F.col("pipeline.id").alias("stages"), F.col("_found.score").alias("score"), F.col("_found.fields").alias("matched_fields"))
+    return written(shown, new_folder(shown.sparkSession, "found")).orderBy(F.desc("score"), *keys, "function_name")

@@ -160,12 +160,31 @@ def with_primary_intent(rows: DataFrame, registry: dict[str, seeds.Hypothesis] |
     Confidence and place by id are one number for each hypothesis, of which the greatest is taken: nothing is sorted.
     """
     known = _known(registry)
+    return _with_best(_judged(rows, known, name, _providers(rows, counters, list(more))), known).drop(*_WORK)
+
+
+def _with_best(judged: DataFrame, known: list[seeds.Hypothesis]) -> DataFrame:
+    """``judged`` with ``primary_intent`` and ``confidence``."""
     n = len(known)
-    best = once(_judged(rows, known, name, _providers(rows, counters, list(more))), _best=F.expr(f"array_max(transform(_sure, (c, i) -> if(c < 0, -1, c * {n} + {n - 1} - i)))"))
+    best = once(judged, _best=F.expr(f"array_max(transform(_sure, (c, i) -> if(c < 0, -1, c * {n} + {n - 1} - i)))"))
     active = F.col("_best") >= 0
     ids = F.array(*(F.lit(h.id) for h in known))
-    found = best.withColumns({"primary_intent": F.when(active, F.element_at(ids, F.lit(n) - F.pmod("_best", F.lit(n)))), "confidence": F.when(active, F.expr(f"CAST(_best div {n} AS INT)"))})
-    return found.drop("_strength", "_tokens", "_power", "_powers", "_sure", "_confidences", "_best")
+    return best.withColumns({"primary_intent": F.when(active, F.element_at(ids, F.lit(n) - F.pmod("_best", F.lit(n)))), "confidence": F.when(active, F.expr(f"CAST(_best div {n} AS INT)"))})
+
+
+def findable(
+    rows: DataFrame, least: int, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None, more: list[Provider] = ()
+) -> DataFrame:
+    """``rows`` with what a search asks of ``analyzed``, and nothing else of a report: primary_intent, confidence, pipeline,
+    ``_certain``, the ids of active hypotheses of a confidence of ``least`` or more, and ``_said``, kinds (without
+    underscores) and words of the evidence, both with nulls for all others: leaving these out would be a lambda, which
+    Spark doesn't compile. Nothing is ranked, and no struct is made of evidence or hypotheses."""
+    known, given = _known(registry), _providers(rows, counters, list(more))
+    said = ", ".join(f"if(_strength[{i}] > 0, {_text(kind.replace('_', ''))}, NULL)" for i, (_, kind, _, _) in enumerate(given))
+    certain = ", ".join(f"if(_sure[{i}] >= {max(0, least)}, {_text(h.id)}, NULL)" for i, h in enumerate(known))
+    made = {"_said": f"concat(array({said}), _tokens)" if given else "_tokens", "_certain": f"array({certain})" if known else "CAST(array() AS array<string>)", "_pipe": _fits(known)}
+    worked = _with_best(_judged(rows, known, name, given), known).select("*", *(F.expr(_split(sql, "_power")).alias(f"_{key}") for key, sql in made.items()))
+    return once(once(worked, **{key: F.col(f"_{key}") for key in made}), pipeline=F.expr(_piped(known))).drop(*_WORK, *(f"_{key}" for key in made))
 
 
 def with_hypotheses(
@@ -184,14 +203,15 @@ def with_hypotheses(
 
 
 #: Columns that lead to a report and are none of it.
-_WORK = ["_strength", "_tokens", "_power", "_powers", "_sure", "_confidences", "_ranks", "_made", "_pipe"]
+_WORK = ["_strength", "_tokens", "_power", "_powers", "_sure", "_confidences", "_best", "_ranks", "_made", "_pipe"]
 
 
 def _ranked(judged: DataFrame, known: list[seeds.Hypothesis], given: list[tuple[int, str, str, Column]], detail: bool | set[str]) -> DataFrame:
     """``judged`` with ``_ranks``: a number for each of ``known``, in whose order they are ranked, from elimination, confidence and
     place by id; so numbers are sorted, not structs. With ``_pipe``, the number of the pipeline that fits or -1, and ``_made``, what
     ``detail`` asks for."""
-    n, p, place = len(known), _powers(known), {h.id: i for i, h in enumerate(known)}
+    n, p = len(known), _powers(known)
+
     def rules(which: tuple[seeds.Rule, ...], test: str) -> str:
         shown = ", ".join(f"if({p[r.kind]} {test}, named_struct('id', {_text(r.id)}, 'kind', {_text(r.kind)}, 'weight', {r.weight}), NULL)" for r in which)
         return f"array_compact(array({shown}))" if which else f"CAST(array() AS {_RULES})"
@@ -207,12 +227,7 @@ def _ranked(judged: DataFrame, known: list[seeds.Hypothesis], given: list[tuple[
         parts = {"supporting": (lambda: supporting(h), f"array<{_ITEM}>"), "missing": (lambda: rules(h.require, "= 0"), _RULES), "contradicting": (lambda: rules(h.reject, "> 0"), _RULES)}
         return f"named_struct({', '.join(f'{_text(key)}, {of() if full else f"CAST(NULL AS {kind})"}' for key, (of, kind) in parts.items())})"
 
-    fits = []
-    for number, (_, stages, words) in _pipelines():
-        if all(x in place for x in stages):
-            test = " AND ".join([*(f"array_contains(_tokens, {_text(x)})" for x in words), *(f"_sure[{place[x]}] >= 0" for x in stages)])
-            fits.append(f"WHEN {test or 'true'} THEN {number}")
-    columns = {"_ranks": f"sort_array(array({', '.join(f'if(_sure[{i}] < 0, 101, 100 - _sure[{i}]) * {n} + {i}' for i in range(n))}))", "_pipe": f"CASE {' '.join(fits)} ELSE -1 END" if fits else "-1"}
+    columns = {"_ranks": f"sort_array(array({', '.join(f'if(_sure[{i}] < 0, 101, 100 - _sure[{i}]) * {n} + {i}' for i in range(n))}))", "_pipe": _fits(known)}
     if detail is not False:
         columns["_made"] = f"array({', '.join(map(one, known))})"
     worked = judged.select("*", *(F.expr(_split(sql, "_power")).alias(f"_{name}") for name, sql in columns.items()))
@@ -236,6 +251,24 @@ def _pipelines() -> list[tuple[int, tuple[str, list[str], list[str]]]]:
     return list(enumerate(sorted(seeds.pipelines(), key=lambda x: (-len(x[1]), x[0]))))
 
 
+def _fits(known: list[seeds.Hypothesis]) -> str:
+    """SQL of the number of the pipeline that fits, or -1."""
+    place, fits = {h.id: i for i, h in enumerate(known)}, []
+    for number, (_, stages, words) in _pipelines():
+        if all(x in place for x in stages):
+            test = " AND ".join([*(f"array_contains(_tokens, {_text(x)})" for x in words), *(f"_sure[{place[x]}] >= 0" for x in stages)])
+            fits.append(f"WHEN {test or 'true'} THEN {number}")
+    return f"CASE {' '.join(fits)} ELSE -1 END" if fits else "-1"
+
+
+def _piped(known: list[seeds.Hypothesis]) -> str:
+    """SQL of ``pipeline`` from its number."""
+    place, empty = {h.id: i for i, h in enumerate(known)}, "CAST(array() AS array<struct<id:string,confidence:int>>)"
+    staged = lambda stages: "array(" + ", ".join(f"named_struct('id', {_text(x)}, 'confidence', _sure[{place[x]}])" for x in stages) + ")"
+    pipes = [f"WHEN {number} THEN {staged(stages)}" for number, (_, stages, _) in _pipelines() if all(x in place for x in stages)]
+    return f"CASE _pipe {' '.join(pipes)} ELSE {empty} END" if pipes else empty
+
+
 def analyzed(
     rows: DataFrame, name: str = "function_name", counters: dict[str, str] | None = None, registry: dict[str, seeds.Hypothesis] | None = None, detail: bool | set[str] = True, more: list[Provider] = ()
 ) -> DataFrame:
@@ -243,13 +276,10 @@ def analyzed(
     known one whose stages are all active and whose words are all in the name."""
     known, given = _known(registry), _providers(rows, counters, list(more))
     ranked = _ranked(_judged(rows, known, name, given), known, given, detail)
-    n, place, empty = len(known), {h.id: i for i, h in enumerate(known)}, "CAST(array() AS array<struct<id:string,confidence:int>>)"
-    staged = lambda stages: "array(" + ", ".join(f"named_struct('id', {_text(x)}, 'confidence', _sure[{place[x]}])" for x in stages) + ")"
-    pipes = [f"WHEN {number} THEN {staged(stages)}" for number, (_, stages, _) in _pipelines() if all(x in place for x in stages)]
-    first = "_ranks[0]"
+    n, first = len(known), "_ranks[0]"
     made = {
         "evidence": _items(given), "hypotheses": _shown(known, detail), "primary_intent": f"if({first} < {101 * n}, get(array({', '.join(_text(h.id) for h in known)}), {first} % {n}), NULL)",
-        "confidence": f"if({first} < {101 * n}, 100 - CAST({first} div {n} AS INT), NULL)", "pipeline": f"CASE _pipe {' '.join(pipes)} ELSE {empty} END" if pipes else empty,
+        "confidence": f"if({first} < {101 * n}, 100 - CAST({first} div {n} AS INT), NULL)", "pipeline": _piped(known),
     }
     worked = ranked.select("*", *(F.expr(sql if key == "hypotheses" else _split(sql, "_power")).alias(f"_{key}") for key, sql in made.items()))
     return once(worked, **{key: F.col(f"_{key}") for key in made}).drop(*_WORK, *(f"_{key}" for key in made))

@@ -89,3 +89,15 @@ def test_facts_of_orders_are_aggregated_without_sorting(spark, sf):
     from skeinworks.plans import catalogue
 
     assert "SortAggregate" not in catalogue.order_facts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_need_no_reports(spark, reports):
+    """Facts are searched with the same result as their reports, nothing is ranked, and what sorting reads twice is only what matched."""
+    rows = spark.createDataFrame(ROWS, FACTS)
+    brief = query.searchable(rows)
+    for asked in (query.term("accumulator"), query.term("count"), query.term("call"), query.without(query.term("accumulator")), query.both(query.term("counter"), query.term("loop")), query.then("filter", "reduce")):
+        assert query.search(brief, asked).collect() == query.search(reports, asked).collect()
+    found = query.search(brief, query.without(query.term("accumulator")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "hypotheses" not in brief.columns and [r.source for r in found.collect()] == ["c", "d"]
+    assert "sort_array" not in brief.drop("_said")._jdf.queryExecution().optimizedPlan().toString().replace("sort_array(_tokens", "")
