@@ -208,6 +208,33 @@ def _regions(steps: DataFrame, folder: str) -> DataFrame:
     schema = StructType.fromDDL(f"source {types['source']}, node {node}, region {node}, nodes array<struct<node:{node},depth:int,path:array<{at}>>>, exits array<struct<child:{node},_deeper:int,_at:{at},_before:array<{at}>>>")
     shown = to_arrow_schema(schema)
 
+    def all_from(node, children: dict) -> set:
+        """All that ``node`` leads to, and itself."""
+        met, left = {node}, [node]
+        while left:
+            for _, child, _ in children.get(left.pop(), ()):
+                if child not in met:
+                    met.add(child)
+                    left.append(child)
+        return met
+
+    def walk(entry, region: set, children: dict) -> tuple[list[dict], list[dict]]:
+        """The walk of ``region`` from ``entry``: its nodes, and the first step to each child outside."""
+        nodes, exits, met, ways = [{"node": entry, "depth": 0, "path": []}], [], {entry}, [(0, [], iter(children[entry]))]
+        while ways:
+            depth, path, left = ways[-1]
+            for at, child, deeper in left:
+                if child not in met:
+                    met.add(child)
+                    if child in region:
+                        nodes.append({"node": child, "depth": depth + deeper, "path": [*path, at]})
+                        ways.append((depth + deeper, [*path, at], iter(children[child])))
+                        break
+                    exits.append({"child": child, "_deeper": depth + deeper, "_at": at, "_before": path})
+            else:
+                ways.pop()
+        return nodes, exits
+
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -215,43 +242,14 @@ def _regions(steps: DataFrame, folder: str) -> DataFrame:
                 children: dict = {}
                 for e in edges:
                     children.setdefault(e["node"], []).append((e["_at"], e["child"], e["_deeper"]))
-                to = {node: _all_from(node, children) for node in children}
+                to = {node: all_from(node, children) for node in children}
                 for node in children:
                     region = {x for x in to[node] if node in to.get(x, ())}
                     if len(region) > 1:
-                        out.append((source, node, min(region), *_entry(node, region, children)))
+                        out.append((source, node, min(region), *walk(node, region, children)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shown, strict=True)], schema=shown)
 
     regions = written(rows.mapInArrow(entered, schema), f"{folder}/regions")
     remove(steps.sparkSession, work)
     return regions
-
-
-def _all_from(node, children: dict) -> set:
-    """All that ``node`` leads to, and itself."""
-    met, left = {node}, [node]
-    while left:
-        for _, child, _ in children.get(left.pop(), ()):
-            if child not in met:
-                met.add(child)
-                left.append(child)
-    return met
-
-
-def _entry(entry, region: set, children: dict) -> tuple[list[dict], list[dict]]:
-    """The walk of ``region`` from ``entry``: its nodes, and the first step to each child outside."""
-    nodes, exits, met, ways = [{"node": entry, "depth": 0, "path": []}], [], {entry}, [(0, [], iter(children[entry]))]
-    while ways:
-        depth, path, left = ways[-1]
-        for at, child, deeper in left:
-            if child not in met:
-                met.add(child)
-                if child in region:
-                    nodes.append({"node": child, "depth": depth + deeper, "path": [*path, at]})
-                    ways.append((depth + deeper, [*path, at], iter(children[child])))
-                    break
-                exits.append({"child": child, "_deeper": depth + deeper, "_at": at, "_before": path})
-        else:
-            ways.pop()
-    return nodes, exits
