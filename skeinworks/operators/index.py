@@ -1,8 +1,9 @@
 """A search index of reports: lists of what each term finds, so that a query reads only its terms and scores nothing again.
 
-A posting is (term, key, score, fields, places): what ``query.term`` would give that report, and where among its stages
-the term stands. Postings lie in folders by a hash of the term, sorted by term, so a query opens one folder for each of
-its terms and skips what Parquet's statistics rule out. Terms are then joined by key: ``both`` keeps keys of both,
+A posting is (term, key, at, order, place): one item of a report that ``query.term`` would find, of which field it is, and
+where among the stages it stands. Nothing is moved to make postings: a task sorts those of its own reports, and a term's
+are added up by key when it is asked for. Postings lie in folders by a hash of the term, sorted by term, so a query opens one
+folder for each of its terms and skips what Parquet's statistics rule out. Terms are then joined by key: ``both`` keeps keys of both,
 ``either`` all, ``without`` the keys that are not found, ``then`` compares places. The functions here mirror those of
 ``query``; each gives a function from an index to (key, score, fields).
 """
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from skeinworks.operators.query import LEAST_CONFIDENCE, MOST_SCORE, canonical
 from skeinworks.sources import log
 
-#: Folders that terms are dealt to, and tasks that write one of them, so that no frequent term is one task's.
-BUCKETS, WRITERS = 16, 4
+#: Folders that terms are dealt to.
+BUCKETS = 16
 # --- fixed values: fields in order, and what a match in each is worth ---
 FIELDS = ["primary_intent", "pipeline_stage", "hypothesis", "evidence", "function_metadata"]
 WORTH = [100, 80, 60, 40, 20]
 _FIELD = "array<struct<order:int,kind:string,value:string>>"
 #: Columns that a posting needs to be told from one of an earlier report of the same key.
 _KEPT = ["key", "version"]
+#: Postings by their columns, of which ``at`` tells those of a report and term apart.
+_POSTING = ["term", *_KEPT, "at", "order", "place"]
 
 
 def _bucket(term: Column) -> Column:
@@ -33,28 +36,24 @@ def _bucket(term: Column) -> Column:
 
 
 def postings(reports: DataFrame, key: str, version: str | None = None) -> DataFrame:
-    """The postings of ``reports`` (of ``analyzed``), whose ``key`` is unique; ``version`` tells reports of a key apart."""
-    one = lambda order, term, place=None: F.struct(F.lit(order).alias("order"), term.alias("term"), (F.lit(None) if place is None else place).cast("int").alias("place"))
-    sure = F.filter("hypotheses", lambda h: (h.status == "active") & (h.confidence >= LEAST_CONFIDENCE))
+    """The postings of ``reports`` (of ``analyzed`` or ``query.searchable``), whose ``key`` is unique; ``version`` tells reports of a key apart."""
+    one = lambda order, term, place=None: F.struct(F.lit(order).cast("tinyint").alias("order"), term.alias("term"), (F.lit(None) if place is None else place).cast("int").alias("place"))
+    if "_said" in reports.columns:
+        sure, told = F.col("_certain"), F.col("_said")
+    else:
+        sure = F.transform(F.filter("hypotheses", lambda h: (h.status == "active") & (h.confidence >= LEAST_CONFIDENCE)), lambda h: h.id)
+        told = F.transform("evidence", lambda e: F.when(e.kind == "name", e.token).otherwise(F.replace(e.kind, F.lit("_"), F.lit(""))))
     words = F.filter(F.split(F.lower(F.coalesce("function_name", F.lit(""))), "[^a-z0-9]"), lambda w: w != "")
     said = F.concat(
-        F.array(one(0, F.col("primary_intent"))),
-        F.transform("pipeline", lambda s, i: one(1, s.id, i + 1)),
-        F.transform(F.array_distinct(F.transform(sure, lambda h: h.id)), lambda h: one(2, h)),
-        F.transform("evidence", lambda e: one(3, F.when(e.kind == "name", e.token).otherwise(F.replace(e.kind, F.lit("_"), F.lit(""))))),
-        F.transform(words, lambda w: one(4, w)),
-    )
-    told = reports.select(F.col(key).alias("key"), (F.lit("") if version is None else F.col(version)).alias("version"), F.explode(said).alias("s")).filter("s.term IS NOT NULL")
-    worth = F.element_at(F.array(*map(F.lit, WORTH)), F.col("s.order") + 1)
-    by = told.groupBy("key", "version", F.col("s.term").alias("term")).agg(F.sum(worth).cast("int").alias("score"), F.array_sort(F.collect_set("s.order")).alias("orders"), F.array_sort(F.collect_list("s.place")).alias("places"))
-    kinds = F.array(*map(F.lit, FIELDS))
-    fields = F.transform("orders", lambda o: F.struct(o.alias("order"), F.element_at(kinds, o + 1).alias("kind"), F.col("term").alias("value")))
-    return by.select("term", "key", "version", "score", fields.cast(_FIELD).alias("fields"), "places")
+        F.array(one(0, F.col("primary_intent"))), F.transform("pipeline", lambda s, i: one(1, s.id, i + 1)), F.transform(F.array_distinct(sure), lambda h: one(2, h)),
+        F.transform(told, lambda e: one(3, e)), F.transform(words, lambda w: one(4, w)),
+    )
+    every = reports.select(F.col(key).alias("key"), (F.lit("") if version is None else F.col(version)).alias("version"), F.posexplode(said).alias("at", "s"))
+    return every.select("key", "version", "at", "s.*").filter("term IS NOT NULL").select(*_POSTING)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    dealt = rows.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS * WRITERS, "bucket", F.pmod(F.xxhash64("key"), F.lit(WRITERS)))
-    return dealt.sortWithinPartitions("bucket", "term")
+    return rows.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term")
 
 
 def _shown(reports: DataFrame, key: str, version: str | None, keys: tuple[str, ...]) -> DataFrame:
@@ -74,7 +73,7 @@ def add(spark: SparkSession, path: str, reports: DataFrame, key: str, version: s
 
 def _once(rows: DataFrame) -> DataFrame:
     """Reports of a key and version are the same, however often they were added."""
-    return rows.drop("_place", "bucket").dropDuplicates(["term", *_KEPT])
+    return rows.select(*_POSTING).dropDuplicates(["term", *_KEPT, "at"])
 
 
 @dataclass(frozen=True)
@@ -84,13 +83,24 @@ class Index:
     stored: DataFrame | None
     rows: DataFrame
 
-    def find(self, name: str) -> DataFrame:
-        """(key, score, fields, places) of a term."""
+    def _items(self, name: str) -> DataFrame:
+        """(key, order, place): the items that a term finds, dealt by key."""
         term = F.lit(canonical(name))
         if self.stored is None:
-            return self.rows.sparkSession.createDataFrame([], f"key {dict(self.rows.dtypes)['key']}, score int, fields {_FIELD}, places array<int>")
-        own = _once(self.stored.filter((F.col("bucket") == _bucket(term)) & (F.col("term") == term)))
-        return own.join(self.rows.select(*_KEPT), _KEPT, "left_semi").select("key", "score", "fields", "places")
+            return self.rows.sparkSession.createDataFrame([], f"key {dict(self.rows.dtypes)['key']}, order tinyint, place int")
+        own = self.stored.filter((F.col("bucket") == _bucket(term)) & (F.col("term") == term)).select(*_KEPT, "at", "order", "place")
+        return own.repartition(*_KEPT).dropDuplicates([*_KEPT, "at"]).join(self.rows.select(*_KEPT), _KEPT, "left_semi").select("key", "order", "place")
+
+    def find(self, name: str) -> DataFrame:
+        """(key, score, fields) of a term."""
+        worth = F.element_at(F.array(*map(F.lit, WORTH)), F.col("order") + 1)
+        by = self._items(name).groupBy("key").agg(F.sum(worth).cast("int").alias("score"), F.bit_or(F.expr("shiftleft(1, CAST(order AS INT))")).alias("_orders"))
+        field = lambda i, kind: F.when(F.col("_orders").bitwiseAND(1 << i) != 0, F.struct(F.lit(i).alias("order"), F.lit(kind).alias("kind"), F.lit(canonical(name)).alias("value")))
+        return by.select("key", "score", F.array_compact(F.array(*(field(i, kind) for i, kind in enumerate(FIELDS)))).cast(_FIELD).alias("fields"))
+
+    def places(self, name: str) -> DataFrame:
+        """(key, places): where among the stages a term stands."""
+        return self._items(name).filter("place IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 Asked = Callable[[Index], DataFrame]
@@ -102,7 +112,7 @@ def opened(spark: SparkSession, path: str, reports: DataFrame, key: str, version
 
 
 def term(name: str) -> Asked:
-    return lambda index: index.find(name).select("key", "score", "fields")
+    return lambda index: index.find(name)
 
 
 def without(inner: Asked) -> Asked:
@@ -131,8 +141,8 @@ def either(left: Asked, right: Asked) -> Asked:
 
 def then(first: str, second: str) -> Asked:
     def found(index: Index) -> DataFrame:
-        a = index.find(first).filter("size(places) > 0").select("key", F.array_min("places").alias("start"))
-        b = index.find(second).select("key", "places")
+        a = index.places(first).select("key", F.array_min("places").alias("start"))
+        b = index.places(second)
         gap = F.array_min(F.filter("places", lambda p: p > F.col("start"))) - F.col("start")
         stage = lambda name: F.struct(F.lit(1).alias("order"), F.lit(FIELDS[1]).alias("kind"), F.lit(canonical(name)).alias("value"))
         fields = F.array_sort(F.array_distinct(F.array(stage(first), stage(second)))).cast(_FIELD)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.functions import seeds
-from skeinworks.operators import query, reasoning
+from skeinworks.operators import index, query, reasoning
+from skeinworks.plans import catalogue
 
 FACTS = "source string, function_name string, loop_count long, return_count long, assignment_count long, mutation_count long, addition_mutation_count long, increment_mutation_count long, accumulation_count long, numeric_return_count long, conditional_count long, call_count long, comparison_count long, maximum_update_count long"
 ROWS = [
@@ -101,3 +102,20 @@ def test_searches_need_no_reports(spark, reports):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "hypotheses" not in brief.columns and [r.source for r in found.collect()] == ["c", "d"]
     assert "sort_array" not in brief.drop("_said")._jdf.queryExecution().optimizedPlan().toString().replace("sort_array(_tokens", "")
+
+
+def test_postings_are_made_where_reports_lie(spark, sf, tmp_path):
+    """No shuffle makes them, and a report that is added twice counts once, words that repeat as often as they do."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("a", "sum_sum", 1), ("b", "max_by", 0)], "id string, function_name string, loop_count long")
+    reports = reasoning.analyzed(rows)
+    reports.write.parquet(f"{tmp_path}/reports")
+    stored = spark.read.parquet(f"{tmp_path}/reports")
+    assert "Exchange" not in plan(index._placed(index.postings(stored, "id")))
+    facts = catalogue.order_facts(spark, sf)
+    assert plan(facts).count("Exchange hashpartitioning") == 1
+    for _ in range(2):
+        index.add(spark, f"{tmp_path}/postings", stored, "id")
+    found = index.search(index.opened(spark, f"{tmp_path}/postings", stored, "id", keys=("id",)), index.term("sum"), "id").collect()
+    want = query.search(reports, query.term("sum"), "id").collect()
+    assert [(r.id, r.score, r.matched_fields) for r in found] == [(r.id, r.score, r.matched_fields) for r in want] and found[0].score >= 2 * (40 + 20)
