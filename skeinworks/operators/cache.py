@@ -137,10 +137,12 @@ def _latest(rows: DataFrame, key: str) -> DataFrame:
     return best.select("_row.*")
 
 
-def load(spark: SparkSession, path: str, key: str, version: int | None = None) -> DataFrame | None:
-    """The last row of each key, as of a version if one is given; None where there is no cache yet."""
+def load(spark: SparkSession, path: str, key: str, version: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame | None:
+    """The last row of each key, as of a version if one is given; None where there is no cache yet. With ``columns`` nothing but these and the key is read."""
     found = log.manifest(spark, path, version)
     rows = log.read(spark, path, found)
+    if rows is not None and columns:
+        rows = rows.select(*dict.fromkeys((key, *columns)), "_place")
     return rows if rows is None else rows.drop("_place") if len(found.folders) == 1 else _latest(rows, key)
 
 

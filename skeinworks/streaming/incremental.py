@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from skeinworks.operators import cache
 from skeinworks.operators.reasoning import analyzed
 from skeinworks.sources import log
-from skeinworks.sources.shared import new_folder, written
+from skeinworks.sources.shared import new_folder, remove, written
 
 #: Keeps state on the executors' disks with its changes in the checkpoint, so that it may outgrow their memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,38 +69,43 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
 def kept_reports(spark: SparkSession, facts: DataFrame, path: str, checkpoint: str, key: str = "stable_id", version: str = "version", content: str = "semantic_hash", counters: dict[str, str] | None = None) -> StreamingQuery:
     """Keeps the cache at ``path`` up to date with a stream of ``facts``: what changed is analysed and put, as one change for each batch.
 
-    What passes is what ``changed`` passes, found by joining a batch with the newest version and hash of each key, a
-    log below ``checkpoint``: no key is a call of Python. The cache is published first, so a batch that is run again
+    What passes is what ``changed`` passes, found by grouping a batch with the newest version and hash of each key, a
+    log below ``checkpoint``: no key is a call of Python, and a row is moved once. The cache is published first, so a batch that is run again
     after a crash puts the same rows again.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        new = written(_newer(batch, _known(spark, f"{checkpoint}/newest"), key, version, content), new_folder(spark, "batch"))
+        folder = new_folder(spark, "batch")
+        new = written(_newer(batch, log.read(spark, f"{checkpoint}/newest", log.manifest(spark, f"{checkpoint}/newest")), key, version, content), folder)
         cache.put(spark, analyzed(new.filter("_passes").select(*batch.columns), counters=counters, detail=False), path, key)
-        name = log.write(new.select(F.col(key).alias("key"), "_at"), f"{checkpoint}/newest")
+        name = log.write(new.select(F.col(key).alias("key"), _at(version, content).alias("_at")), f"{checkpoint}/newest")
         done = log.change(spark, f"{checkpoint}/newest", lambda last: (*last.folders, name))
         if len(done.folders) > log.MOST_FOLDERS:
-            log.merge(spark, f"{checkpoint}/newest", lambda found: _newest(log.read(spark, f"{checkpoint}/newest", found)))
+            log.merge(spark, f"{checkpoint}/newest", lambda found: log.read(spark, f"{checkpoint}/newest", found).groupBy("key").agg(F.max("_at").alias("_at")))
+        remove(spark, folder)
 
     return each_batch(facts, put, checkpoint)
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.max("_at").alias("_at"))
-
-
-def _known(spark: SparkSession, path: str) -> DataFrame | None:
-    """(key, _at): the version and hash of each key that were last let through; None before the first batch."""
-    rows = log.read(spark, path, log.manifest(spark, path))
-    return None if rows is None else _newest(rows)
+def _at(version: str, content: str) -> Column:
+    """A row's place among those of its key."""
+    return F.struct(F.coalesce(F.col(version).cast("long"), F.lit(-(2**63))).alias("version"), F.coalesce(content, F.lit("")).alias("hash"))
 
 
 def _newer(batch: DataFrame, known: DataFrame | None, key: str, version: str, content: str) -> DataFrame:
-    """The last row of each key, where it is beyond the last one that came, with ``_at``, and ``_passes`` where its hash is another."""
-    at = F.struct(F.coalesce(F.col(version).cast("long"), F.lit(-(2**63))).alias("version"), F.coalesce(content, F.lit("")).alias("hash"))
-    last = batch.groupBy(F.col(key).alias("key")).agg(F.max_by(F.struct(*batch.columns), at).alias("_row"), F.max(at).alias("_at"))
-    if known is None:
-        return last.select("_row.*", "_at", F.lit(True).alias("_passes"))
-    before = known.select(F.col("key").alias("_key"), F.col("_at").alias("_before"))
-    joined = last.join(before, F.col("key").eqNullSafe(F.col("_key")), "left").filter(F.col("_before").isNull() | (F.col("_at") > F.col("_before")))
-    return joined.select("_row.*", "_at", (F.col("_before").isNull() | (F.col("_at.hash") != F.col("_before.hash"))).alias("_passes"))
+    """The last row of each key, where it is beyond the last one that came, with ``_passes`` where its hash is another.
+
+    ``known``: (key, _at) that were let through. Rows and these are dealt by key once, together; rows of the same place are the
+    same. A row is carried with its version and hash in front, by which the last one is taken, and not with these again.
+    """
+    others = [c for c in batch.columns if c not in (key, version, content)]
+    row = F.struct(_at(version, content).alias("_at"), F.struct(F.col(version), F.col(content).isNull().alias("_none"), *others).alias("_rest"))
+    kind = dict(batch.select(row.alias("r")).dtypes)["r"]
+    every = batch.select(F.col(key).alias("_key"), row.alias("_row"), F.lit(None).cast("struct<version:bigint,hash:string>").alias("_was"))
+    if known is not None:
+        every = every.unionByName(known.select(F.col("key").alias("_key"), F.lit(None).cast(kind).alias("_row"), F.col("_at").alias("_was")))
+    last = F.max_by("_row", "_row._at") if "map<" in kind else F.max("_row")  # maps have no order
+    by = every.repartition("_key").groupBy("_key").agg(last.alias("_row"), F.max("_was").alias("_was")).filter("_row IS NOT NULL")
+    own = {key: F.col("_key"), version: F.col(f"_row._rest.{version}"), content: F.when(~F.col("_row._rest._none"), F.col("_row._at.hash"))}
+    passes = F.col("_was").isNull() | (F.col("_row._at.hash") != F.col("_was.hash"))
+    return by.filter(F.col("_was").isNull() | (F.col("_row._at") > F.col("_was"))).select(*((own[c] if c in own else F.col(f"_row._rest.{c}")).alias(c) for c in batch.columns), passes.alias("_passes"))

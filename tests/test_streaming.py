@@ -65,3 +65,16 @@ def test_kept_reports_call_no_python_for_a_key(spark, tmp_path, monkeypatch):
         incremental.kept_reports(spark, stream, f"{tmp_path}/cache", f"{tmp_path}/c").awaitTermination(120)
     got = {r.stable_id: (r.version, r.function_name) for r in cache.load(spark, f"{tmp_path}/cache", "stable_id").collect()}
     assert got == {"x": (1, "count_if"), None: (2, "find_first"), "y": (0, "find_first"), "z": (7, "count_if")}
+
+
+def test_a_batch_is_moved_once(spark):
+    """Rows and what is known of their keys are dealt by key together; a null key, hash or version is as good as any."""
+    schema = "stable_id string, version long, semantic_hash string, extra map<string,int>"
+    batch = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "y", {"k": 1}), (None, None, None, None), ("b", 3, "z", None), ("c", 1, "w", None)], schema)
+    known = spark.createDataFrame([("b", (3, "z")), ("c", (0, "w")), ("d", (9, "d"))], "key string, _at struct<version:bigint,hash:string>")
+    found = incremental._newer(batch, known, "stable_id", "version", "semantic_hash")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.stable_id: (r.version, r.semantic_hash, r.extra, r._passes) for r in found.collect()}
+    assert got == {"a": (2, "y", {"k": 1}, True), None: (None, None, None, True), "c": (1, "w", None, False)}
+    plain = incremental._newer(batch.drop("extra"), None, "stable_id", "version", "semantic_hash").collect()
+    assert {r.stable_id for r in plain if r._passes} == {"a", "b", "c", None}
